@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelyard.llm import bpe, mixing, near_duplicates, quality_model, quality_rules, sharding, token_files, toxicity, url_filter
+from panelyard.llm import bpe, mixing, near_duplicates, quality_model, quality_rules, sharding, sketches, token_files, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,7 +63,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_model, op2_mix_sources, op3_url_filter, op4_near_duplicates, op6_bpe_transducer, op7_toxicity, op8_quality_rules, op9_jump_shards, op10_token_files)}
+    return {f.__name__: f for f in (op1_quality_model, op2_mix_sources, op3_url_filter, op4_near_duplicates, op5_fingerprints, op6_bpe_transducer, op7_toxicity, op8_quality_rules, op9_jump_shards, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
