@@ -179,3 +179,22 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     return rows.join(firsts, "h", "left").select(
         key, "n_shingles", F.coalesce("first", key).alias("component_id"), (F.col(key).isNull() | (F.coalesce("first", key) == F.col(key))).alias("kept")
     )
+
+
+def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of each component, the one with the smallest key; all columns are kept.
+
+    Rows are told apart by key and text together, so rows that repeat a key with another text are judged on
+    their own; of rows that repeat both, one stays. What goes is a small part of the table and is sent to all
+    executors while it has at most ``BROADCAST_ROWS`` rows; beyond, the texts are joined by shuffle.
+    """
+    tagged = docs.select(F.struct(F.col(key).alias("k"), F.xxhash64(text).alias("t")).alias("_key"), F.col(text).alias("_text"))
+    judged = scratch.written(near_duplicates(tagged, key="_key", text="_text").select("_key", "kept"), "judged")
+    gone = judged.where("not kept").select(F.col("_key.k").alias("_gone_k"), F.col("_key.t").alias("_gone_t"))
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    left = docs.join(gone, F.col(key).eqNullSafe(F.col("_gone_k")) & (F.xxhash64(text) == F.col("_gone_t")), "left_anti")
+    stays = judged.where("kept")
+    if stays.select("_key").distinct().count() < stays.count():
+        left = left.dropDuplicates([key, text])
+    return left

@@ -1,6 +1,6 @@
 """Invertible Bloom lookup sketches of documents, in DataFrame functions only.
 
-A text is cut into paragraphs: lines, and long lines after sentence ends. A paragraph's digest has 48 bits of
+A text is cut into paragraphs: lines, and long lines after a sentence end or else before white space. A paragraph's digest has 48 bits of
 hash and 16 that check them. A sketch has three tables of eight cells; a digest goes into one cell of each,
 and a cell keeps the count and the XOR of its digests. Subtracting two sketches cell by cell cancels what the
 texts share. Then a cell with count 1 or -1 whose XOR passes its own check holds one differing digest: it is
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from panelyard.llm import scratch
 
-#: A line, or 80 characters of it and on to the next sentence end.
-PARAGRAPH = r"[^\n]{80,}?[.!?](?=\s|$)|[^\n]+"
+#: 60 to 200 characters of a line up to a sentence end; without one, 120 and the rest of a word; or the rest of the line.
+PARAGRAPH = r"[^\n]{60,200}?[.!?](?=\s|$)|[^\n]{120}[^\s]*|[^\n]+"
 TABLES, CELLS = 3, 8
 #: Paragraphs of both texts for each bucket of a comparison's first sketch.
 LOAD = 8.0
