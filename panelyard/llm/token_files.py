@@ -17,6 +17,7 @@ Payload, all little endian:
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -68,7 +69,8 @@ def re_pair(ids: np.ndarray, starts: np.ndarray, terminals: int, *, rounds: int
         bucket[first[1:n]] = 0
         counts = np.bincount(bucket, minlength=1 << 20)
         counts[0] = 0
-        cut = max(least, int(np.partition(counts, -pairs_a_round)[-pairs_a_round]))
+        many = counts[counts >= least]
+        cut = int(np.partition(many, -pairs_a_round)[-pairs_a_round]) if len(many) > pairs_a_round else least
         at = np.flatnonzero(counts[bucket] >= cut)
         at = at[~first[at + 1]]
         found, inverse, exact = np.unique(key[at], return_inverse=True, return_counts=True)
@@ -170,59 +172,101 @@ class ByteTokenizer:
 
     A byte-level pre-token that holds a visible character ends before the next white space, and none looks
     back. So a text may be cut before every space that follows a visible character: its pieces have the ids
-    they have within the whole. Pieces up to ``MEMO_CHARS`` are remembered, at most ``MEMO_PIECES``.
+    they have within the whole. Pieces are kept without that space; the head of a text has none and a memory
+    of its own. Pieces up to ``MEMO_CHARS`` are remembered, at most ``MEMO_PIECES``.
     """
 
-    MEMO_CHARS, MEMO_PIECES = 48, 500_000
-    RUN = re.compile(r"\s ")
-    CUT = re.compile(r"(?<=\S)(?= )")
+    MEMO_CHARS, MEMO_PIECES = 48, 1_000_000
+    CUT = re.compile(r"(?<=\S) ")
+    RUNS = tuple(chr(c) + " " for c in range(0x3001) if chr(c).isspace() and c != 0x20)
+    SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit two bytes")
+        self.opens = np.array([(self.library.id_to_token(i) or "").startswith("\u0120") for i in range(self.library.get_vocab_size())])
         self.memo: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def cut(self, text: str) -> list[str]:
-        if self.RUN.search(text):
+        """The head of a text, then its pieces without the space before each."""
+        pieces = text.split(" ")
+        if "" in pieces or any(r in text for r in self.RUNS):
             return self.CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + p for p in rest]]
+        return pieces
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as two-byte numbers."""
         cut = [self.cut(t) for t in texts]
-        missing = list({p for pieces in cut for p in pieces} - self.memo.keys())
-        fresh: dict[str, bytes] = {}
-        for i in range(0, len(missing), 4096):
-            some = missing[i : i + 4096]
-            for piece, coded in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                fresh[piece] = np.array(coded.ids, "<u2").tobytes()
-        if len(self.memo) + len(fresh) > self.MEMO_PIECES:
-            fresh |= {p: self.memo[p] for pieces in cut for p in pieces if p in self.memo}
-            self.memo.clear()
-        else:
-            self.memo |= {p: b for p, b in fresh.items() if len(p) <= self.MEMO_CHARS}
-            get = self.memo
-            if len(fresh) and any(len(p) > self.MEMO_CHARS for p in fresh):
-                get = _Two(fresh, self.memo)
-            return [b"".join([get[p] for p in pieces]) for pieces in cut]
-        out = [b"".join([fresh[p] for p in pieces]) for pieces in cut]
-        self.memo |= {p: b for p, b in fresh.items() if len(p) <= self.MEMO_CHARS}
+        heads = [pieces.pop(0) for pieces in cut]
+        here = set().union(*cut)
+        missing = list(here.difference(self.memo))
+        if len(self.memo) + 2 * len(missing) > self.MEMO_PIECES:
+            self.memo = {p: self.memo[p] for p in here.intersection(self.memo)}
+        new = [h for h in dict.fromkeys(heads) if h not in self.heads]
+        if len(self.heads) + len(new) > self.MEMO_PIECES // 10:
+            self.heads.clear()
+            new = list(dict.fromkeys(heads))
+        self.heads |= self.alone(new)
+        self.learn(missing)
+        known = self.memo.__getitem__
+        out = [self.heads[h] + b"".join(map(known, pieces)) for h, pieces in zip(heads, cut, strict=True)]
+        for memo, some in ((self.heads, new), (self.memo, missing)):
+            for p in some:
+                if len(p) > self.MEMO_CHARS:
+                    del memo[p]
         return out
 
-
-class _Two:
-    """Two maps as one."""
-
-    def __init__(self, one: dict[str, bytes], other: dict[str, bytes]) -> None:
-        self.one, self.other = one, other
-
-    def __getitem__(self, key: str) -> bytes:
-        found = self.other.get(key)
-        return self.one[key] if found is None else found
+    def learn(self, pieces: list[str]) -> None:
+        """Remember pieces; signs behind a word are pre-tokens of their own, so the word is encoded only once."""
+        ending = {}
+        for p in pieces:
+            word = p.rstrip(self.SIGNS)
+            if word and len(word) < len(p) and "<|" not in p and not word[-1].isspace():
+                ending[p] = (word, p[len(word) :])
+        words = {word for word, _ in ending.values()}
+        words.update(p for p in pieces if p not in ending)
+        self.memo |= self.spaced([w for w in words if w not in self.memo])
+        tails = {tail for _, tail in ending.values()}
+        self.tails |= self.alone([t for t in tails if t not in self.tails])
+        memo, tail_ids = self.memo, self.tails
+        memo.update([(p, memo[word] + tail_ids[tail]) for p, (word, tail) in ending.items()])
+        if len(tail_ids) > self.MEMO_PIECES // 10:
+            tail_ids.clear()
+
+    def alone(self, pieces: list[str]) -> dict[str, bytes]:
+        """Pieces as they stand, one call of the library for many."""
+        found: dict[str, bytes] = {}
+        for i in range(0, len(pieces), 4096):
+            some = pieces[i : i + 4096]
+            for piece, coded in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                found[piece] = np.array(coded.ids, "<u2").tobytes()
+        return found
+
+    def spaced(self, pieces: list[str]) -> dict[str, bytes]:
+        """Pieces with the space before them.
+
+        Those that hold no other space and end visibly are put together to one text: in it each piece begins
+        with the only token that opens with a space. If the count of such tokens is off, they go one by one.
+        """
+        plain = [p for p in pieces if p and " " not in p and not p[-1].isspace()]
+        rest = [p for p in pieces if not p or " " in p or p[-1].isspace()]
+        found = {p[1:]: ids for p, ids in self.alone([" " + p for p in rest]).items()}
+        for i in range(0, len(plain), 4096):
+            some = plain[i : i + 4096]
+            ids = np.array(self.library.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u2")
+            at = np.flatnonzero(self.opens[ids])
+            if len(at) != len(some):
+                found |= {p[1:]: coded for p, coded in self.alone([" " + p for p in some]).items()}
+                continue
+            raw, ends = ids.tobytes(), [*(2 * at[1:]).tolist(), 2 * len(ids)]
+            found.update(zip(some, [raw[2 * a : e] for a, e in zip(at.tolist(), ends, strict=True)], strict=True))
+        return found
 
 
 _LOADED: dict[str, ByteTokenizer] = {}
