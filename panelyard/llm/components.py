@@ -18,7 +18,8 @@ def connected(edges: DataFrame) -> DataFrame:
     """
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = scratch.written(both, "cc-edges")
-    labels = scratch.written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("c")).withColumnRenamed("a", "v"), "cc-0")
+    table = scratch.written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("c")).withColumnRenamed("a", "v"), "cc-0")
+    labels = table
     step = 0
     while True:
         step += 1
@@ -27,8 +28,8 @@ def connected(edges: DataFrame) -> DataFrame:
         jumped = least.join(labels.select(F.col("v").alias("c"), F.col("c").alias("up")), "c", "left").select("v", "old", F.least("c", F.coalesce("up", "c")).alias("c"))
         after = scratch.written(jumped, f"cc-{step}")
         done = after.where("old <> c").isEmpty()
-        scratch.drop(labels)
-        labels = after
+        scratch.drop(table)
+        table, labels = after, after.select("v", "c")
         if done:
             scratch.drop(both)
-            return labels.select("v", "c")
+            return labels

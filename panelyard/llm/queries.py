@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelyard.llm import bpe, mixing, near_duplicates, quality_model, quality_rules, sharding, sketches, token_files, toxicity, url_filter
+from panelyard.llm import bpe, mixing, near_duplicates, oracles, quality_model, quality_rules, sharding, sketches, token_files, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,7 +46,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge_quality(_table(spark, sf_dir, "documents"))
+    return quality_rules.judge_quality(_table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
 def op9_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()

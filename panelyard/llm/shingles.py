@@ -97,7 +97,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> Itera
             if c >= width:
                 sets.append(np.unique(rolled[a : a + c - width + 1]))
             elif c:
-                sets.append(mix(np.array([(hashes[a : a + c] * _ORDER[:c]).sum(dtype=np.uint64) + np.uint64(c) * np.uint64(0xA0761D6478BD642F)], np.uint64)))
+                sets.append(mix((hashes[a : a + c] * _ORDER[:c]).sum(dtype=np.uint64, keepdims=True) + np.full(1, c, np.uint64) * np.uint64(0xA0761D6478BD642F)))
             else:
                 sets.append(np.zeros(0, np.uint64))
         bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
