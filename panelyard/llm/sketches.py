@@ -7,7 +7,7 @@ texts share. Then a cell with count 1 or -1 whose XOR passes its own check holds
 taken out of its three cells, which bares others, until nothing is left (or nothing can be peeled).
 
 Larger sketches are many of these side by side: g * g buckets by other bits of the digest. A comparison starts
-with as many as the number of paragraphs calls for, and is retried with g doubled when peeling gets stuck.
+with as many as the number of paragraphs calls for, and is retried with g half as large again when peeling gets stuck.
 """
 
 from __future__ import annotations
@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 
 from panelyard.llm import scratch
 
-#: 60 to 200 characters of a line up to a sentence end; without one, 120 and the rest of a word; or the rest of the line.
-PARAGRAPH = r"[^\n]{60,200}?[.!?](?=\s|$)|[^\n]{120}[^\s]*|[^\n]+"
+#: 180 to 400 characters of a line up to a sentence end; without one, 260 and the rest of a word; or the rest of the line.
+PARAGRAPH = r"[^\n]{180,400}?[.!?](?=\s|$)|[^\n]{260}[^\s]*|[^\n]+"
 TABLES, CELLS = 3, 8
 #: Paragraphs of both texts for each bucket of a comparison's first sketch.
-LOAD = 8.0
-RETRIES = 4
+LOAD = 11.0
+RETRIES = 5
 
 
 def digests(text: Column) -> Column:
@@ -36,9 +36,14 @@ def _passes(d: Column) -> Column:
     return F.xxhash64(d.bitwiseAND(F.lit(~0xFFFF))).bitwiseAND(F.lit(0xFFFF)) == d.bitwiseAND(F.lit(0xFFFF))
 
 
-def _place(d: Column, table: Column) -> Column:
-    """The digest's cell in a table, 0 to 7: three bits of its own."""
-    return F.call_function("shiftrightunsigned", d, (F.lit(20) + table * 3).cast("int")).bitwiseAND(F.lit(CELLS - 1))
+def _places(d: Column) -> Column:
+    """The digest's three cells as bits of one number: in each table, the cell that three bits of its own name."""
+    out = None
+    for table in range(TABLES):
+        at = F.call_function("shiftrightunsigned", d, F.lit(20 + 3 * table)).bitwiseAND(F.lit(CELLS - 1)).cast("int")
+        bit = F.call_function("shiftleft", F.lit(1 << (CELLS * table)).cast("long"), at)
+        out = bit if out is None else out.bitwiseOR(bit)
+    return out
 
 
 def _with(value: Column, then) -> Column:
@@ -49,12 +54,14 @@ def _with(value: Column, then) -> Column:
 def sketch(found: Column) -> Column:
     """The cells (n, x) of an array of digests, table after table."""
 
-    def cell(i: Column) -> Column:
-        table, at = F.floor(i / CELLS), F.pmod(i, F.lit(CELLS))
-        inside = F.filter(found, lambda d: _place(d, table) == at)
-        return _with(inside, lambda f: F.struct(F.size(f).cast("long").alias("n"), F.aggregate(f, F.lit(0).cast("long"), lambda s, d: s.bitwiseXOR(d)).alias("x")))
+    def cells(placed: Column) -> Column:
+        def cell(i: Column) -> Column:
+            inside = F.filter(placed, lambda e: F.call_function("shiftright", e["m"], i).bitwiseAND(F.lit(1).cast("long")) == 1)
+            return _with(inside, lambda f: F.struct(F.size(f).cast("long").alias("n"), F.aggregate(f, F.lit(0).cast("long"), lambda s, e: s.bitwiseXOR(e["d"])).alias("x")))
 
-    return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(TABLES * CELLS - 1).cast("long")), cell)
+        return F.transform(F.sequence(F.lit(0), F.lit(TABLES * CELLS - 1)), cell)
+
+    return _with(F.transform(found, lambda d: F.struct(d.alias("d"), _places(d).alias("m"))), cells)
 
 
 def shown(cells: Column) -> Column:
@@ -72,17 +79,17 @@ def peeled(cells: Column, most: Column) -> Column:
 
     def step(state: Column, _: Column) -> Column:
         pure = F.slice(F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & _passes(c["x"])), 1, 1)
+        known = F.transform(pure, lambda c: F.struct(c["n"].alias("n"), c["x"].alias("x"), _places(c["x"]).alias("m")))
 
         def take(p: Column) -> Column:
             def less(c: Column, i: Column) -> Column:
-                i = i.cast("long")
-                held = _place(p["x"], F.floor(i / CELLS)) == F.pmod(i, F.lit(CELLS))
+                held = F.call_function("shiftright", p["m"], i).bitwiseAND(F.lit(1).cast("long")) == 1
                 return F.when(held, F.struct((c["n"] - p["n"]).alias("n"), c["x"].bitwiseXOR(p["x"]).alias("x"))).otherwise(c)
 
             mine, theirs = (p["n"] == 1).cast("long"), (p["n"] == -1).cast("long")
             return F.struct(F.transform(state["cells"], less).alias("cells"), (state["mine"] + mine).alias("mine"), (state["theirs"] + theirs).alias("theirs"))
 
-        return F.coalesce(F.get(F.transform(pure, take), F.lit(0)), state)
+        return F.coalesce(F.get(F.transform(known, take), F.lit(0)), state)
 
     return F.aggregate(F.sequence(F.lit(0), most), start, step)
 
@@ -121,7 +128,7 @@ def with_likeness(df: DataFrame, one: str, other: str, name: str) -> DataFrame:
     df = df.withColumn("_g", F.ceil(F.sqrt((n1 + n2) / F.lit(LOAD))).cast("long")).withColumn("_g", F.greatest("_g", F.lit(1).cast("long")))
     df = df.withColumn("_d", difference(F.col(one), F.col(other), F.col("_g")))
     for k in range(1, RETRIES):
-        df = df.withColumn(f"_g{k}", F.col("_g") * (1 << k))
+        df = df.withColumn(f"_g{k}", F.ceil(F.col("_g") * 1.5**k).cast("long"))
         df = df.withColumn("_d", F.when(F.col("_d").isNull(), difference(F.col(one), F.col(other), F.col(f"_g{k}"))).otherwise(F.col("_d")))
     shared = F.when(F.col("_d").isNotNull(), n1 - F.col("_d.mine")).otherwise(F.size(F.array_intersect(one, other)))
     value = F.when(n1 + n2 == 0, F.lit(1.0)).otherwise(2.0 * shared / (n1 + n2))
