@@ -464,9 +464,10 @@ def overfit_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- everything else is registered by the modules below
 
-from panelyard import more_queries  # noqa: E402
+from panelyard import more_queries, search_queries  # noqa: E402
 
 more_queries.register(_register)
+search_queries.register(_register, GRID)
 
 
 def queries() -> dict[str, Query]:
