@@ -8,9 +8,10 @@ in the mean; fewer than ``MATCHES`` = 20 is more than five standard deviations a
 * with each class's shared values in order of rarity, two classes with 20 matches must share one among all but
   the last 19 of either (prefix filter). Common values, such as those of a passage that many documents carry,
   sit at the end and are skipped;
-* within a posting list, members are first held against one anchor each, in a few rounds with other anchors,
-  and linked members fall into components. A pair inside a component needs no look any more. What remains,
-  pairs across components in one list, is enumerated in full, counted against ``MATCHES`` on whole signatures.
+* within a posting list, members are first held against one anchor each, the one whose values are most common, in
+  a few rounds with other anchors, and linked members fall into components. A pair inside a component needs no
+  look any more. What remains, pairs across components in one list, is enumerated in full, but for pairs that their
+  numbers of shared shingles rule out, and counted against ``MATCHES`` on whole signatures.
 
 Every link is confirmed on the full shingle sets before it counts.
 """
@@ -102,7 +103,8 @@ def links(docs: DataFrame, signs: DataFrame, *, key: str = "doc_id", text: str =
     met = posted.join(shared, "entry")
     mine = Window.partitionBy("h")
     ranked = met.withColumn("m", F.count("*").over(mine)).withColumn("r", F.row_number().over(mine.orderBy("freq", "entry")))
-    prefix = scratch.written(ranked.where(f"m >= {MATCHES} and r <= m - {MATCHES - 1}").select("h", "entry"), "prefix")
+    ranked = ranked.withColumn("common", F.sum("freq").over(mine))
+    prefix = scratch.written(ranked.where(f"m >= {MATCHES} and r <= m - {MATCHES - 1}").select("h", "entry", "common"), "prefix")
     members = prefix.select("h").distinct()
     wanted = scratch.written(classes.join(members, "h", "left_semi").select(key, "h", "n", "sig"), "candidates")
     sets = scratch.written(_full_sets(docs, wanted.select(key, "h"), key, text), "sets")
@@ -111,7 +113,8 @@ def links(docs: DataFrame, signs: DataFrame, *, key: str = "doc_id", text: str =
     lists = prefix
     for turn in range(ANCHOR_ROUNDS):
         placed = _labelled(lists, labels)
-        anchors = placed.groupBy("entry").agg(F.min(F.struct(F.xxhash64("h", F.lit(turn)).alias("o"), F.col("h").alias("anchor"), F.col("c").alias("ac"))).alias("best")).select("entry", "best.anchor", "best.ac")
+        chance = F.lit(1.0) if turn == 0 else 0.6 + 0.4 * F.pmod(F.xxhash64("h", F.lit(turn)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+        anchors = placed.groupBy("entry").agg(F.max(F.struct((F.col("common") * chance).alias("o"), F.col("h").alias("anchor"), F.col("c").alias("ac"))).alias("best")).select("entry", "best.anchor", "best.ac")
         against = placed.join(anchors, "entry").where("c <> ac and h <> anchor").groupBy("h", "anchor").count()
         one = against.groupBy("h").agg(F.max(F.struct("count", "anchor")).alias("best")).select(F.col("best.anchor").alias("a"), F.col("h").alias("b"))
         new = scratch.written(_confirmed(one, sets), f"links-{turn}")
@@ -122,7 +125,7 @@ def links(docs: DataFrame, signs: DataFrame, *, key: str = "doc_id", text: str =
         lists = _mixed(prefix, labels)
         if lists.isEmpty():
             return labels
-    new = scratch.written(_confirmed(_across(_labelled(lists, labels), wanted), sets), "links-rest")
+    new = scratch.written(_confirmed(_across(_labelled(lists, labels), wanted, sets), sets), "links-rest")
     if not new.isEmpty():
         labels = connected(new if found is None else found.unionAll(new))
     return labels
@@ -141,18 +144,31 @@ def _mixed(prefix: DataFrame, labels: DataFrame) -> DataFrame:
     return scratch.written(prefix.join(several, "entry", "left_semi"), "mixed")
 
 
-def _across(placed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """All pairs of a posting list that lie in different components and match on ``MATCHES`` coordinates.
+def _shared_shingles(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(h, n, s) of members: s of their n shingles are in another member's set too. Those with s under 75 percent of n are left out.
 
-    In each list the largest component stands apart: its members meet the others, but not one another.
+    Linked sets share 75 percent of either, so nothing that is left out has a link among the members.
+    """
+    rows = sets.join(members, "h", "left_semi").select("h", "n", F.explode("members").alias("x"))
+    twice = rows.groupBy("x").agg(F.count("*").alias("c")).where("c > 1").select("x")
+    found = rows.join(twice, "x").groupBy("h", "n").agg(F.count("*").alias("s"))
+    return scratch.written(found.where(f"100 * s >= {PERCENT} * n"), "shared")
+
+
+def _across(placed: DataFrame, wanted: DataFrame, sets: DataFrame) -> DataFrame:
+    """All pairs of a posting list that lie in different components, could be linked, and match on ``MATCHES`` coordinates.
+
+    In each list the largest component stands apart: its members meet the others, but not one another. Sets of sizes
+    a and b that are linked share 75 / 175 of a + b, so each must have as many shingles that any other member has.
     """
     sizes = placed.groupBy("entry", "c").count()
     main = sizes.groupBy("entry").agg(F.max(F.struct("count", "c")).alias("m")).select("entry", F.col("m.c").alias("main"))
-    placed = placed.join(main, "entry")
-    sized = placed.join(wanted.select("h", "n"), "h")
-    few = sized.where("c <> main").select("entry", F.col("h").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"))
-    rest = sized.select("entry", F.col("h").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), (F.col("c") == F.col("main")).alias("in_main"))
-    met = few.join(rest, "entry").where(f"ca <> cb and (in_main or a < b) and 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
+    shared = _shared_shingles(placed.select("h").distinct(), sets)
+    sized = placed.join(main, "entry").join(shared, "h")
+    few = sized.where("c <> main").select("entry", F.col("h").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("s").alias("sa"))
+    rest = sized.select("entry", F.col("h").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("s").alias("sb"), (F.col("c") == F.col("main")).alias("in_main"))
+    could = f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb) and {100 + PERCENT} * least(sa, sb) >= {PERCENT} * (na + nb)"
+    met = few.join(rest, "entry").where(f"ca <> cb and (in_main or a < b) and {could}")
     pairs = met.select("a", "b").distinct()
     signs = wanted.select("h", "sig")
     both = pairs.join(signs.select(F.col("h").alias("a"), F.col("sig").alias("sa")), "a").join(signs.select(F.col("h").alias("b"), F.col("sig").alias("sb")), "b")
