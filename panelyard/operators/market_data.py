@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_SECURITY = Window.partitionBy("permno").orderBy("date")
 FAR_FUTURE = "9999-12-31"
 DELIST_MAX_GAP = 10
 FALLBACK_DAYS = 90
@@ -17,6 +16,11 @@ PERFORMANCE_ACTIONS, PERFORMANCE_RETURN = ("GDR", "GLI", "GEX"), -0.5
 MAX_SPREAD = 0.05
 
 
+def by_security():
+    """Each security's rows in order of date."""
+    return Window.partitionBy("permno").orderBy("date")
+
+
 def flag(c: str):
     """A membership flag that may arrive as a number or be missing: unknown counts as out."""
     return F.coalesce(F.col(c).cast("boolean"), F.lit(False))
@@ -30,7 +34,7 @@ def daily_returns(daily: DataFrame, *, failed_banks: tuple[int, ...] = FAILED_BA
     after a tracked one it is -50%, and null on later ones.
     """
     untracked = F.coalesce(F.col("dlyretmissflg") == "NT", F.lit(False))
-    first = untracked & ~F.lag(untracked, 1, True).over(BY_SECURITY)
+    first = untracked & ~F.lag(untracked, 1, True).over(by_security())
     gone = F.coalesce(F.col("dlydelflg") == "Y", F.lit(False))
     value = (
         F.when(F.col("dlyret").isNotNull(), F.col("dlyret"))
@@ -50,7 +54,7 @@ def quoted_spread(daily: DataFrame) -> DataFrame:
     """
     width = F.try_divide(F.col("dlyask") - F.col("dlybid"), (F.col("dlyask") + F.col("dlybid")) / 2)
     quoted = daily.withColumn("_q", F.when((F.col("dlybid") > 0) & (F.col("dlyask") > F.col("dlybid")) & (width <= MAX_SPREAD), width))
-    back = BY_SECURITY.rowsBetween(-SPREAD_ROWS, -1)
+    back = by_security().rowsBetween(-SPREAD_ROWS, -1)
     trailing = F.when(F.count("_q").over(back) >= SPREAD_LEAST, F.percentile("_q", F.lit(0.5)).over(back))
     day = F.percentile(F.when(flag("in_universe"), F.col("_q")), F.lit(0.5)).over(Window.partitionBy("date"))
     return quoted.withColumn("_t", trailing).withColumn("spread", F.coalesce("_q", "_t", day)).drop("_q", "_t")
@@ -122,7 +126,7 @@ DESCRIPTORS = ("sharetype", "securitytype", "securitysubtype", "usincflg", "issu
 def universe_flag(daily: DataFrame, *, predicate: str = UNIVERSE, descriptors: tuple[str, ...] = DESCRIPTORS, status: str = "tradingstatusflg", member: str = "in_sp500") -> DataFrame:
     """Adds ``in_universe``: index membership and the descriptor rules, a delisted row judged by the row before."""
     alive = F.coalesce(F.col(status) != "D", F.lit(True))
-    run = BY_SECURITY.rowsBetween(Window.unboundedPreceding, 0)
+    run = by_security().rowsBetween(Window.unboundedPreceding, 0)
     judged = daily
     for c in descriptors:
         judged = judged.withColumn(f"_{c}", F.last(F.when(alive, F.col(c)), ignorenulls=True).over(run))

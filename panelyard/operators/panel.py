@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_ASSET = Window.partitionBy("asset").orderBy("date")
+
+def by_asset():
+    """Each asset's rows in order of date."""
+    return Window.partitionBy("asset").orderBy("date")
 
 
 def monthly_bars(lineitem: DataFrame) -> DataFrame:
@@ -34,7 +37,7 @@ def dense(bars: DataFrame, keys: Sequence[str] = ("asset",)) -> DataFrame:
 
 def with_returns(panel: DataFrame) -> DataFrame:
     """Simple returns between neighbouring dates of the grid; a gap stays a gap."""
-    return panel.withColumn("ret", F.try_divide("close", F.lag("close").over(BY_ASSET)) - 1)
+    return panel.withColumn("ret", F.try_divide("close", F.lag("close").over(by_asset())) - 1)
 
 
 def price_panel(daily: DataFrame, field: str = "close", assets: Sequence[object] | None = None) -> DataFrame:
