@@ -232,6 +232,14 @@ def test_sketch_retries_find_the_exact_difference(spark):
         assert r["like"] == pytest.approx(2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0)
 
 
+def test_short_texts_share_the_paragraphs_they_keep(spark):
+    """A text of 300 characters whose last third is replaced still shares the sentences before it."""
+    texts = [(i, " ".join(f"Text {i} has a sentence with the number {j} that is about seventy letters." for j in range(4)), "s") for i in range(2)]
+    assert all(280 < len(t) < 320 for _, t, _ in texts)
+    got = sketches.fingerprints(frame(spark, texts)).collect()
+    assert all(0.4 < r["near_edited"] < 0.7 and r["near_next"] == 0 for r in got)
+
+
 def test_text_decoder_keeps_unfinished_characters():
     machine = bpe.TextDecoder([bytes([b]) for b in range(256)])
     raw = "añ中😀z".encode() + b"\xff\xe4\xb8"
