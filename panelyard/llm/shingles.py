@@ -90,7 +90,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> Itera
         total = len(hashes)
         rolled = np.zeros(total, np.uint64)
         for j in range(width):
-            rolled[: total - j] += hashes[j:] * _ORDER[j]
+            rolled[: max(0, total - j)] += hashes[j:] * _ORDER[j]
         rolled = mix(rolled)
         sets = []
         for i, (a, c) in enumerate(zip(firsts.tolist(), counts.tolist(), strict=True)):

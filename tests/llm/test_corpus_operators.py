@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tests.llm.fixtures import frame, odd, ordinary
 from tokenizers import Tokenizer
 
-from panelyard.llm import bpe, mixing, near_duplicates, quality_rules, sharding, sketches, token_files, url_filter
+from panelyard.llm import bpe, mixing, near_duplicates, quality_rules, sharding, shingles, sketches, token_files, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -160,6 +160,17 @@ def test_near_duplicates_of_chains_and_hubs(spark):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == Counter(components(texts))
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5])
+def test_a_slab_of_few_words(n):
+    data = np.frombuffer(" ".join(["hello", "world", "a", "b", "c"][:n]).encode(), np.uint8)
+    (first, flat, bounds), = shingles.shingle_sets(data, np.array([0, len(data)]))
+    assert (first, len(flat), bounds.tolist()) == (0, 1, [0, 1])
+    alone = flat[0]
+    more = np.concatenate([data, np.frombuffer(b"one two three four five six seven", np.uint8)])
+    (_, flat, bounds), = shingles.shingle_sets(more, np.array([0, len(data), len(more)]))
+    assert flat[0] == alone and bounds.tolist() == [0, 1, 4]
+
+
 def test_url_rules_against_plain_code(spark):
     urls = [
         None, "", "no scheme", "http://example.org/es/1", "http://EXAMPLE.org/en/17?x", "https://a.example.org/en/2", "http://example.com/fr/", "http://x.com/de/9#z", "http://org/", "http://a.org", "http://forg/", "http://notexample.org/es/",
