@@ -68,6 +68,14 @@ def test_disguises_are_undone(corpus):
     assert all(model.words(w) == [w] for w in (word(r) for _ in range(50)))
 
 
+def test_long_pieces_are_decoded_to_their_end(corpus):
+    model = toxicity.ToxicityModel([(t, text) for (_, text, _), (_, _, t) in zip(*corpus, strict=True)], {0: 400, 1: 200})
+    for text in ("id" + "i" * 80 + "ot", "cl" + "o" * 5000 + "wn", "-".join(["bada"] * 40 + list("m0r0n"))):
+        assert any(insult in "".join(model.words(text)) for insult in INSULTS), text[:80]
+    plain = model.restorer.restore
+    assert plain("m0r0n" + "." * 70 + "m0r0n").count("moron") == 2
+
+
 @pytest.mark.parametrize("model", [quality_model, toxicity])
 def test_odd_and_empty_tables(spark, model):
     labels = spark.createDataFrame([(4, 1, 0), (7, 0, 1), (7, 1, 1), (8, None, None), (99, 1, 1)], "doc_id bigint, quality int, toxic int")
