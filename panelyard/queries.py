@@ -132,8 +132,9 @@ def panel_dense_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("WITH " + BARS + " SELECT date, " + ", ".join(f"round(abs(max(CASE WHEN asset = {k} THEN close END)), 8) + 0.0 AS \"{k}\"" for k in range(1, 6)) + " FROM bars GROUP BY date")
 def panel_price_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = pn.monthly_bars(table(spark, sf_dir, "lineitem")).withColumn("seq", F.lit(0))
-    wide = pn.price_panel(bars, "close", list(range(1, 6)))
-    return wide.select("date", *[rounded(F.col(f"`{k}`"), 8).alias(str(k)) for k in range(1, 6)])
+    assets = [r["asset"] for r in bars.select("asset").distinct().orderBy("asset").collect()]
+    wide = pn.price_panel(bars, "close", assets)
+    return wide.select("date", *[rounded(F.col(f"`{k}`"), 8).alias(str(k)) for k in assets])
 
 
 @_register("WITH " + _weights_sql() + " SELECT candidate, date, asset, round(weight, 8) + 0.0 AS weight FROM book")

@@ -23,3 +23,16 @@ def test_against_duckdb(spark, name):
     columns = sorted(got.columns)
     plain = lambda rows: sorted(tuple("~" if v is None else f"{v:.8g}" if isinstance(v, float) else str(v)[:10] for v in r) for r in rows)
     assert plain(tuple(r[c] for c in columns) for r in got.collect()) == plain(expected.select(*[f'"{c}"' for c in columns]).fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_price_pivot_has_every_asset(spark):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    expected = duckdb.sql(f"SELECT CAST(date_trunc('month', l_shipdate) AS DATE), l_suppkey, sum(l_extendedprice) / sum(l_quantity) FROM '{SF}/lineitem.parquet' GROUP BY 1, 2").fetchall()
+    got = entry.queries()["panel_price_pivot"](spark, SF)
+    assert set(got.columns) == {"date"} | {str(asset) for _, asset, _ in expected}
+    cells = {(str(r["date"])[:10], int(c)): r[c] for r in got.collect() for c in got.columns if c != "date" and r[c] is not None}
+    assert cells == {(str(date), asset): pytest.approx(float(close), abs=1e-7) for date, asset, close in expected}
