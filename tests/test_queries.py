@@ -36,3 +36,21 @@ def test_price_pivot_has_every_asset(spark):
     assert set(got.columns) == {"date"} | {str(asset) for _, asset, _ in expected}
     cells = {(str(r["date"])[:10], int(c)): r[c] for r in got.collect() for c in got.columns if c != "date" and r[c] is not None}
     assert cells == {(str(date), asset): pytest.approx(float(close), abs=1e-7) for date, asset, close in expected}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_available_from_knows_every_ship_date(spark):
+    import bisect
+    import datetime
+
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    days = [d for (d,) in duckdb.sql(f"SELECT DISTINCT CAST(l_shipdate AS DATE) FROM '{SF}/lineitem.parquet' ORDER BY 1").fetchall()]
+    got = entry.queries()["market_available_from"](spark, SF).collect()
+    assert got
+    for r in got:
+        base = r["datadate"] + datetime.timedelta(days=30 if r["o_orderkey"] % 3 else 90)
+        at = bisect.bisect_right(days, base)
+        assert r["available"] == (days[at] if at < len(days) else None)
