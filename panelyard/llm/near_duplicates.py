@@ -10,8 +10,9 @@ in the mean; fewer than ``MATCHES`` = 20 is more than five standard deviations a
   sit at the end and are skipped;
 * within a posting list, members are first held against one anchor each, the one whose values are most common, in
   a few rounds with other anchors, and linked members fall into components. A pair inside a component needs no
-  look any more. What remains, pairs across components in one list, is enumerated in full, but for pairs that their
-  numbers of shared shingles rule out, and counted against ``MATCHES`` on whole signatures.
+  look any more. What remains, pairs across components in one list, is looked at in full, but for pairs that their
+  numbers of shared shingles rule out, and counted against ``MATCHES`` on whole signatures. Short lists are joined
+  for that; the members of long ones are compared in blocks of bounded size, from which only links come out.
 
 Every link is confirmed on the full shingle sets before it counts.
 """
@@ -32,6 +33,8 @@ from panelyard.llm.shingles import set_hash, shingle_sets, signatures
 
 COORDINATES, MATCHES, WIDTH, PERCENT = 48, 20, 5, 75
 ANCHOR_ROUNDS = 4
+#: Posting lists of up to this many members are joined with themselves; longer ones are compared in blocks of two chunks.
+SHORT, CHUNK, COLUMNS = 16, 256, 4096
 #: Class ids up to this number are sent to all executors (16 bytes each); beyond it, texts are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -125,7 +128,7 @@ def links(docs: DataFrame, signs: DataFrame, *, key: str = "doc_id", text: str =
         lists = _mixed(prefix, labels)
         if lists.isEmpty():
             return labels
-    new = scratch.written(_confirmed(_across(_labelled(lists, labels), wanted, sets), sets), "links-rest")
+    new = scratch.written(_across(_labelled(lists, labels), wanted, sets), "links-rest")
     if not new.isEmpty():
         labels = connected(new if found is None else found.unionAll(new))
     return labels
@@ -156,23 +159,116 @@ def _shared_shingles(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _across(placed: DataFrame, wanted: DataFrame, sets: DataFrame) -> DataFrame:
-    """All pairs of a posting list that lie in different components, could be linked, and match on ``MATCHES`` coordinates.
+    """Links (a, b) between different components of one posting list: at least one for every two components that have any.
 
-    In each list the largest component stands apart: its members meet the others, but not one another. Sets of sizes
-    a and b that are linked share 75 / 175 of a + b, so each must have as many shingles that any other member has.
+    Members that can't be linked are left out first. Lists of up to ``SHORT`` members are joined with themselves, so a
+    row meets at most that many others. Longer lists overlap nearly whole, as the copies of one text share most of
+    their values, so joining each with itself would find the same pairs again and again. Their members are put
+    together to families, lists that share a member being one, and a family is compared once, in blocks.
     """
-    sizes = placed.groupBy("entry", "c").count()
-    main = sizes.groupBy("entry").agg(F.max(F.struct("count", "c")).alias("m")).select("entry", F.col("m.c").alias("main"))
-    shared = _shared_shingles(placed.select("h").distinct(), sets)
-    sized = placed.join(main, "entry").join(shared, "h")
-    few = sized.where("c <> main").select("entry", F.col("h").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("s").alias("sa"))
-    rest = sized.select("entry", F.col("h").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("s").alias("sb"), (F.col("c") == F.col("main")).alias("in_main"))
-    could = f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb) and {100 + PERCENT} * least(sa, sb) >= {PERCENT} * (na + nb)"
-    met = few.join(rest, "entry").where(f"ca <> cb and (in_main or a < b) and {could}")
-    pairs = met.select("a", "b").distinct()
+    placed = placed.join(_shared_shingles(placed.select("h").distinct(), sets), "h")
+    lists = placed.groupBy("entry").agg(F.count("*").alias("f"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("h").alias("head")).where("lo <> hi")
+    placed = scratch.written(placed.join(lists.select("entry", "f", "head"), "entry"), "apart")
+    short = placed.where(f"f <= {SHORT}")
+    side = lambda s: short.select("entry", *[F.col(c).alias(c + s) for c in ("h", "c", "n", "s")])
+    met = side("a").join(side("b"), "entry").where(f"ha < hb and ca <> cb and {_could('na', 'nb', 'sa', 'sb')}")
+    pairs = met.select(F.col("ha").alias("a"), F.col("hb").alias("b")).distinct()
     signs = wanted.select("h", "sig")
     both = pairs.join(signs.select(F.col("h").alias("a"), F.col("sig").alias("sa")), "a").join(signs.select(F.col("h").alias("b"), F.col("sig").alias("sb")), "b")
-    return both.where(F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda same: same)) >= MATCHES).select("a", "b")
+    agreed = both.where(F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda same: same)) >= MATCHES).select("a", "b")
+    found = _confirmed(agreed, sets)
+    long = placed.where(f"f > {SHORT}")
+    if long.isEmpty():
+        return found
+    family = connected(long.select(F.col("head").alias("a"), F.col("h").alias("b")).distinct())
+    members = long.select("h", "c", "s").distinct().join(family.select(F.col("v").alias("h"), F.col("c").alias("g")), "h")
+    return found.unionAll(_in_blocks(members, wanted, sets))
+
+
+def _could(na: str, nb: str, sa: str, sb: str) -> str:
+    """Sets of sizes a and b that are linked share 75 / 175 of a + b, so each must have as many shingles that any other member has."""
+    return f"100 * least({na}, {nb}) >= {PERCENT} * greatest({na}, {nb}) and {100 + PERCENT} * least({sa}, {sb}) >= {PERCENT} * ({na} + {nb})"
+
+
+def _in_blocks(members: DataFrame, wanted: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between different components of each family of (g, h, c, s), compared block by block.
+
+    A family's largest component stands apart: its members meet the others, but not one another. Members are dealt by
+    hash into chunks of about ``CHUNK``, and a block holds two chunks, so its size doesn't depend on the family's. In
+    a block, pairs are counted against ``MATCHES`` on signatures and those that stay are confirmed on full sets; rows
+    are given out for links alone, one for each two components.
+    """
+    sizes = members.groupBy("g", "c").count()
+    most = sizes.groupBy("g").agg(F.max(F.struct("count", "c")).alias("m"), F.sum("count").alias("all"))
+    parts = lambda n: F.ceil(n / F.lit(CHUNK)).cast("int")
+    families = most.select("g", F.col("m.c").alias("main"), parts(F.col("all") - F.col("m.count")).alias("kf"), parts(F.col("m.count")).alias("km"))
+    dealt = members.join(families, "g").withColumn("apart", F.col("c") == F.col("main"))
+    dealt = dealt.withColumn("i", F.pmod(F.xxhash64("h", F.lit(17)), F.when(F.col("apart"), F.col("km")).otherwise(F.col("kf")).cast("long")).cast("int"))
+    place = lambda i, j, right: F.struct(i.alias("i"), j.alias("j"), F.lit(right).alias("right"))
+    others = F.sequence(F.lit(0), F.col("kf") - 1)
+    here = F.transform(others, lambda k: F.when(k < F.col("i"), place(k, F.col("i"), True)).otherwise(place(F.col("i"), k, False)))
+    against = F.transform(F.sequence(F.col("kf"), F.col("kf") + F.col("km") - 1), lambda k: place(F.col("i"), k, False))
+    main = F.transform(others, lambda k: place(k, F.col("kf") + F.col("i"), True))
+    blocks = dealt.select("g", "h", "c", "s", F.explode(F.when(F.col("apart"), main).otherwise(F.concat(here, against))).alias("at")).select("g", "at.*", "h", "c", "s")
+    full = blocks.join(wanted.select("h", "sig"), "h").join(sets.select("h", "n", "members"), "h")
+    return full.select("g", "i", "j", "right", "h", "c", "s", "n", "sig", "members").groupBy("g", "i", "j").applyInArrow(_block_links, "a bigint, b bigint")
+
+
+def _block_links(table: pa.Table) -> pa.Table:
+    table = table.combine_chunks()
+    flag = table.column("right").to_numpy()
+    left = np.flatnonzero(~flag)
+    right = np.flatnonzero(flag) if flag.any() or table.column("i")[0].as_py() != table.column("j")[0].as_py() else left
+    h, c, s, n = (table.column(name).to_numpy() for name in ("h", "c", "s", "n"))
+    sig = table.column("sig").combine_chunks()
+    sig = sig.flatten().to_numpy().reshape(len(h), COORDINATES)
+    agree = np.zeros((len(left), len(right)), np.uint8)
+    for k in range(COORDINATES):
+        agree += sig[left, k][:, None] == sig[right, k][None, :]
+    least = lambda a: np.minimum(a[left][:, None], a[right][None, :])
+    both = n[left][:, None] + n[right][None, :]
+    keep = (agree >= MATCHES) & (c[left][:, None] != c[right][None, :]) & ((100 + PERCENT) * least(s) >= PERCENT * both)
+    x, y = np.flatnonzero(keep.any(1)), np.flatnonzero(keep.any(0))
+    left, right, keep = left[x], right[y], keep[np.ix_(x, y)]
+    lists = table.column("members").combine_chunks()
+    common = _shared_counts(lists, left, right)
+    a, b = np.nonzero(keep & ((100 + PERCENT) * common >= PERCENT * both[np.ix_(x, y)]))
+    a, b = left[a], right[b]
+    _, first = np.unique(np.stack([c[a], c[b]], 1), axis=0, return_index=True)
+    return pa.table({"a": pa.array(h[a[first]]), "b": pa.array(h[b[first]])})
+
+
+def _shared_counts(lists: pa.ListArray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of each left with each right set: products of 0/1 matrices, ``COLUMNS`` shingles at a time."""
+    bounds, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    common = np.zeros((len(left), len(right)), np.int64)
+
+    def entries(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = bounds[rows + 1] - bounds[rows]
+        at = np.repeat(bounds[rows] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        return np.repeat(np.arange(len(rows)), size), flat[at]
+
+    (ri, rx), (ci, cx) = entries(left), entries(right)
+    known = np.intersect1d(rx, cx)
+    if not len(known):
+        return common
+
+    def placed(i: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+        has = known[at] == x
+        order = np.argsort(at[has], kind="stable")
+        return i[has][order], at[has][order]
+
+    (ri, rx), (ci, cx) = placed(ri, rx), placed(ci, cx)
+    for begin in range(0, len(known), COLUMNS):
+        sides = []
+        for i, x, rows in ((ri, rx, len(left)), (ci, cx, len(right))):
+            lo, hi = np.searchsorted(x, (begin, begin + COLUMNS))
+            dense = np.zeros((rows, COLUMNS), np.float32)
+            dense[i[lo:hi], x[lo:hi] - begin] = 1
+            sides.append(dense)
+        common += np.rint(sides[0] @ sides[1].T).astype(np.int64)
+    return common
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -202,14 +298,16 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Dat
 
     Rows are told apart by key and text together, so rows that repeat a key with another text are judged on
     their own; of rows that repeat both, one stays. What goes is a small part of the table and is sent to all
-    executors while it has at most ``BROADCAST_ROWS`` rows; beyond, the texts are joined by shuffle.
+    executors while it has at most ``BROADCAST_ROWS`` rows; beyond, the texts are joined by shuffle. Null and empty
+    texts and rows without key stay. An empty table gives an empty result. Columns of any name are kept as they are.
     """
     tagged = docs.select(F.struct(F.col(key).alias("k"), F.xxhash64(text).alias("t")).alias("_key"), F.col(text).alias("_text"))
     judged = scratch.written(near_duplicates(tagged, key="_key", text="_text").select("_key", "kept"), "judged")
-    gone = judged.where("not kept").select(F.col("_key.k").alias("_gone_k"), F.col("_key.t").alias("_gone_t"))
+    gone_key, gone_text = scratch.free(docs, "_gone_key", "_gone_text")
+    gone = judged.where("not kept").select(F.col("_key.k").alias(gone_key), F.col("_key.t").alias(gone_text))
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    left = docs.join(gone, F.col(key).eqNullSafe(F.col("_gone_k")) & (F.xxhash64(text) == F.col("_gone_t")), "left_anti")
+    left = docs.join(gone, F.col(key).eqNullSafe(F.col(gone_key)) & (F.xxhash64(text) == F.col(gone_text)), "left_anti")
     stays = judged.where("kept")
     if stays.select("_key").distinct().count() < stays.count():
         left = left.dropDuplicates([key, text])

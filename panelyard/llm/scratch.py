@@ -46,6 +46,16 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores put before those that ``df`` has, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files behind a table made by :func:`written`; call only once nothing reads it."""
     path = getattr(df, "_panelyard_path", None)
