@@ -16,12 +16,18 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
+from copy import copy
+from itertools import chain, pairwise
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
+from panelyard.llm.buffers import SPACE_BYTES, utf8
+from panelyard.llm.pieces import PieceMemory, tails
+
 
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies.
@@ -46,13 +52,10 @@ class Transducer:
     def merged(self, symbols: list[str]) -> list[str]:
         """All merges over a bounded list of symbols, lowest rank first, left to right."""
         rank, none = self.rank.get, len(self.rank)
-        ranks = [rank(p, none) for p in zip(symbols, symbols[1:], strict=False)]
-        while ranks:
-            best = min(ranks)
-            if best == none:
-                break
+        ranks = [rank(p, none) for p in pairwise(symbols)]
+        while ranks and (best := min(ranks)) != none:
             i = ranks.index(best)
-            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            symbols[i] += symbols.pop(i + 1)
             del ranks[i]
             if i:
                 ranks[i - 1] = rank((symbols[i - 1], symbols[i]), none)
@@ -60,27 +63,49 @@ class Transducer:
                 ranks[i] = rank((symbols[i], symbols[i + 1]), none)
         return symbols
 
-    def short(self, symbols: list[str]) -> list[str]:
-        """The tokens of a pre-token that fits the window whole."""
-        symbols[-1] += self.suffix
-        return self.merged(symbols)
+    def stream(self) -> TokenStream:
+        """A run of the transducer over one pre-token."""
+        return TokenStream(self)
 
     def tokens(self, symbols: Iterable[str]) -> Iterator[str]:
-        """The tokens of one pre-token, given as byte-alphabet characters; the window is all that is kept."""
-        window: list[str] = []
-        for symbol in symbols:
-            window.append(symbol)
-            if len(window) > self.window:
-                given, final = 0, len(window) - 1 - self.lookahead
-                for token in self.merged(window[:-1]):  # the last symbol may yet get the suffix
-                    if given + len(token) > final:
-                        break
-                    given += len(token)
-                    yield token
-                del window[:given]
-        if window:
-            window[-1] += self.suffix
-            yield from self.merged(window)
+        """The tokens of one pre-token, given as byte-alphabet characters in any chunks."""
+        run = self.stream()
+        for chunk in symbols:
+            yield from run.feed(chunk)
+        yield from run.close()
+
+
+class TokenStream:
+    """The state of a run: a window of symbols that aren't in final tokens yet, at most ``Transducer.window`` + 1."""
+
+    def __init__(self, transducer: Transducer) -> None:
+        self.transducer, self.window = transducer, []
+
+    def feed(self, symbols: str) -> list[str]:
+        """Read more symbols; the tokens that are final by now."""
+        machine, given = self.transducer, []
+        room = machine.window + 1 - len(self.window)
+        while len(symbols) >= room:
+            self.window.extend(symbols[:room])
+            symbols = symbols[room:]
+            done, final = 0, len(self.window) - 1 - machine.lookahead
+            for token in machine.merged(self.window[:-1]):  # the last symbol may yet get the suffix
+                if done + len(token) > final:
+                    break
+                done += len(token)
+                given.append(token)
+            del self.window[:done]
+            room = machine.window + 1 - len(self.window)
+        self.window.extend(symbols)
+        return given
+
+    def close(self) -> list[str]:
+        """The tokens of what is left, now that the pre-token has ended."""
+        if not self.window:
+            return []
+        self.window[-1] += self.transducer.suffix
+        left, self.window = self.window, []
+        return self.transducer.merged(left)
 
 
 def sufficient_lookahead(merges: list[tuple[str, str]], suffix: str = "") -> int:
@@ -103,32 +128,31 @@ def sufficient_lookahead(merges: list[tuple[str, str]], suffix: str = "") -> int
 
 
 class TextDecoder:
-    """Bytes in, text out: keeps the unfinished bytes of at most one character between calls.
+    """Ids in, text out: keeps the unfinished bytes of at most one character between calls.
 
-    ``need`` counts the continuation bytes that the character still lacks. A byte that can't go on a
-    character ends it as U+FFFD, as the usual replacing decoder has it.
+    Each id has its bytes, with ``between`` before all but the first. Bytes that can't be part of a character become
+    U+FFFD, as the usual replacing decoder has it, wherever the ids are cut into chunks.
     """
 
     def __init__(self, pieces: list[bytes], between: bytes = b"") -> None:
-        self.pieces, self.between = pieces, between
-        self.pending, self.need, self.begun = b"", 0, False
-
-    def feed(self, token: int) -> str:
-        raw = self.pieces[token]
-        if self.begun:
-            raw = self.between + raw
-        self.begun = True
+        self.table, self.skip, self.pending = ByteTable([between + p for p in pieces]), len(between), b""
+
+    def feed(self, ids: np.ndarray) -> str:
+        raw = self.table.join(ids)
+        if len(ids) and self.skip:
+            raw, self.skip = raw[self.skip :], 0
         raw = self.pending + raw
         cut = len(raw)
-        for back in range(1, min(4, len(raw)) + 1):
+        for back in range(1, min(3, len(raw)) + 1):
             byte = raw[-back]
             if byte >= 0xC0:
                 width = 2 if byte < 0xE0 else 3 if byte < 0xF0 else 4
-                cut = len(raw) - back if width > back else cut
+                if width > back and raw[-back:].decode("utf-8", "replace").count("\ufffd") == 1:
+                    cut = len(raw) - back
                 break
             if byte < 0x80:
                 break
-        self.pending, self.need = raw[cut:], 0
+        self.pending = raw[cut:]
         return raw[:cut].decode("utf-8", "replace")
 
     def close(self) -> str:
@@ -136,21 +160,34 @@ class TextDecoder:
         return rest.decode("utf-8", "replace")
 
 
+class ByteTable:
+    """Byte strings by number, joined for a whole array of numbers at once."""
+
+    def __init__(self, values: list[bytes]) -> None:
+        self.size = np.array([len(v) for v in values], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(values), np.uint8)
+
+    def join(self, numbers: np.ndarray) -> bytes:
+        size = self.size[numbers]
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(self.first[numbers] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+
+
 class WordTokenizer:
     """The lower-casing, word-end BPE of a tokenizer file, by transducer.
 
-    Texts are cut at white space, which the tokenizer drops in any case; a piece is normalised (NFC, then
-    lower case character by character), cut into pre-tokens by the file's pattern, and each pre-token goes
-    through the transducer. Beyond Latin, where Unicode versions differ in what is a letter, the library's
-    own normaliser and pre-tokenizer do the cutting. Pieces and pre-tokens up to ``MEMO_CHARS`` are
-    remembered, at most ``MEMO_PIECES`` of each.
+    Texts are cut at ASCII white space, which the tokenizer drops in any case, and ASCII signs at a piece's end are
+    cut off; A to Z are lower-cased at once. A piece is normalised (NFC, then lower case character by character), cut
+    into pre-tokens by the file's pattern, and each pre-token runs through the transducer. Beyond Latin, where
+    Unicode versions differ in what is a letter, the library's own normaliser and pre-tokenizer do the cutting. What
+    came out for a piece is remembered (see :class:`PieceMemory`); ids then run through one decoder for each text.
     """
 
-    MEMO_CHARS, MEMO_PIECES = 48, 300_000
-    #: White space as the tokenizer's patterns have it: Unicode's property, so without U+001C to U+001F.
-    SPACE = regex.compile(r"[\p{White_Space}]+")
-    SEPARATORS = regex.compile(r"[\x1c-\x1f]")
-    SEGMENT = 1 << 20
+    MEMO_PIECES = 1_000_000
+    #: Bytes worked on at once; a longer text is cut at white space.
+    SLAB = 1 << 20
+    SPACE = np.isin(np.arange(256), SPACE_BYTES)
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
@@ -160,35 +197,36 @@ class WordTokenizer:
             raise ValueError("a BPE file without a decoder is needed here")
         self.library = Tokenizer.from_file(path)
         self.vocab = {**model["vocab"], **{a["content"]: a["id"] for a in added}}
+        if max(self.vocab.values()) >= 1 << 16:
+            raise ValueError("ids must fit two bytes")
         self.transducer = Transducer(model["vocab"], [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]], model["end_of_word_suffix"] or "")
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.special = regex.compile("|".join(regex.escape(a["content"]) for a in added) or r"(?!)")
-        self.alphabet = byte_alphabet()
+        self.alphabet = dict(enumerate(byte_alphabet()))
         names = [""] * (max(self.vocab.values()) + 1)
         for name, i in self.vocab.items():
             names[i] = name
         self.pieces = [name.encode() for name in names]
-        self.memo: dict[str, tuple[str, str]] = {}
-        self.words: dict[str, tuple[str, str]] = {}
+        self.decimals = ByteTable([b" %d" % i for i in range(len(names))])
+        self.machine = TextDecoder(self.pieces, b" ")
+        self.memory = PieceMemory(self.learn, self.MEMO_PIECES)
 
-    def pretokens(self, text: str) -> Iterator[str]:
+    def pretokens(self, text: str) -> list[str]:
         """Pre-tokens of a text without special tokens, as byte-alphabet characters."""
         if text.isascii() and text.isprintable():
-            yield from self.pattern.findall(text.lower())
-        elif max(text) < "\u0250":
-            for found in self.pattern.findall("".join([c.lower() for c in unicodedata.normalize("NFC", text)])):
-                yield "".join([self.alphabet[b] for b in found.encode()])
-        else:
-            for found, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text)):
-                yield found
+            return [text.lower()] if text.isalpha() else self.pattern.findall(text.lower())
+        if max(text, default="") < "\u0250":
+            cut = self.pattern.findall("".join([c.lower() for c in unicodedata.normalize("NFC", text)]))
+            return [found.encode().decode("latin-1").translate(self.alphabet) for found in cut]
+        return [found for found, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
 
     def tokens(self, text: str) -> Iterator[str]:
         """Token names of any text, one after another, in constant memory beyond the text."""
         at = 0
         for found in [*self.special.finditer(text), None] if "<|" in text else [None]:
             for word in self.pretokens(text[at : found.start() if found else len(text)]):
-                yield from self.transducer.tokens(word)
+                yield from self.transducer.tokens((word,))
             if found:
                 yield found[0]
                 at = found.end()
@@ -199,59 +237,88 @@ class WordTokenizer:
 
     def decoder(self) -> TextDecoder:
         """The decoder of a file without one of its own: token names with a space between."""
-        return TextDecoder(self.pieces, b" ")
+        fresh = copy(self.machine)
+        fresh.skip, fresh.pending = 1, b""
+        return fresh
 
     def decode(self, ids: Iterable[int]) -> str:
         machine = self.decoder()
-        return "".join([*map(machine.feed, ids), machine.close()])
-
-    def kept(self, memo: dict[str, tuple[str, str]], text: str, ids: list[int]) -> tuple[str, str]:
-        out = " ".join(map(str, ids)), self.decode(ids)
-        if len(text) <= self.MEMO_CHARS:
-            if len(memo) >= self.MEMO_PIECES:
-                memo.clear()
-            memo[text] = out
-        return out
-
-    def word(self, word: str) -> tuple[str, str]:
-        """Ids and decoded text of one pre-token, each joined as in a whole text."""
-        tokens = self.transducer.short(list(word)) if len(word) <= self.transducer.window else self.transducer.tokens(word)
-        return self.kept(self.words, word, [self.vocab[t] for t in tokens])
-
-    def piece(self, text: str) -> tuple[str, str]:
-        """Ids and decoded text of a piece between white space."""
-        if "<|" in text:
-            return self.kept(self.memo, text, list(self.stream(text)))
-        parts = [self.words.get(w) or self.word(w) for w in self.pretokens(text)]
-        out = parts[0] if len(parts) == 1 else (" ".join([p[0] for p in parts]), " ".join([p[1] for p in parts]))
-        if len(text) <= self.MEMO_CHARS:
-            if len(self.memo) >= self.MEMO_PIECES:
-                self.memo.clear()
-            self.memo[text] = out
-        return out
-
-    def cut(self, text: str) -> Iterator[list[str]]:
-        """Lists of the pieces between white space, of about a segment's length each."""
-        odd, at = self.SEPARATORS.search(text) is not None, 0
-        while at < len(text):
-            space = self.SPACE.search(text, at + self.SEGMENT) if len(text) - at > self.SEGMENT else None
-            end = space.end() if space else len(text)
-            part = text[at:end] if at or end < len(text) else text
-            yield [p for p in self.SPACE.split(part) if p] if odd else part.split()
-            at = end
-
-    def measure(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids in decimal joined by spaces, SHA-256 of the decoded text."""
-        ids, words, count, get, between = hashlib.sha256(), hashlib.sha256(), 0, self.memo.get, ""
-        for pieces in self.cut(text):
-            if pieces:
-                done = [get(p) or self.piece(p) for p in pieces]
-                line = " ".join([d[0] for d in done])
-                ids.update((between + line).encode())
-                words.update((between + " ".join([d[1] for d in done])).encode())
-                count += line.count(" ") + 1
-                between = " "
-        return count, ids.hexdigest(), words.hexdigest()
+        return machine.feed(np.fromiter(ids, np.int64)) + machine.close()
+
+    def learn(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, number of ids of each) of pieces, by the transducer."""
+        run, number, coded = self.transducer.stream(), self.vocab.__getitem__, []
+        for piece in pieces:
+            text = piece.decode()
+            if "<|" in text:
+                coded.append(list(self.stream(text)))
+                continue
+            ids: list[int] = []
+            for word in self.pretokens(text):
+                ids += map(number, run.feed(word))
+                ids += map(number, run.close())
+            coded.append(ids)
+        return np.fromiter(chain.from_iterable(coded), np.uint16), np.fromiter(map(len, coded), np.int64, len(coded))
+
+    def slab(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, number of ids of each text)."""
+        n = len(data)
+        shown = ~self.SPACE[data]
+        edge = np.zeros(n + 1, bool)
+        edge[offsets] = True
+        begins = shown.copy()
+        begins[1:] &= ~shown[:-1] | edge[1:n]
+        ends = shown.copy()
+        ends[:-1] &= ~shown[1:] | edge[1:n]
+        first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        if not len(first):
+            return np.zeros(0, np.uint16), np.zeros(len(offsets) - 1, np.int64)
+        cut = tails(data, first, last)
+        first, last = np.sort(np.append(first, cut)), np.sort(np.append(last, cut))
+        fold = (data >= 65) & (data < 91)
+        marks = np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C))
+        for k in np.unique(np.searchsorted(first, marks, side="right") - 1).tolist():
+            fold[first[k] : last[k]] = False
+        ids, size = self.memory.look_up(data | (fold.view(np.uint8) << np.uint8(5)), first, last - first)
+        row = np.searchsorted(offsets, first, side="right") - 1
+        return ids, np.bincount(row, size, minlength=len(offsets) - 1).astype(np.int64)
+
+    def measure(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, str, str]]:
+        """For each text: number of ids, SHA-256 of the ids in decimal joined by spaces, SHA-256 of the decoded text.
+
+        A text goes slab by slab through the encoder, one decoder and the two hashes.
+        """
+        at, rows = 0, len(offsets) - 1
+        while at < rows:
+            stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + self.SLAB, side="right")) - 1)
+            begin, end = int(offsets[at]), int(offsets[stop])
+            if stop > at + 1 or end - begin <= 2 * self.SLAB:
+                ids, counts = self.slab(data[begin:end], offsets[at : stop + 1] - begin)
+                lots = ([some] for some in np.split(ids, np.cumsum(counts)[:-1]))
+            else:
+                lots = [self.segments(data, begin, end)]
+            for parts in lots:
+                decimal, words, machine, count = hashlib.sha256(), hashlib.sha256(), self.decoder(), 0
+                for some in parts:
+                    decimal.update(self.decimals.join(some)[0 if count else 1 :])
+                    words.update(machine.feed(some).encode())
+                    count += len(some)
+                words.update(machine.close().encode())
+                yield count, decimal.hexdigest(), words.hexdigest()
+            at = stop
+
+    def segments(self, data: np.ndarray, begin: int, end: int) -> Iterator[np.ndarray]:
+        """Ids of one long text, slab by slab."""
+        while begin < end:
+            cut = min(end, begin + self.SLAB)
+            while cut < end:
+                spaces = np.flatnonzero(self.SPACE[data[cut : min(end, cut + (1 << 16))]])
+                if len(spaces):
+                    cut += int(spaces[0])
+                    break
+                cut = min(end, cut + (1 << 16))
+            yield self.slab(data[begin:cut], np.array([0, cut - begin]))[0]
+            begin = cut
 
 
 _LOADED: dict[str, WordTokenizer] = {}
@@ -276,7 +343,7 @@ def encode_decode(docs: DataFrame, path: str, *, key: str = "doc_id", text: str
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(path)
         for batch in batches:
-            rows = [tokenizer.measure(t.as_py() or "") for t in batch.column(1)]
+            rows = list(tokenizer.measure(*utf8(batch.column(1))))
             counts, ids, words = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(words, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
