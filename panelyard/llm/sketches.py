@@ -1,17 +1,21 @@
 """Invertible Bloom lookup sketches of documents, in DataFrame functions only.
 
-A text is cut into paragraphs: lines, and long lines after a sentence end or else before white space. A paragraph's digest has 48 bits of
-hash and 16 that check them. A sketch has three tables of eight cells; a digest goes into one cell of each,
-and a cell keeps the count and the XOR of its digests. Subtracting two sketches cell by cell cancels what the
-texts share. Then a cell with count 1 or -1 whose XOR passes its own check holds one differing digest: it is
-taken out of its three cells, which bares others, until nothing is left (or nothing can be peeled).
-
-Larger sketches are many of these side by side: g * g buckets by other bits of the digest. A comparison starts
-with as many as the number of paragraphs calls for, and is retried with g half as large again when peeling gets stuck.
+A text is cut into paragraphs: lines, and long lines after a sentence end or else before white space. A paragraph's
+digest has 48 bits of hash and 16 that check them. A sketch has three tables of c cells, c being a power of two of at
+least the number of paragraphs; a digest goes into one cell of each, and a cell keeps the count and the XOR of its
+digests. Only cells in use are held, in order of their place. Subtracting two sketches cell by cell cancels what the
+texts share. Then a cell with count 1 or -1 whose XOR passes its own check holds one differing digest: all such
+digests are taken out of their cells at once, which bares others, until nothing is left or nothing can be peeled.
+
+A sketch of c cells folds to any smaller power of two, since places are the low bits of a hash. So the fingerprints
+of two texts are compared at the size of the smaller. Where that gets stuck, both texts are sketched anew with four
+times the cells and other hash bits, and so on.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,10 +23,11 @@ from panelyard.llm import scratch
 
 #: 60 to 200 characters of a line up to a sentence end; without one, 120 and the rest of a word; or the rest of the line.
 PARAGRAPH = r"[^\n]{60,200}?[.!?](?=\s|$)|[^\n]{120}[^\s]*|[^\n]+"
-TABLES, CELLS = 3, 8
-#: Paragraphs of both texts for each bucket of a comparison's first sketch.
-LOAD = 11.0
-RETRIES = 5
+TABLES, LEAST_CELLS = 3, 16
+#: Larger sketches tried after the fingerprints themselves. All of them get stuck with a chance below 1e-20.
+RETRIES = 6
+#: Rounds of peeling; what takes more is tried with a larger sketch.
+ROUNDS = 40
 
 
 def digests(text: Column) -> Column:
@@ -36,103 +41,112 @@ def _passes(d: Column) -> Column:
     return F.xxhash64(d.bitwiseAND(F.lit(~0xFFFF))).bitwiseAND(F.lit(0xFFFF)) == d.bitwiseAND(F.lit(0xFFFF))
 
 
-def _places(d: Column) -> Column:
-    """The digest's three cells as bits of one number: in each table, the cell that three bits of its own name."""
-    out = None
-    for table in range(TABLES):
-        at = F.call_function("shiftrightunsigned", d, F.lit(20 + 3 * table)).bitwiseAND(F.lit(CELLS - 1)).cast("int")
-        bit = F.call_function("shiftleft", F.lit(1 << (CELLS * table)).cast("long"), at)
-        out = bit if out is None else out.bitwiseOR(bit)
-    return out
-
-
-def _with(value: Column, then) -> Column:
+def _with(value: Column, then: Callable[[Column], Column]) -> Column:
     """``then`` of a value that is computed once: a lambda over a one-element array binds it."""
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def sketch(found: Column) -> Column:
-    """The cells (n, x) of an array of digests, table after table."""
-
-    def cells(placed: Column) -> Column:
-        def cell(i: Column) -> Column:
-            inside = F.filter(placed, lambda e: F.call_function("shiftright", e["m"], i).bitwiseAND(F.lit(1).cast("long")) == 1)
-            return _with(inside, lambda f: F.struct(F.size(f).cast("long").alias("n"), F.aggregate(f, F.lit(0).cast("long"), lambda s, e: s.bitwiseXOR(e["d"])).alias("x")))
-
-        return F.transform(F.sequence(F.lit(0), F.lit(TABLES * CELLS - 1)), cell)
+def cells_for(found: Column) -> Column:
+    """Cells of a table for an array of digests: the next power of two."""
+    return F.greatest(F.lit(LEAST_CELLS), F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.size(found), F.lit(1))))).cast("int")).cast("long")
 
-    return _with(F.transform(found, lambda d: F.struct(d.alias("d"), _places(d).alias("m"))), cells)
 
+def _entries(d: Column, n: Column, c: Column, salt: int) -> Column:
+    """A digest's three cells (p, n, x); tables lie side by side, 2^32 places apart, and a salt stands for other hash bits."""
+    h = d if not salt else F.xxhash64(d, F.lit(salt))
+    out = []
+    for table in range(TABLES):
+        place = F.call_function("shiftrightunsigned", h, F.lit(16 * (TABLES - table))).bitwiseXOR(h if table == 1 else F.lit(0).cast("long")).bitwiseAND(c - 1)
+        if salt:
+            place = F.xxhash64(h, F.lit(table)).bitwiseAND(c - 1)
+        out.append(F.struct((place + F.lit(table << 32)).alias("p"), n.alias("n"), d.alias("x")))
+    return F.array(*out)
 
-def shown(cells: Column) -> Column:
-    """A sketch as text: count and XOR of each cell in hexadecimal."""
-    return F.array_join(F.transform(cells, lambda c: F.concat(F.hex(c["n"]), F.lit("."), F.lower(F.hex(c["x"])))), ",")
 
+def _combined(entries: Column) -> Column:
+    """Entries put together by place, without cells that cancel out."""
+    zero = F.lit(0).cast("long")
 
-def subtracted(one: Column, other: Column) -> Column:
-    return F.zip_with(one, other, lambda a, b: F.struct((a["n"] - b["n"]).alias("n"), a["x"].bitwiseXOR(b["x"]).alias("x")))
+    def cell(s: Column, at: Column, end: Column) -> Column:
+        several = F.aggregate(F.slice(s, at + 1, end - at), F.struct(zero.alias("n"), zero.alias("x")), lambda t, e: F.struct((t["n"] + e["n"]).alias("n"), t["x"].bitwiseXOR(e["x"]).alias("x")))
+        summed = _with(several, lambda t: F.struct(F.get(s, at)["p"].alias("p"), t["n"].alias("n"), t["x"].alias("x")))
+        return F.when(end - at == 1, F.get(s, at)).otherwise(summed)
 
+    def merge(s: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["p"] != F.get(s, i - 1)["p"]))
+        return _with(begins, lambda b: F.transform(b, lambda at, k: cell(s, at, F.coalesce(F.get(b, k + 1), F.size(s)))))
 
-def peeled(cells: Column, most: Column) -> Column:
-    """(cells, mine, theirs) after peeling at most ``most`` digests; empty cells throughout mean success."""
-    start = F.struct(cells.alias("cells"), F.lit(0).cast("long").alias("mine"), F.lit(0).cast("long").alias("theirs"))
+    merged = _with(F.array_sort(entries), lambda s: F.when(F.size(s) > 0, merge(s)).otherwise(s))
+    return F.filter(merged, lambda e: (e["n"] != 0) | (e["x"] != 0))
 
-    def step(state: Column, _: Column) -> Column:
-        pure = F.slice(F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & _passes(c["x"])), 1, 1)
-        known = F.transform(pure, lambda c: F.struct(c["n"].alias("n"), c["x"].alias("x"), _places(c["x"]).alias("m")))
 
-        def take(p: Column) -> Column:
-            def less(c: Column, i: Column) -> Column:
-                held = F.call_function("shiftright", p["m"], i).bitwiseAND(F.lit(1).cast("long")) == 1
-                return F.when(held, F.struct((c["n"] - p["n"]).alias("n"), c["x"].bitwiseXOR(p["x"]).alias("x"))).otherwise(c)
+def sketch(found: Column, c: Column, salt: int = 0) -> Column:
+    """The cells in use (p, n, x) of an array of digests."""
+    one = F.lit(1).cast("long")
+    return _combined(F.flatten(F.transform(found, lambda d: _entries(d, one, c, salt))))
 
-            mine, theirs = (p["n"] == 1).cast("long"), (p["n"] == -1).cast("long")
-            return F.struct(F.transform(state["cells"], less).alias("cells"), (state["mine"] + mine).alias("mine"), (state["theirs"] + theirs).alias("theirs"))
 
-        return F.coalesce(F.get(F.transform(known, take), F.lit(0)), state)
+def shown(cells: Column, c: Column) -> Column:
+    """A sketch as text, in hexadecimal: cells of a table, then place, count and XOR of each cell in use."""
+    place = lambda e: F.concat(F.call_function("shiftright", e["p"], F.lit(32)).cast("string"), F.lit("/"), F.hex(e["p"].bitwiseAND(F.lit(0xFFFFFFFF))))
+    return F.concat(F.hex(c), F.lit(":"), F.array_join(F.transform(cells, lambda e: F.concat(place(e), F.lit("."), F.hex(e["n"]), F.lit("."), F.lower(F.hex(e["x"])))), ","))
 
-    return F.aggregate(F.sequence(F.lit(0), most), start, step)
 
+def subtracted(one: Column, other: Column, c: Column) -> Column:
+    """The cells of two sketches, folded to tables of ``c`` cells, one less the other."""
+    low = lambda e: e["p"].bitwiseAND(F.lit(7 << 32).bitwiseOR(c - 1))
+    mine = F.transform(one, lambda e: F.struct(low(e).alias("p"), e["n"].alias("n"), e["x"].alias("x")))
+    theirs = F.transform(other, lambda e: F.struct(low(e).alias("p"), (-e["n"]).alias("n"), e["x"].alias("x")))
+    return _combined(F.concat(mine, theirs))
 
-def _bucketed(found: Column, g: Column) -> Column:
-    """g * g arrays of digests, by two more fields of bits, so that each digest is looked at 2 * g times."""
-    rows = F.transform(F.sequence(F.lit(0).cast("long"), g - 1), lambda i: F.filter(found, lambda d: F.pmod(F.call_function("shiftrightunsigned", d, F.lit(30)), g) == i))
-    return F.flatten(F.transform(rows, lambda row: F.transform(F.sequence(F.lit(0).cast("long"), g - 1), lambda j: F.filter(row, lambda d: F.pmod(F.call_function("shiftrightunsigned", d, F.lit(46)), g) == j))))
 
+def peeled(cells: Column, c: Column, salt: int = 0) -> Column:
+    """(mine, theirs): numbers of digests that only one of two subtracted sketches has; null where peeling gets stuck."""
+    zero = F.lit(0).cast("long")
+    start = F.struct(cells.alias("cells"), zero.alias("mine"), zero.alias("theirs"), F.lit(True).alias("go"))
 
-def difference(one: Column, other: Column, g: Column) -> Column:
-    """(mine, theirs) digests only one of the two texts has, by a sketch of g * g buckets; null if peeling gets stuck.
+    def step(state: Column, _: Column) -> Column:
+        pure = F.filter(state["cells"], lambda e: (F.abs(e["n"]) == 1) & _passes(e["x"]))
+        known = F.array_distinct(F.transform(pure, lambda e: F.struct(e["n"].alias("n"), e["x"].alias("x"))))
 
-    ``one``, ``other`` and ``g`` must be columns of the table at hand, not expressions: lambdas read them again and again.
-    """
+        def take(k: Column) -> Column:
+            less = F.flatten(F.transform(k, lambda e: _entries(e["x"], -e["n"], c, salt)))
+            mine = F.size(F.filter(k, lambda e: e["n"] == 1)).cast("long")
+            rest = _combined(F.concat(state["cells"], less))
+            return F.struct(rest.alias("cells"), (state["mine"] + mine).alias("mine"), (state["theirs"] + F.size(k) - mine).alias("theirs"), F.lit(True).alias("go"))
 
-    def bucket(a: Column, b: Column) -> Column:
-        left = peeled(subtracted(sketch(a), sketch(b)), F.size(a) + F.size(b))
-        return _with(left, lambda s: F.when(F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["x"] == 0)), F.struct(s["mine"].alias("mine"), s["theirs"].alias("theirs"))))
+        stop = F.struct(state["cells"].alias("cells"), state["mine"].alias("mine"), state["theirs"].alias("theirs"), F.lit(False).alias("go"))
+        return F.when(~state["go"] | (F.size(state["cells"]) == 0), state).otherwise(_with(known, lambda k: F.when(F.size(k) == 0, stop).otherwise(take(k))))
 
-    each = F.zip_with(_bucketed(one, g), _bucketed(other, g), bucket)
-    total = lambda parts: F.when(
-        F.forall(parts, lambda p: p.isNotNull()),
-        F.struct(F.aggregate(parts, F.lit(0).cast("long"), lambda s, p: s + p["mine"]).alias("mine"), F.aggregate(parts, F.lit(0).cast("long"), lambda s, p: s + p["theirs"]).alias("theirs")),
-    )
-    return _with(each, total)
+    done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
+    return _with(done, lambda s: F.when(F.size(s["cells"]) == 0, F.struct(s["mine"].alias("mine"), s["theirs"].alias("theirs"))))
 
 
 def with_likeness(df: DataFrame, one: str, other: str, name: str) -> DataFrame:
-    """``df`` with the Dice likeness of two digest columns: twice the shared over all, 1 for two empty texts.
+    """``df`` with the Dice likeness of two texts: twice the shared digests over all, 1 for two empty texts.
 
-    Each retry is a column of its own that is computed only where the one before got stuck. Should the last
-    get stuck too, the digests themselves are compared.
+    For each of ``one`` and ``other``, a text's column prefix, the columns _d (digests), _c (cells of a table) and _s
+    (sketch) are read. Fingerprints whose numbers of digests differ by more than the cells of the smaller can't be
+    peeled, so these start with the first larger sketch. Each retry is a column of its own, computed only where
+    the one before got stuck.
     """
-    n1, n2 = F.size(one), F.size(other)
-    df = df.withColumn("_g", F.ceil(F.sqrt((n1 + n2) / F.lit(LOAD))).cast("long")).withColumn("_g", F.greatest("_g", F.lit(1).cast("long")))
-    df = df.withColumn("_d", difference(F.col(one), F.col(other), F.col("_g")))
-    for k in range(1, RETRIES):
-        df = df.withColumn(f"_g{k}", F.ceil(F.col("_g") * 1.5**k).cast("long"))
-        df = df.withColumn("_d", F.when(F.col("_d").isNull(), difference(F.col(one), F.col(other), F.col(f"_g{k}"))).otherwise(F.col("_d")))
-    shared = F.when(F.col("_d").isNotNull(), n1 - F.col("_d.mine")).otherwise(F.size(F.array_intersect(one, other)))
-    value = F.when(n1 + n2 == 0, F.lit(1.0)).otherwise(2.0 * shared / (n1 + n2))
-    return df.withColumn(name, F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))).drop("_g", "_d", *[f"_g{k}" for k in range(1, RETRIES)])
+    n1, n2 = F.size(f"{one}_d"), F.size(f"{other}_d")
+    df = df.withColumn("_c0", F.least(f"{one}_c", f"{other}_c"))
+    hope = F.abs(n1 - n2) <= F.lit(TABLES) * F.col("_c0")
+    df = df.withColumn("_left", F.when(hope, peeled(subtracted(F.col(f"{one}_s"), F.col(f"{other}_s"), F.col("_c0")), F.col("_c0"))))
+    for k in range(1, RETRIES + 1):
+        df = df.withColumn(f"_c{k}", F.greatest(f"{one}_c", f"{other}_c") * F.lit(4**k))
+        c = F.col(f"_c{k}")
+        again = peeled(subtracted(sketch(F.col(f"{one}_d"), c, k), sketch(F.col(f"{other}_d"), c, k), c), c, k)
+        df = df.withColumn("_left", F.when(F.col("_left").isNull(), again).otherwise(F.col("_left")))
+    left = F.when(F.col("_left").isNull(), F.raise_error(F.lit("a sketch couldn't be peeled at any size")).cast("long")).otherwise(F.col("_left.mine"))
+    value = F.when(n1 + n2 == 0, F.lit(1.0)).otherwise(2.0 * (n1 - left) / (n1 + n2))
+    return df.withColumn(name, F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))).drop("_left", *[f"_c{k}" for k in range(RETRIES + 1)])
+
+
+def sketched(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with the cells of a table and the sketch of each named text's digests."""
+    return df.withColumns({f"{x}_c": cells_for(F.col(f"{x}_d")) for x in names}).withColumns({f"{x}_s": sketch(F.col(f"{x}_d"), F.col(f"{x}_c")) for x in names})
 
 
 def successors(rows: DataFrame) -> DataFrame:
@@ -172,8 +186,9 @@ def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     if docs.count() != order.count():
         given = given.dropDuplicates(["rk", "rt"])
     both = rows.join(given, F.col("k").eqNullSafe(F.col("rk")) & (F.col("t") == F.col("rt")))
-    edited = both.select("k", "own", "after", F.length("text").cast("long").alias("n_chars"), F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - F.col("need")), F.col("lead")).alias("edited"))
-    cut = edited.select("k", "own", "after", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digests(F.col("edited")).alias("changed"))
-    seen = cut.select("*", shown(sketch(F.col("own"))).alias("fingerprint"), shown(sketch(F.col("changed"))).alias("edited_fingerprint"))
-    likened = with_likeness(with_likeness(seen, "own", "changed", "near_edited"), "own", "after", "near_next")
-    return likened.select(F.col("k").alias(key), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    edited = both.select("k", F.col("own").alias("own_d"), F.col("after").alias("after_d"), F.length("text").cast("long").alias("n_chars"), F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - F.col("need")), F.col("lead")).alias("edited"))
+    cut = edited.select("k", "own_d", "after_d", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digests(F.col("edited")).alias("changed_d"))
+    likened = sketched(cut, "own", "changed", "after")
+    likened = with_likeness(with_likeness(likened, "own", "changed", "near_edited"), "own", "after", "near_next")
+    prints = [shown(F.col(f"{x}_s"), F.col(f"{x}_c")).alias(name) for x, name in (("own", "fingerprint"), ("changed", "edited_fingerprint"))]
+    return likened.select(F.col("k").alias(key), "n_chars", "edited_sha256", *prints, "near_edited", "near_next")
