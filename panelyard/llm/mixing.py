@@ -101,9 +101,16 @@ def mix_sizes(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_rate: int
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_rate: int = 3, *, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """The mixed corpus: every row of ``docs`` as often as its copies say, with the columns of ``docs``."""
+    """The mixed corpus: every row of ``docs`` as often as its copies say, with the columns of ``docs``.
+
+    Null and empty texts have no words and so follow their source's rate like any text. Null is a source of its own.
+    Rows that repeat a key share its draw, each with its copies. A source whose texts hold no word has rate 0, so its
+    rows go. An empty table gives an empty result. Columns of any name are kept as they are. Only the plan, a row a
+    source, is sent to where texts are; texts aren't shuffled.
+    """
     _, plan = mixing_plan(docs, weights, max_rate, key=key, source=source, text=text)
-    rates = plan.select(F.col("source").alias("_mix_source"), F.col("rate").alias("_mix_rate"), F.col("seed").alias("_mix_seed"))
-    counted = docs.join(rates, F.col(source).eqNullSafe(F.col("_mix_source"))).withColumn("_mix_copies", _copies(F.col("_mix_rate"), F.col(key), F.col("_mix_seed")).cast("int"))
-    repeated = counted.where("_mix_copies > 0").withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(True), F.col("_mix_copies"))))
+    of, rate, seed, copies, copy = scratch.free(docs, "_of", "_rate", "_seed", "_copies", "_copy")
+    rates = plan.select(F.col("source").alias(of), F.col("rate").alias(rate), F.col("seed").alias(seed))
+    counted = docs.join(rates, F.col(source).eqNullSafe(F.col(of))).withColumn(copies, _copies(F.col(rate), F.col(key), F.col(seed)).cast("int"))
+    repeated = counted.where(F.col(copies) > 0).withColumn(copy, F.explode(F.array_repeat(F.lit(True), F.col(copies))))
     return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])

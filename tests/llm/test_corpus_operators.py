@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tests.llm.fixtures import frame, odd, ordinary
@@ -233,14 +235,73 @@ def test_re_pair_round_trip_and_random_access():
         assert block.token(i, 99) == ids[a + 99]
 
 
-def test_sketch_retries_find_the_exact_difference(spark):
-    lists = [(list(range(1, n + 1)), list(range(n // 3, n + n // 5))) for n in (0, 1, 9, 40, 400)]
+def plain_sketch(digests, cells):
+    """Cells in use by (table, place): count and XOR, from the definition."""
+    out = {}
+    for d in digests:
+        u = d & (2**64 - 1)
+        for table, h in enumerate((u >> 48, (u >> 32) ^ u, u >> 16)):
+            n, x = out.get((table, h & (cells - 1)), (0, 0))
+            out[table, h & (cells - 1)] = (n + 1, x ^ u)
+    return {at: c for at, c in out.items() if c != (0, 0)}
+
+
+def read_sketch(text):
+    cells, _, rest = text.partition(":")
+    out = {}
+    for part in filter(None, rest.split(",")):
+        place, n, x = part.split(".")
+        table, at = place.split("/")
+        out[int(table), int(at, 16)] = (int(n, 16), int(x, 16))
+    return int(cells, 16), out
+
+
+def plain_peel(one, other, cells):
+    """(mine, theirs) of two sketches of as many cells, or None: one pure cell at a time."""
+    left = {at: [one.get(at, (0, 0))[0] - other.get(at, (0, 0))[0], one.get(at, (0, 0))[1] ^ other.get(at, (0, 0))[1]] for at in {*one, *other}}
+    found = {1: 0, -1: 0}
+    while True:
+        pure = next(((n, x) for n, x in left.values() if abs(n) == 1 and len(plain_sketch([x], cells)) and all(at in left for at in plain_sketch([x], cells)) and checked(x)), None)
+        if pure is None:
+            return (found[1], found[-1]) if all(c == [0, 0] for c in left.values()) else None
+        n, x = pure
+        found[n] += 1
+        for at in plain_sketch([x], cells):
+            left[at][0] -= n
+            left[at][1] ^= x
+
+
+CHECKED = {}
+
+
+def checked(x):
+    return CHECKED.get(x, False)
+
+
+def test_sketches_against_plain_code(spark):
+    """Cells, folding and peeling of the fingerprints themselves; retries then find the exact difference at any size."""
+    lists = [(list(range(1, n + 1)), list(range(n // 3, n + n // 5))) for n in (0, 1, 9, 40, 400)] + [([], list(range(30))), (list(range(700)), list(range(9000, 9900)))]
     df = spark.createDataFrame(lists, "a array<bigint>, b array<bigint>")
     make = lambda c: sketches.digests(F.array_join(F.transform(c, lambda v: F.concat(F.lit("line "), v.cast("string"))), "\n"))
-    got = sketches.with_likeness(df.select("a", "b", make(F.col("a")).alias("x"), make(F.col("b")).alias("y")), "x", "y", "like").collect()
-    for r in got:
+    rows = sketches.sketched(df.select("a", "b", make(F.col("a")).alias("x_d"), make(F.col("b")).alias("y_d")), "x", "y")
+    least = F.least("x_c", "y_c")
+    rows = rows.withColumn("first", sketches.peeled(sketches.subtracted(F.col("x_s"), F.col("y_s"), least), least))
+    rows = rows.withColumn("xt", sketches.shown(F.col("x_s"), F.col("x_c"))).withColumn("yt", sketches.shown(F.col("y_s"), F.col("y_c")))
+    ended = 0
+    for r in sketches.with_likeness(rows, "x", "y", "like").collect():
         a, b = set(r["a"]), set(r["b"])
         assert r["like"] == pytest.approx(2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0)
+        mask = 2**64 - 1
+        CHECKED.update({d & mask: True for d in r["x_d"] + r["y_d"]})
+        for d, text in ((r["x_d"], r["xt"]), (r["y_d"], r["yt"])):
+            cells, got = read_sketch(text)
+            assert cells >= max(16, len(d)) and cells & (cells - 1) == 0
+            assert got == plain_sketch(d, cells)
+        cells = min(read_sketch(r["xt"])[0], read_sketch(r["yt"])[0])
+        expected = plain_peel(plain_sketch(r["x_d"], cells), plain_sketch(r["y_d"], cells), cells)
+        assert (None if r["first"] is None else tuple(r["first"])) == expected
+        ended += expected is not None
+    assert ended >= 4
 
 
 def test_short_texts_share_the_paragraphs_they_keep(spark):
@@ -252,8 +313,118 @@ def test_short_texts_share_the_paragraphs_they_keep(spark):
 
 
 def test_text_decoder_keeps_unfinished_characters():
-    machine = bpe.TextDecoder([bytes([b]) for b in range(256)])
     raw = "añ中😀z".encode() + b"\xff\xe4\xb8"
-    pieces = [machine.feed(b) for b in raw]
+    machine = bpe.TextDecoder([bytes([b]) for b in range(256)])
+    pieces = [machine.feed(np.array([b])) for b in raw]
     assert "".join(pieces) + machine.close() == raw.decode("utf-8", "replace")
     assert pieces[1] == "" and pieces[2] == "ñ"
+    r = np.random.default_rng(8)
+    for _ in range(300):
+        odd_bytes = r.choice(np.frombuffer(raw + b"\xc0\x80\xed\xa0\x80\xf5\x90ab", np.uint8), 12)
+        machine = bpe.TextDecoder([bytes([b]) for b in range(256)])
+        assert "".join(machine.feed(x) for x in np.split(odd_bytes, sorted(r.integers(0, 12, 3)))) + machine.close() == odd_bytes.tobytes().decode("utf-8", "replace")
+
+
+def test_window_never_grows():
+    tokenizer = bpe.word_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    machine, r = tokenizer.transducer, np.random.default_rng(6)
+    word = "".join(r.choice(list("etaoinshr"), 20_000))
+    run, out, widest = machine.stream(), [], 0
+    for i in range(0, len(word), 97):
+        out += run.feed(word[i : i + 97])
+        widest = max(widest, len(run.window))
+    out += run.close()
+    assert widest <= machine.window
+    assert [tokenizer.vocab[t] for t in out] == tokenizer.library.encode(word, add_special_tokens=False).ids
+
+
+ATOMS = [
+    "a", "B", "word", "the", " ", " ", "  ", "\n", "\n\n", "\t", ".", ",", "…", "”", "™", "—", "-", "中", "é", "É", "ß", "1", "23", "'s", "'S", "'", "\u3000", "\u2009", "\xa0", "\x1c", "\x85",
+    "<|", "<|endoftext|>", "<|EndOfText|>", "<|startoftext|>", "|>", "😀", "e\u0301", "×", "²", "®", "\r\n", "$", "\u200b", "ª", "ñandú", "Über", "İ", "Σ", "x" * 60,
+]
+
+
+def fuzzed(n, seed):
+    r = np.random.default_rng(seed)
+    return ["".join(r.choice(ATOMS, r.integers(0, 14))) for _ in range(n)] + ["ab" * 5000 + " " + "word, " * 400_000, ""]
+
+
+def test_word_tokenizer_against_the_library():
+    tokenizer = bpe.word_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    texts = fuzzed(20_000, 1)
+    got = tokenizer.measure(*bpe.utf8(pa.array(texts)))
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for text, row in zip(texts, got, strict=True):
+        ids = tokenizer.library.encode(text, add_special_tokens=False).ids
+        assert row == (len(ids), sha(" ".join(map(str, ids))), sha(tokenizer.library.decode(ids, skip_special_tokens=False))), text[:200]
+
+
+def test_byte_tokenizer_against_the_library():
+    tokenizer = token_files.byte_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = fuzzed(50_000, 2) + ['word abc…" next', "x™: y", "a—\" b", "c®, d", "e….. f", "—- g", "中…. h"]
+    ids, counts = tokenizer.encode(*token_files.utf8(pa.array(texts)), 2)
+    for text, got in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+        assert got.tolist() == [*tokenizer.library.encode(text, add_special_tokens=False).ids, 2], text[:200]
+
+
+def test_families_of_near_copies_in_blocks(spark):
+    """Some hundred copies of one text, many of them just under the threshold to one another, against brute force."""
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(100)]
+    texts = []
+    for d in range(330):
+        words = list(base)
+        for at in r.sample(range(100), r.choice([0, 1, 2, 3, 4, 5])):
+            words[at] = f"d{d}x{at}"
+        texts.append((d, " ".join(words), "s"))
+    got = near_duplicates.near_duplicates(frame(spark, texts)).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == Counter(components(texts))
+    assert len({r["component_id"] for r in got}) > 3
+
+
+def test_block_links_equal_plain_sets():
+    r = np.random.default_rng(7)
+    sets = [np.unique(r.choice(np.arange(60), r.integers(30, 60))).astype(np.int64) for _ in range(80)]
+    bounds = np.cumsum([0, *map(len, sets)])
+    lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(np.concatenate(sets)))
+    left, right = np.arange(0, 40), np.arange(30, 80)
+    got = near_duplicates._shared_counts(lists, left, right)
+    assert got.tolist() == [[len(set(sets[i]) & set(sets[j])) for j in right] for i in left]
+
+
+def plain_jump(key, shards):
+    b, j = -1, 0
+    while j < shards:
+        b = j
+        key = (key * 2862933555777941757 + 1) % 2**64
+        j = int((b + 1) * (float(1 << 31) / float((key >> 33) + 1)))
+    return b
+
+
+def test_shards_are_the_published_jump_hash(spark):
+    keys = np.random.default_rng(2).integers(0, 1 << 63, 3000, dtype=np.uint64)
+    for shards in (1, 2, 16, 17, 1000):
+        assert sharding.jump(keys, shards).tolist() == [plain_jump(int(k), shards) for k in keys]
+    docs = frame(spark, ordinary())
+    hashes = {r["doc_id"]: r["x"] % 2**64 for r in docs.select("doc_id", F.xxhash64("doc_id").alias("x")).collect()}
+    for r in sharding.assign_shards(docs).collect():
+        assert (r["shard"], r["grown_shard"]) == (plain_jump(hashes[r["doc_id"]], 16), plain_jump(hashes[r["doc_id"]], 17))
+
+
+def test_written_shards_hold_every_row_once(spark, tmp_path):
+    docs = frame(spark, ordinary(40) + odd())
+    sharding.write_shards(docs, str(tmp_path / "s"), 4)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert Counter((r["doc_id"], r["text"]) for r in back.collect()) == Counter((d, t) for d, t, _ in ordinary(40) + odd())
+    assert back.groupBy("doc_id").agg(F.count_distinct("shard").alias("n")).where("n > 1").isEmpty()
+
+
+def test_clashing_column_names(spark):
+    docs = frame(spark, ordinary(30))
+    clashing = docs.withColumnsRenamed({"size": "_mix_copies", "shard": "_mix_seed", "score": "_gone_k", "kept": "_mix_source", "h": "_gone_t", "k": "_key", "t": "_text", "text_hash": "_mix_rate"})
+    assert clashing.count() == 30
+    for made in (mixing.mix(clashing), near_duplicates.keep_one(clashing)):
+        assert made.columns == clashing.columns
+        assert {r["_mix_copies"] for r in made.collect()} == {"size"} and {r["_gone_k"] for r in made.collect()} == {"score"}
+    for made in (near_duplicates.near_duplicates(clashing), sketches.fingerprints(clashing), sharding.assign_shards(clashing), quality_rules.judge_quality(clashing), mixing.mix_sizes(clashing)):
+        assert made.count() == 30
