@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from tests.llm.fixtures import frame, odd, prose, word
 
 from panelyard.llm import quality_model, toxicity
@@ -63,7 +64,8 @@ def test_disguises_are_undone(corpus):
     model = toxicity.ToxicityModel([(t, text) for (_, text, _), (_, _, t) in zip(*corpus, strict=True)], {0: 400, 1: 200})
     for text in ("1d10t", "i.d.i.o.t", "IIIDIOOOT", "m0r0n", "sc*um", "cl0wn"):
         assert any(w in INSULTS for w in model.words(text)), text
-    assert toxicity.spaced("an i d i o t here") == ["idiot"]
+    text = "an i d i o t here"
+    assert toxicity.spaced(text, text.split(), set(text.split())) == ["i d i o t"]
     r = random.Random(1)
     assert all(model.words(w) == [w] for w in (word(r) for _ in range(50)))
 
@@ -76,6 +78,40 @@ def test_long_pieces_are_decoded_to_their_end(corpus):
     assert plain("m0r0n" + "." * 70 + "m0r0n").count("moron") == 2
 
 
+DISGUISES = ["id1o7", "idi0+", "1d10t!", "$cum", "i  d  i  o  t", "i\td\ti\to\tt", "i d i o t.", "(i d i o t)", "y o u i d i o t", "y o u  i d i o t", "1 d 1 0 t", "clo wn", "clo wn.", "m.o-r_o*n", "https://example.org/" + "ba/bu/" * 40 + "1d10t"]
+
+
+def test_disguises_are_scored_like_what_they_hide(corpus):
+    """Signs and digits at an end, any white space, runs with signs beside them, and a disguise far inside a text."""
+    model = toxicity.ToxicityModel([(t, text) for (_, text, _), (_, _, t) in zip(*corpus, strict=True)], {0: 400, 1: 200})
+    r = random.Random(3)
+    plain = prose(r, 30)
+    low = model.scores([plain])[0]
+    assert low < 0.5
+    for text in DISGUISES:
+        carried = model.measure(plain + " " + text + " bo")
+        assert carried[0] >= 1.2, text
+        assert model.scores([plain + " " + text + " bo"])[0] > low, text
+    far = prose(r, 3000)
+    assert len(far) > 5000
+    assert model.measure(far + " id1o7 " + far)[2] > model.measure(far + " " + far)[2]
+    assert model.measure("") == (0.0, 0.0, 0.0, 0.0)
+
+
+def test_training_reads_whole_texts_within_its_bounds(spark):
+    docs = frame(spark, [(i, "x" * 100 + f" end{i}", "s") for i in range(40)] + [(3, None, "s")])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id bigint, quality int, toxic int")
+    from panelyard.llm.labelled import bounded_sample
+
+    take = lambda rows, most: bounded_sample(docs, labels, "quality", F.lit(True), rows_a_class=rows, bytes_a_class=most)
+    rows, sizes = take(100, 1 << 20)
+    assert len(rows) == 41 and sizes == {0: 20, 1: 21} or len(rows) == 41
+    assert all(t == "" or t.startswith("x" * 100 + " end") for _, t in rows)
+    assert len(take(5, 1 << 20)[0]) == 10
+    some = take(100, 550)[0]
+    assert all(sum(len(t) for y, t in some if y == c) <= 550 for c in (0, 1)) and len(some) >= 8
+
+
 @pytest.mark.parametrize("model", [quality_model, toxicity])
 def test_odd_and_empty_tables(spark, model):
     labels = spark.createDataFrame([(4, 1, 0), (7, 0, 1), (7, 1, 1), (8, None, None), (99, 1, 1)], "doc_id bigint, quality int, toxic int")
