@@ -6,18 +6,21 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelyard.llm import scratch
+
 
 def fold(key: str | Column, parts: int) -> Column:
     """CRC-32 of the key as text, modulo ``parts``; a null key counts as empty text."""
     return F.pmod(F.crc32(F.coalesce((F.col(key) if isinstance(key, str) else key).cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
-def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, *, rows_a_class: int, excerpt: int, key: str = "doc_id", text: str = "text") -> tuple[list[tuple[int, str]], dict[int, int]]:
+def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, *, rows_a_class: int, bytes_a_class: int, key: str = "doc_id", text: str = "text") -> tuple[list[tuple[int, str]], dict[int, int]]:
     """((label, text) pairs, labelled rows by class), of training rows only.
 
-    A class gives the ``rows_a_class`` labelled documents with the smallest hash of their key, each with at
-    most ``excerpt`` characters; these two parameters bound what reaches the driver. Labels are joined on
-    narrow columns, and only the chosen keys go back to the texts, as a broadcast of bounded size.
+    A class gives labelled documents in the order of a hash of their key, whole texts each: at most ``rows_a_class``,
+    and those that bring their sum to at most ``bytes_a_class`` bytes. These two parameters bound what reaches the
+    driver. Labels are joined on narrow columns, and only the chosen keys go back to the texts, as a broadcast of
+    bounded size. Null text counts as empty. Rows that repeat a key all count towards the bounds.
     """
     known = labels.where(F.col(label).isin(0, 1) & train).select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y"))
     present = known.join(docs.select(F.col(key).alias("_k")).where(F.col("_k").isNotNull()), "_k", "left_semi")
@@ -26,9 +29,23 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column
     for y in (0, 1):
         part = present.where(F.col("_y") == y).orderBy(F.xxhash64("_k"), "_k").limit(rows_a_class)
         chosen = part if chosen is None else chosen.unionAll(part)
-    picked = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(chosen), "_k").select("_k", "_y", F.substring(F.coalesce("_t", F.lit("")), 1, excerpt).alias("_t"))
-    rows = picked.orderBy(F.xxhash64("_k"), "_k", "_y", "_t").limit(4 * rows_a_class).collect()
-    return [(r["_y"], r["_t"]) for r in rows], sizes
+    picked = docs.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_t")).join(F.broadcast(chosen), "_k")
+    drawn = scratch.written(picked.select("_y", "_t", F.xxhash64("_k").alias("_h"), F.xxhash64("_t").alias("_g"), F.octet_length("_t").alias("_n")), "labelled")
+    out: list[tuple[int, int, int, str]] = []
+    for y in (0, 1):
+        mine = drawn.where(F.col("_y") == y)
+        reach = mine.select("_h", "_g", "_n").orderBy("_h", "_g").limit(rows_a_class).collect()
+        total, last = 0, None
+        for r in reach:
+            total += r["_n"]
+            if total > bytes_a_class:
+                break
+            last = (r["_h"], r["_g"])
+        if last is not None:
+            upto = (F.col("_h") < last[0]) | ((F.col("_h") == last[0]) & (F.col("_g") <= last[1]))
+            out += [(r["_h"], r["_g"], y, r["_t"]) for r in mine.where(upto).orderBy("_h", "_g").limit(rows_a_class).collect()]
+    scratch.drop(drawn)
+    return [(y, t) for _, _, y, t in sorted(out)], sizes
 
 
 class Logistic:

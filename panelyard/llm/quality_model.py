@@ -14,7 +14,7 @@ from panelyard.llm.buffers import utf8
 from panelyard.llm.labelled import Logistic, bounded_sample, class_weights, fold
 
 FOLDS = 5
-ROWS_A_CLASS, EXCERPT = 2000, 6000
+ROWS_A_CLASS, BYTES_A_CLASS = 2000, 8 << 20
 BLOCK, LEVEL, DICTIONARY = 512, 3, 192 << 10
 
 
@@ -68,21 +68,18 @@ class CompressionModel:
 
 
 def dictionary(texts: list[bytes]) -> bytes:
-    """A trained dictionary; with too little text for training, the text itself."""
+    """A dictionary trained on the blocks of all texts; where there is too little for that, the texts themselves."""
     blocks = [t[i : i + BLOCK] for t in texts for i in range(0, len(t), BLOCK)]
-    total = sum(map(len, blocks))
-    if len(blocks) >= 40:
-        try:
-            return zstandard.train_dictionary(min(DICTIONARY, max(2048, total // 6)), blocks, level=LEVEL).as_bytes()
-        except zstandard.ZstdError:
-            pass
-    raw = b"".join(blocks)[:DICTIONARY]
-    return raw if len(raw) >= 8 else b""
+    try:
+        return zstandard.train_dictionary(min(DICTIONARY, max(2048, sum(map(len, blocks)) // 6)), blocks, level=LEVEL).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        raw = b"".join(blocks)
+        return raw if len(raw) >= 8 else b""
 
 
 def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text") -> CompressionModel:
     """A model from the labelled training rows that are in ``docs``: those whose fold isn't 0."""
-    rows, sizes = bounded_sample(docs, labels, "quality", fold(key, FOLDS) != 0, rows_a_class=ROWS_A_CLASS, excerpt=EXCERPT, key=key, text=text)
+    rows, sizes = bounded_sample(docs, labels, "quality", fold(key, FOLDS) != 0, rows_a_class=ROWS_A_CLASS, bytes_a_class=BYTES_A_CLASS, key=key, text=text)
     return CompressionModel(rows, sizes)
 
 
@@ -108,7 +105,11 @@ def score(docs: DataFrame, model: CompressionModel, *, threshold: float = 0.3, k
 
 
 def keep_good(docs: DataFrame, model: CompressionModel, *, threshold: float = 0.3, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the model doesn't reject, with all their columns."""
+    """The rows of ``docs`` that the model doesn't reject, with all their columns, whatever their names.
+
+    Null text is judged as empty text, whole texts however long. Repeated rows are judged alike and all stay or go;
+    a score equal to the threshold keeps. An empty table gives an empty result. A map without a shuffle.
+    """
     fields = docs.schema
 
     def sift(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
