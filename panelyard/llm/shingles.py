@@ -17,7 +17,7 @@ _SPACE[list(SPACE_BYTES)] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _ORDER = _rng.integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bytes worked on at once; a longer text is cut after white space.
-SLAB = 1 << 21
+SLAB = 1 << 19
 _powers: list[np.ndarray] = []
 
 
