@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 import hashlib
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -329,9 +330,11 @@ class Compiler:
             return F.aggregate(F.transform(held, lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v) / (d * (d + 1) / 2)
         if kind == "ema":
             alpha = 2.0 / (d + 1)
-            so_far = self.keep(F.collect_list(x).over(rows.rowsBetween(Window.unboundedPreceding, 0)))
-            seed = F.element_at(so_far, 1)
-            return F.when((F.size(so_far) >= d) & x.isNotNull(), F.aggregate(so_far, seed, lambda s, v: s + (v - s) * alpha))
+            # Values further back than this weigh less than a double can tell, so each row folds a bounded window.
+            reach = math.ceil(40 / -math.log1p(-alpha)) if d > 1 else 1
+            k = self.keep(F.count(x).over(rows.rowsBetween(Window.unboundedPreceding, 0)))
+            recent = self.keep(F.collect_list(x).over(Window.partitionBy(*self.keys, "asset").orderBy(k).rangeBetween(-(reach - 1), 0)))
+            return F.when((k >= d) & x.isNotNull(), F.aggregate(recent, F.element_at(recent, 1), lambda s, v: s + (v - s) * alpha))
         raise GrammarError(f"no meaning for {kind}")
 
     @staticmethod

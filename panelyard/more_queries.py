@@ -63,7 +63,7 @@ def register(add: Callable) -> None:
 
     @add(
         """WITH f AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS datadate, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_orderdate AS DATE) + 30 END AS rdq FROM orders),
-      days AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS day FROM lineitem WHERE l_suppkey % 10 = 3), b AS (SELECT *, coalesce(rdq, datadate + 90) AS base FROM f)
+      days AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS day FROM lineitem), b AS (SELECT *, coalesce(rdq, datadate + 90) AS base FROM f)
       SELECT o_orderkey, datadate, day AS available FROM b ASOF LEFT JOIN days ON b.base < days.day"""
     )
     def market_available_from(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,7 +88,7 @@ def empirical_null(scored: DataFrame, *, degree: int = 3, central: float = 0.5)
 
 def local_fdr(pvalues: DataFrame, *, degree: int = 3, central: float = 0.5, p: str = "p", name: str = "lfdr") -> DataFrame:
     """Adds the chance that a candidate is null given where its z-score lies; 1 at or below the null's centre."""
-    scored = z_scores(pvalues, p=p)
+    scored = z_scores(pvalues, p=p).persist()  # read by each quantile and count; kept, so that z isn't written out again wherever it is used
     null = empirical_null(scored, degree=degree, central=central)
     counts = F.array(*map(F.lit, null.counts))
     at = (F.col("z") - null.mids[0]) / null.width

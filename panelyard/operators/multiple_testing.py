@@ -59,8 +59,17 @@ def benjamini_yekutieli(pvalues: DataFrame, alpha: float = 0.05, *, p: str = "p"
     return _step_up(sized, F.lit(_alpha(alpha)) * F.col("_r") / (F.col("_m") * F.col("_h")), p, by, name).drop("_m", "_h")
 
 
+#: Euler's constant, and the number of terms up to which a harmonic sum is added up.
+EULER, ADDED = 0.5772156649015329, 100
+
+
 def harmonic(m: Column) -> Column:
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(m, F.lit(1)).cast("int")), F.lit(0.0), lambda s, i: s + F.lit(1.0) / i)
+    """1 + 1/2 + ... + 1/m: added up for a small m, else by its expansion, whose error is below 1e-14 there."""
+    m = F.greatest(m, F.lit(1))
+    few = F.aggregate(F.sequence(F.lit(1), F.least(m, F.lit(ADDED)).cast("int")), F.lit(0.0), lambda s, i: s + F.lit(1.0) / i)
+    x = m.cast("double")
+    many = F.log(x) + EULER + 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * x * x * x * x)
+    return F.when(m <= ADDED, few).otherwise(many)
 
 
 def holm_adjusted(pvalues: DataFrame, *, p: str = "p", by: Sequence[str] = (), name: str = "holm") -> DataFrame:
@@ -129,9 +138,17 @@ def storey_qvalues(pvalues: DataFrame, lam: float = 0.5, *, pfdr: bool = False,
     return sized.withColumn(name, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("_x").over(down)))).drop("_x")
 
 
-def evidence_profile(pvalues: DataFrame, *, lam: float = 0.5, p: str = "p") -> DataFrame:
-    """p with its Holm, Benjamini-Yekutieli, Benjamini-Hochberg and Storey values side by side."""
-    return storey_qvalues(bh_adjusted(by_adjusted(holm_adjusted(pvalues, p=p), p=p), p=p), lam, p=p)
+def evidence_profile(pvalues: DataFrame, *, lam: float = 0.5, p: str = "p", with_lfdr: bool = False) -> DataFrame:
+    """p with its Holm, Benjamini-Yekutieli, Benjamini-Hochberg and Storey values side by side, and ``with_lfdr`` its local one.
+
+    The local false discovery rate is a fit over all p-values, and null below 200 of them.
+    """
+    out = storey_qvalues(bh_adjusted(by_adjusted(holm_adjusted(pvalues, p=p), p=p), p=p), lam, p=p)
+    if not with_lfdr:
+        return out
+    from panelyard.operators.grading import family_lfdr
+
+    return family_lfdr(out, p=p)
 
 
 def false_discovery_rate(decided: DataFrame, *, rejected: str = "rejected", truth: str = "truth") -> DataFrame:

@@ -25,27 +25,42 @@ def _each(spark: SparkSession, n: int, make, schema: str) -> DataFrame:
     return spark.range(n, numPartitions=max(1, min(n, spark.sparkContext.defaultParallelism * 2))).mapInPandas(rows, schema)
 
 
+def planted(n: int, n_real: int, seed: int) -> np.ndarray:
+    """The numbers of the real ones among n, drawn at random."""
+    return np.sort(np.random.default_rng([seed, 7]).choice(n, n_real, replace=False))
+
+
+def _truth(spark: SparkSession, n: int, real: np.ndarray) -> DataFrame:
+    return spark.range(n).select(F.col("id").cast("int").alias("candidate"), F.col("id").isin([int(i) for i in real]).alias("truth"))
+
+
 def make_panel(spark: SparkSession, *, n_dates: int = 2520, n_assets: int = 100, n_candidates: int = 200, n_real: int = 0, effect: float = 0.02, vol: float = 0.015, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(signals, truth): long (candidate, date, asset, signal, ret), where real candidates lead the next return by a correlation of ``effect``."""
     if not 0 <= n_real <= n_candidates or not -1 <= effect <= 1:
         raise ValueError("n_real or effect out of range")
     days = pd.bdate_range("2000-01-03", periods=n_dates).date
+    real = planted(n_candidates, n_real, seed)
 
     def one(i: int) -> pd.DataFrame:
         ret = np.random.default_rng([seed, 0]).normal(scale=vol, size=(n_dates, n_assets))
         signal = np.random.default_rng([seed, 1, i]).normal(size=(n_dates, n_assets))
-        if i < n_real:
-            ahead = np.vstack([ret[1:], np.zeros((1, n_assets))]) / vol
+        if i in real:
+            ahead = np.vstack([ret[1:], np.random.default_rng([seed, 2, i]).normal(scale=vol, size=(1, n_assets))]) / vol
             signal = effect * ahead + math.sqrt(1 - effect**2) * signal
         return pd.DataFrame({"candidate": i, "date": np.repeat(days, n_assets), "asset": np.tile(np.arange(n_assets), n_dates), "signal": signal.ravel(), "ret": ret.ravel()})
 
-    truth = spark.range(n_candidates).select(F.col("id").cast("int").alias("candidate"), (F.col("id") < n_real).alias("truth"))
+    truth = _truth(spark, n_candidates, real)
     return _each(spark, n_candidates, one, "candidate int, date date, asset int, signal double, ret double"), truth
 
 
+def shocks(n: int, rng: np.random.Generator, t_df: float | None) -> np.ndarray:
+    """Normal or, with ``t_df``, fat-tailed shocks of variance 1."""
+    return rng.normal(size=n) if t_df is None else rng.standard_t(t_df, size=n) * math.sqrt((t_df - 2) / t_df)
+
+
 def series(n: int, rng: np.random.Generator, common: np.ndarray, *, rho: float = 0.0, ar1: float = 0.0, t_df: float | None = None, garch: tuple[float, float] | None = None) -> np.ndarray:
     """Standardised returns: part common, fat-tailed, clustered, autocorrelated; each step keeps mean 0 and variance 1."""
-    own = rng.normal(size=n) if t_df is None else rng.standard_t(t_df, size=n) * math.sqrt((t_df - 2) / t_df)
+    own = shocks(n, rng, t_df)
     x = math.sqrt(rho) * common + math.sqrt(1 - rho) * own
     if garch is not None:
         a, b = garch
@@ -66,14 +81,15 @@ def series(n: int, rng: np.random.Generator, common: np.ndarray, *, rho: float =
 def make_return_matrix(spark: SparkSession, *, n_obs: int = 2520, n_candidates: int = 200, n_real: int = 0, sharpe_real: float = 1.0, vol: float = 0.01, rho: float = 0.0, ar1: float = 0.0, t_df: float | None = None, garch: tuple[float, float] | None = None, periods: int = 252, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(returns, truth): long (candidate, date, ret), equally correlated by rho, real ones with the given Sharpe ratio."""
     days = pd.bdate_range("2000-01-03", periods=n_obs).date
+    real = planted(n_candidates, n_real, seed)
 
     def one(i: int) -> pd.DataFrame:
-        common = np.random.default_rng([seed, 0]).normal(size=n_obs)
+        common = shocks(n_obs, np.random.default_rng([seed, 0]), t_df)
         x = series(n_obs, np.random.default_rng([seed, 1, i]), common, rho=rho, ar1=ar1, t_df=t_df, garch=garch)
-        drift = sharpe_real / math.sqrt(periods) if i < n_real else 0.0
+        drift = sharpe_real / math.sqrt(periods) if i in real else 0.0
         return pd.DataFrame({"candidate": i, "date": days, "ret": vol * (x + drift)})
 
-    truth = spark.range(n_candidates).select(F.col("id").cast("int").alias("candidate"), (F.col("id") < n_real).alias("truth"))
+    truth = _truth(spark, n_candidates, real)
     return _each(spark, n_candidates, one, "candidate int, date date, ret double"), truth
 
 
@@ -93,35 +109,40 @@ def idle_days(n: int, share: float, run: float, rng: np.random.Generator) -> np.
 def make_family_set(spark: SparkSession, n_families: int, k: int, share_real: float, sharpe_real: float, *, within_rho: float = 0.9, n_obs: int = 36 * 252, seed: int = 0, idle_share: float = 0.0, idle_run: float = 21.0, periods: int = 252, **defects) -> tuple[DataFrame, DataFrame]:
     """(returns, truth): families of k near copies, (date, candidate, family, pos, ret), with idle days as nulls."""
     days = pd.bdate_range("1990-01-01", periods=n_obs).date
-    real = round(share_real * n_families)
+    real = planted(n_families, round(share_real * n_families), seed)
 
     def one(f: int) -> pd.DataFrame:
-        common = np.random.default_rng([seed, 0, f]).normal(size=n_obs)
+        common = shocks(n_obs, np.random.default_rng([seed, 0, f]), defects.get("t_df"))
         idle = idle_days(n_obs, idle_share, idle_run, np.random.default_rng([seed, 2, f]))
         frames = []
         for v in range(k):
             x = series(n_obs, np.random.default_rng([seed, 1, f, v]), common, rho=within_rho, **defects)
-            ret = 0.01 * (x + (sharpe_real / math.sqrt(periods) if f < real else 0.0))
+            ret = 0.01 * (x + (sharpe_real / math.sqrt(periods) if f in real else 0.0))
             frames.append(pd.DataFrame({"date": days, "candidate": f"f{f}v{v}", "family": f"f{f}", "pos": v, "ret": np.where(idle, np.nan, ret)}))
         return pd.concat(frames)
 
-    truth = spark.range(n_families).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("family"), (F.col("id") < real).alias("truth"))
+    truth = spark.range(n_families).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("family"), F.col("id").isin([int(i) for i in real]).alias("truth"))
     made = _each(spark, n_families, one, "date date, candidate string, family string, pos int, ret double")
     return made.withColumn("ret", F.when(~F.isnan("ret"), F.col("ret"))), truth
 
 
-def bootstrap_from_real(returns: DataFrame, n_candidates: int = 200, seed: int = 0) -> DataFrame:
-    """(candidate, date, asset, ret, signal): the rows of real dates drawn anew for each candidate, whole dates together, with noise signals."""
+def bootstrap_from_real(returns: DataFrame, n_candidates: int = 200, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(panel, signals): real dates resampled once, whole dates together, as (date, asset, ret), and noise signals (candidate, date, asset, signal) on it.
+
+    Only dates are numbered in one place; returns are moved once by a join on them.
+    """
     from pyspark.sql import Window
 
     spark = returns.sparkSession
     dates = returns.select("date").distinct().withColumn("i", F.row_number().over(Window.orderBy("date")) - 1)
     n = dates.count()
-    picks = spark.range(n_candidates).select(F.col("id").cast("int").alias("candidate"), F.posexplode(F.sequence(F.lit(0), F.lit(n - 1))).alias("at", "_i")).withColumn("i", F.pmod(F.xxhash64(F.lit(seed), "candidate", "at"), F.lit(n)).cast("int"))
-    drawn = picks.join(dates.withColumnRenamed("date", "source"), "i").join(dates.select("date", F.col("i").alias("at")), "at")
-    rows = drawn.join(returns.withColumnRenamed("date", "source"), "source")
-    noise = F.sqrt(-2 * F.log((F.pmod(F.xxhash64(F.lit(seed + 1), "candidate", "date", "asset"), F.lit(1 << 40)) + 1) / F.lit(float((1 << 40) + 1)))) * F.cos(2 * math.pi * F.pmod(F.xxhash64(F.lit(seed + 2), "candidate", "date", "asset"), F.lit(1 << 40)) / F.lit(float(1 << 40)))
-    return rows.select("candidate", "date", "asset", "ret", noise.alias("signal"))
+    picks = dates.select("date", F.pmod(F.xxhash64(F.lit(seed), "i"), F.lit(n)).cast("int").alias("from"))
+    sources = dates.select(F.col("date").alias("source"), F.col("i").alias("from"))
+    panel = picks.join(sources, "from").join(returns.withColumnRenamed("date", "source"), "source").select("date", "asset", "ret")
+    uniform = lambda k: (F.pmod(F.xxhash64(F.lit(seed + k), "candidate", "date", "asset"), F.lit(1 << 40)) + 1) / F.lit(float((1 << 40) + 1))
+    noise = F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * math.pi * uniform(2))
+    cells = panel.select("date", "asset").crossJoin(F.broadcast(spark.range(n_candidates).select(F.col("id").cast("int").alias("candidate"))))
+    return panel, cells.select("candidate", "date", "asset", noise.alias("signal"))
 
 
 def simulate_family_winners(n_families: int, k: int, share_real: float, sharpe_real: float, n_obs: int, *, within_rho: float = 0.0, periods: int = 252, seed: int = 0) -> pd.DataFrame:

@@ -129,12 +129,13 @@ def panel_dense_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _panel(spark, sf_dir).select("date", "asset", *_r("close", "ret", digits=8))
 
 
-@_register("WITH " + BARS + " SELECT date, " + ", ".join(f"round(abs(max(CASE WHEN asset = {k} THEN close END)), 8) + 0.0 AS \"{k}\"" for k in range(1, 6)) + " FROM bars GROUP BY date")
+@_register("WITH " + GRID + " SELECT date, CAST(asset AS VARCHAR) AS asset, round(abs(close), 8) + 0.0 AS price FROM grid LEFT JOIN bars USING (date, asset)")
 def panel_price_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide price panel of every asset, unpivoted again so that its columns don't depend on the data."""
     bars = pn.monthly_bars(table(spark, sf_dir, "lineitem")).withColumn("seq", F.lit(0))
-    assets = [r["asset"] for r in bars.select("asset").distinct().orderBy("asset").collect()]
-    wide = pn.price_panel(bars, "close", assets)
-    return wide.select("date", *[rounded(F.col(f"`{k}`"), 8).alias(str(k)) for k in assets])
+    wide = pn.price_panel(bars, "close", None)
+    assets = [c for c in wide.columns if c != "date"]
+    return wide.unpivot("date", assets, "asset", "price").select("date", "asset", rounded("price", 8).alias("price"))
 
 
 @_register("WITH " + _weights_sql() + " SELECT candidate, date, asset, round(weight, 8) + 0.0 AS weight FROM book")
@@ -383,7 +384,10 @@ def factor_order_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select("date", "asset", *_r("ranked"), "since_max", "since_min")
 
 
-@_register()
+@_register(
+    "WITH " + GRID + """, l AS (SELECT date, asset, close, list(close) FILTER (close IS NOT NULL) OVER (PARTITION BY asset ORDER BY date ROWS UNBOUNDED PRECEDING) AS h FROM panel)
+  SELECT date, asset, round(CASE WHEN len(h) >= 6 AND close IS NOT NULL THEN list_reduce(h, lambda s, v: s + (v - s) * (2.0 / 7)) END, 6) + 0.0 AS ema FROM l"""
+)
 def factor_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grammar.with_factors(_panel(spark, sf_dir), {"ema": "ema(close, 6)"}).select("date", "asset", *_r("ema"))
 
@@ -465,10 +469,16 @@ def overfit_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- everything else is registered by the modules below
 
-from panelyard import more_queries, search_queries  # noqa: E402
+from panelyard import log_queries, more_queries, search_queries  # noqa: E402
+
+
+def _asset_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _panel(spark, sf_dir).select("date", F.col("asset").alias("candidate"), "ret")
+
 
 more_queries.register(_register)
 search_queries.register(_register, GRID)
+log_queries.register(_register, GRID, PVALUES, _pvalues, _RET, _asset_returns)
 
 
 def queries() -> dict[str, Query]:
