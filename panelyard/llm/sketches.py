@@ -51,16 +51,15 @@ def cells_for(found: Column) -> Column:
     return F.greatest(F.lit(LEAST_CELLS), F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.size(found), F.lit(1))))).cast("int")).cast("long")
 
 
-def _entries(d: Column, n: Column, c: Column, salt: int) -> Column:
-    """A digest's three cells (p, n, x); tables lie side by side, 2^32 places apart, and a salt stands for other hash bits."""
-    h = d if not salt else F.xxhash64(d, F.lit(salt))
-    out = []
-    for table in range(TABLES):
-        place = F.call_function("shiftrightunsigned", h, F.lit(16 * (TABLES - table))).bitwiseXOR(h if table == 1 else F.lit(0).cast("long")).bitwiseAND(c - 1)
-        if salt:
-            place = F.xxhash64(h, F.lit(table)).bitwiseAND(c - 1)
-        out.append(F.struct((place + F.lit(table << 32)).alias("p"), n.alias("n"), d.alias("x")))
-    return F.array(*out)
+def _entries(d: Column, n: Column, c: Column, salt: Column) -> Column:
+    """A digest's three cells (p, n, x); tables lie side by side, 2^32 places apart, and a salt above 0 takes other hash bits."""
+
+    def cells(h: Column) -> Column:
+        high = lambda bits: F.call_function("shiftrightunsigned", h, F.lit(bits))
+        places = [high(48), high(32).bitwiseXOR(h), high(16)]
+        return F.array(*[F.struct((p.bitwiseAND(c - 1) + F.lit(t << 32)).alias("p"), n.alias("n"), d.alias("x")) for t, p in enumerate(places)])
+
+    return _with(F.when(salt == 0, d).otherwise(F.xxhash64(d, salt)), cells)
 
 
 def _combined(entries: Column) -> Column:
@@ -76,14 +75,14 @@ def _combined(entries: Column) -> Column:
         begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["p"] != F.get(s, i - 1)["p"]))
         return _with(begins, lambda b: F.transform(b, lambda at, k: cell(s, at, F.coalesce(F.get(b, k + 1), F.size(s)))))
 
-    merged = _with(F.array_sort(entries), lambda s: F.when(F.size(s) > 0, merge(s)).otherwise(s))
+    merged = _with(F.sort_array(entries), lambda s: F.when(F.size(s) > 0, merge(s)).otherwise(s))
     return F.filter(merged, lambda e: (e["n"] != 0) | (e["x"] != 0))
 
 
-def sketch(found: Column, c: Column, salt: int = 0) -> Column:
+def sketch(found: Column, c: Column, salt: Column | None = None) -> Column:
     """The cells in use (p, n, x) of an array of digests."""
     one = F.lit(1).cast("long")
-    return _combined(F.flatten(F.transform(found, lambda d: _entries(d, one, c, salt))))
+    return _combined(F.flatten(F.transform(found, lambda d: _entries(d, one, c, F.lit(0) if salt is None else salt))))
 
 
 def shown(cells: Column, c: Column) -> Column:
@@ -100,23 +99,25 @@ def subtracted(one: Column, other: Column, c: Column) -> Column:
     return _combined(F.concat(mine, theirs))
 
 
-def peeled(cells: Column, c: Column, salt: int = 0) -> Column:
+def peeled(cells: Column, c: Column, salt: Column | None = None) -> Column:
     """(mine, theirs): numbers of digests that only one of two subtracted sketches has; null where peeling gets stuck."""
     zero = F.lit(0).cast("long")
     start = F.struct(cells.alias("cells"), zero.alias("mine"), zero.alias("theirs"), F.lit(True).alias("go"))
 
-    def step(state: Column, _: Column) -> Column:
-        pure = F.filter(state["cells"], lambda e: (F.abs(e["n"]) == 1) & _passes(e["x"]))
-        known = F.array_distinct(F.transform(pure, lambda e: F.struct(e["n"].alias("n"), e["x"].alias("x"))))
+    def pure(state: Column, n: int) -> Column:
+        return F.array_distinct(F.transform(F.filter(state["cells"], lambda e: (e["n"] == n) & _passes(e["x"])), lambda e: e["x"]))
 
+    def taken(found: Column, n: int) -> Column:
+        return F.flatten(F.transform(found, lambda d: _entries(d, F.lit(n).cast("long"), c, F.lit(0) if salt is None else salt)))
+
+    def step(state: Column, _: Column) -> Column:
         def take(k: Column) -> Column:
-            less = F.flatten(F.transform(k, lambda e: _entries(e["x"], -e["n"], c, salt)))
-            mine = F.size(F.filter(k, lambda e: e["n"] == 1)).cast("long")
-            rest = _combined(F.concat(state["cells"], less))
-            return F.struct(rest.alias("cells"), (state["mine"] + mine).alias("mine"), (state["theirs"] + F.size(k) - mine).alias("theirs"), F.lit(True).alias("go"))
+            rest = _combined(F.concat(state["cells"], taken(k["mine"], -1), taken(k["theirs"], 1)))
+            return F.struct(rest.alias("cells"), (state["mine"] + F.size(k["mine"])).alias("mine"), (state["theirs"] + F.size(k["theirs"])).alias("theirs"), F.lit(True).alias("go"))
 
         stop = F.struct(state["cells"].alias("cells"), state["mine"].alias("mine"), state["theirs"].alias("theirs"), F.lit(False).alias("go"))
-        return F.when(~state["go"] | (F.size(state["cells"]) == 0), state).otherwise(_with(known, lambda k: F.when(F.size(k) == 0, stop).otherwise(take(k))))
+        known = F.struct(pure(state, 1).alias("mine"), pure(state, -1).alias("theirs"))
+        return F.when(~state["go"] | (F.size(state["cells"]) == 0), state).otherwise(_with(known, lambda k: F.when(F.size(k["mine"]) + F.size(k["theirs"]) == 0, stop).otherwise(take(k))))
 
     done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
     return _with(done, lambda s: F.when(F.size(s["cells"]) == 0, F.struct(s["mine"].alias("mine"), s["theirs"].alias("theirs"))))
@@ -126,22 +127,31 @@ def with_likeness(df: DataFrame, one: str, other: str, name: str) -> DataFrame:
     """``df`` with the Dice likeness of two texts: twice the shared digests over all, 1 for two empty texts.
 
     For each of ``one`` and ``other``, a text's column prefix, the columns _d (digests), _c (cells of a table) and _s
-    (sketch) are read. Fingerprints whose numbers of digests differ by more than the cells of the smaller can't be
-    peeled, so these start with the first larger sketch. Each retry is a column of its own, computed only where
-    the one before got stuck.
+    (sketch) are read. Fingerprints are first compared at the size of the smaller; where the numbers of digests differ
+    by more than such a sketch can tell apart, this is skipped. Next, the shorter text is sketched with as many cells as
+    the longer text's fingerprint has. Then both are sketched with four times the cells, and so on. The tries are one
+    loop over the same expressions, which ends with the first that isn't stuck.
     """
     n1, n2 = F.size(f"{one}_d"), F.size(f"{other}_d")
-    df = df.withColumn("_c0", F.least(f"{one}_c", f"{other}_c"))
-    hope = F.abs(n1 - n2) <= F.lit(TABLES) * F.col("_c0")
-    df = df.withColumn("_left", F.when(hope, peeled(subtracted(F.col(f"{one}_s"), F.col(f"{other}_s"), F.col("_c0")), F.col("_c0"))))
-    for k in range(1, RETRIES + 1):
-        df = df.withColumn(f"_c{k}", F.greatest(f"{one}_c", f"{other}_c") * F.lit(4**k))
-        c = F.col(f"_c{k}")
-        again = peeled(subtracted(sketch(F.col(f"{one}_d"), c, k), sketch(F.col(f"{other}_d"), c, k), c), c, k)
-        df = df.withColumn("_left", F.when(F.col("_left").isNull(), again).otherwise(F.col("_left")))
+    df = df.withColumn("_c0", F.least(f"{one}_c", f"{other}_c")).withColumn("_c", F.greatest(f"{one}_c", f"{other}_c"))
+
+    def attempt(k: Column) -> Column:
+        c = F.when(k == 0, F.col("_c0")).otherwise(F.col("_c") * F.pow(F.lit(4.0), F.greatest(k - 1, F.lit(0))).cast("long"))
+        salt = F.greatest(k - 1, F.lit(0))
+
+        def compared(at: Column) -> Column:
+            side = lambda x: F.when((k == 0) | ((k == 1) & (F.col(f"{x}_c") == at["c"])), F.col(f"{x}_s")).otherwise(sketch(F.col(f"{x}_d"), at["c"], at["salt"]))
+            return peeled(subtracted(side(one), side(other), at["c"]), at["c"], at["salt"])
+
+        worth = F.when(k == 0, F.abs(n1 - n2) <= F.lit(2) * F.col("_c0")).when(k == 1, F.col("_c") > F.col("_c0")).otherwise(F.lit(True))
+        return F.when(worth, _with(F.struct(c.alias("c"), salt.alias("salt")), compared))
+
+    nothing = F.lit(None).cast("struct<mine:bigint,theirs:bigint>")
+    tries = F.aggregate(F.sequence(F.lit(0), F.lit(RETRIES + 1)), nothing, lambda found, k: F.when(found.isNotNull(), found).otherwise(attempt(k)))
+    df = df.withColumn("_left", tries)
     left = F.when(F.col("_left").isNull(), F.raise_error(F.lit("a sketch couldn't be peeled at any size")).cast("long")).otherwise(F.col("_left.mine"))
     value = F.when(n1 + n2 == 0, F.lit(1.0)).otherwise(2.0 * (n1 - left) / (n1 + n2))
-    return df.withColumn(name, F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))).drop("_left", *[f"_c{k}" for k in range(RETRIES + 1)])
+    return df.withColumn(name, F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))).drop("_left", "_c", "_c0")
 
 
 def sketched(df: DataFrame, *names: str) -> DataFrame:
