@@ -32,4 +32,5 @@ def connected(edges: DataFrame) -> DataFrame:
         table, labels = after, after.select("v", "c")
         if done:
             scratch.drop(both)
+            labels._panelyard_path = after._panelyard_path
             return labels

@@ -72,7 +72,8 @@ def mixing_plan(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_rate: i
     A document's extra copy is a Bernoulli draw from the hash of its key and a seed. Sources with few or
     very uneven documents would stray from their target by chance, so each source tries ``SEEDS`` seeds
     and keeps the one whose realised total is nearest. Any one draw is still a plain hash draw with the
-    fraction as its probability, and copies are then known from a row alone: no shuffle of texts.
+    fraction as its probability; given the plan, the choice among seeds favours draws near the target. Copies are
+    then known from a row alone: no shuffle of texts.
     """
     sizes = scratch.written(docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), word_count(text).alias("size")), "sizes")
     targets = source_targets(sizes, weights, max_rate).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))

@@ -19,7 +19,7 @@ Every link is confirmed on the full shingle sets before it counts.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,7 @@ from panelyard.llm.shingles import set_hash, shingle_sets, signatures
 
 COORDINATES, MATCHES, WIDTH, PERCENT = 48, 20, 5, 75
 ANCHOR_ROUNDS = 4
+Keep = Callable[[DataFrame, str], DataFrame]
 #: Posting lists of up to this many members are joined with themselves; longer ones are compared in blocks of two chunks.
 SHORT, CHUNK, COLUMNS = 16, 256, 4096
 #: Class ids up to this number are sent to all executors (16 bytes each); beyond it, texts are joined by shuffle.
@@ -100,17 +101,22 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, signs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame | None:
     """(v, c): the component of each class that is linked with another; None if nothing can be linked."""
-    classes = scratch.written(signs.where("h is not null").groupBy("h").agg(F.min(key).alias(key), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
+    with scratch.workspace() as keep:
+        return _links(docs, signs, key, text, keep)
+
+
+def _links(docs: DataFrame, signs: DataFrame, key: str, text: str, keep: Keep) -> DataFrame | None:
+    classes = keep(signs.where("h is not null").groupBy("h").agg(F.min(key).alias(key), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
     posted = classes.select("h", F.posexplode("sig").alias("k", "value")).select("h", F.shiftleft(F.col("k").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("entry"))
     shared = posted.groupBy("entry").agg(F.count("*").alias("freq")).where("freq > 1")
     met = posted.join(shared, "entry")
     mine = Window.partitionBy("h")
     ranked = met.withColumn("m", F.count("*").over(mine)).withColumn("r", F.row_number().over(mine.orderBy("freq", "entry")))
     ranked = ranked.withColumn("common", F.sum("freq").over(mine))
-    prefix = scratch.written(ranked.where(f"m >= {MATCHES} and r <= m - {MATCHES - 1}").select("h", "entry", "common"), "prefix")
+    prefix = keep(ranked.where(f"m >= {MATCHES} and r <= m - {MATCHES - 1}").select("h", "entry", "common"), "prefix")
     members = prefix.select("h").distinct()
-    wanted = scratch.written(classes.join(members, "h", "left_semi").select(key, "h", "n", "sig"), "candidates")
-    sets = scratch.written(_full_sets(docs, wanted.select(key, "h"), key, text), "sets")
+    wanted = keep(classes.join(members, "h", "left_semi").select(key, "h", "n", "sig"), "candidates")
+    sets = keep(_full_sets(docs, wanted.select(key, "h"), key, text), "sets")
     found: DataFrame | None = None
     labels: DataFrame | None = None
     lists = prefix
@@ -120,34 +126,40 @@ def links(docs: DataFrame, signs: DataFrame, *, key: str = "doc_id", text: str =
         anchors = placed.groupBy("entry").agg(F.max(F.struct((F.col("common") * chance).alias("o"), F.col("h").alias("anchor"), F.col("c").alias("ac"))).alias("best")).select("entry", "best.anchor", "best.ac")
         against = placed.join(anchors, "entry").where("c <> ac and h <> anchor").groupBy("h", "anchor").count()
         one = against.groupBy("h").agg(F.max(F.struct("count", "anchor")).alias("best")).select(F.col("best.anchor").alias("a"), F.col("h").alias("b"))
-        new = scratch.written(_confirmed(one, sets), f"links-{turn}")
+        new = keep(_confirmed(one, sets), f"links-{turn}")
         if new.isEmpty():
             break
         found = new if found is None else found.unionAll(new)
-        labels = connected(found)
-        lists = _mixed(prefix, labels)
+        labels = _replaced(labels, connected(found))
+        lists = _mixed(prefix, labels, keep)
         if lists.isEmpty():
             return labels
-    new = scratch.written(_across(_labelled(lists, labels), wanted, sets), "links-rest")
+    new = keep(_across(_labelled(lists, labels), wanted, sets, keep), "links-rest")
     if not new.isEmpty():
-        labels = connected(new if found is None else found.unionAll(new))
+        labels = _replaced(labels, connected(new if found is None else found.unionAll(new)))
     return labels
 
 
+def _replaced(old: DataFrame | None, new: DataFrame) -> DataFrame:
+    if old is not None:
+        scratch.drop(old)
+    return new
+
+
 def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return lists.withColumn("c", F.col("h"))
     return lists.join(labels.withColumnRenamed("v", "h"), "h", "left").withColumn("c", F.coalesce("c", "h"))
 
 
-def _mixed(prefix: DataFrame, labels: DataFrame) -> DataFrame:
+def _mixed(prefix: DataFrame, labels: DataFrame, keep: Keep) -> DataFrame:
     """The posting lists that hold members of two components or more."""
     placed = _labelled(prefix, labels)
     several = placed.groupBy("entry").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("entry")
-    return scratch.written(prefix.join(several, "entry", "left_semi"), "mixed")
+    return keep(prefix.join(several, "entry", "left_semi"), "mixed")
 
 
-def _shared_shingles(members: DataFrame, sets: DataFrame) -> DataFrame:
+def _shared_shingles(members: DataFrame, sets: DataFrame, keep: Keep) -> DataFrame:
     """(h, n, s) of members: s of their n shingles are in another member's set too. Those with s under 75 percent of n are left out.
 
     Linked sets share 75 percent of either, so nothing that is left out has a link among the members.
@@ -155,10 +167,10 @@ def _shared_shingles(members: DataFrame, sets: DataFrame) -> DataFrame:
     rows = sets.join(members, "h", "left_semi").select("h", "n", F.explode("members").alias("x"))
     twice = rows.groupBy("x").agg(F.count("*").alias("c")).where("c > 1").select("x")
     found = rows.join(twice, "x").groupBy("h", "n").agg(F.count("*").alias("s"))
-    return scratch.written(found.where(f"100 * s >= {PERCENT} * n"), "shared")
+    return keep(found.where(f"100 * s >= {PERCENT} * n"), "shared")
 
 
-def _across(placed: DataFrame, wanted: DataFrame, sets: DataFrame) -> DataFrame:
+def _across(placed: DataFrame, wanted: DataFrame, sets: DataFrame, keep: Keep) -> DataFrame:
     """Links (a, b) between different components of one posting list: at least one for every two components that have any.
 
     Members that can't be linked are left out first. Lists of up to ``SHORT`` members are joined with themselves, so a
@@ -166,9 +178,9 @@ def _across(placed: DataFrame, wanted: DataFrame, sets: DataFrame) -> DataFrame:
     their values, so joining each with itself would find the same pairs again and again. Their members are put
     together to families, lists that share a member being one, and a family is compared once, in blocks.
     """
-    placed = placed.join(_shared_shingles(placed.select("h").distinct(), sets), "h")
+    placed = placed.join(_shared_shingles(placed.select("h").distinct(), sets, keep), "h")
     lists = placed.groupBy("entry").agg(F.count("*").alias("f"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("h").alias("head")).where("lo <> hi")
-    placed = scratch.written(placed.join(lists.select("entry", "f", "head"), "entry"), "apart")
+    placed = keep(placed.join(lists.select("entry", "f", "head"), "entry"), "apart")
     short = placed.where(f"f <= {SHORT}")
     side = lambda s: short.select("entry", *[F.col(c).alias(c + s) for c in ("h", "c", "n", "s")])
     met = side("a").join(side("b"), "entry").where(f"ha < hb and ca <> cb and {_could('na', 'nb', 'sa', 'sb')}")

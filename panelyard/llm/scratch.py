@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,6 +58,22 @@ def free(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+@contextmanager
+def workspace() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """:func:`written` for tables that nothing reads once the block is left; their files are then deleted."""
+    tables: list[DataFrame] = []
+
+    def keep(df: DataFrame, tag: str) -> DataFrame:
+        tables.append(written(df, tag))
+        return tables[-1]
+
+    try:
+        yield keep
+    finally:
+        for table in tables:
+            drop(table)
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files behind a table made by :func:`written`; call only once nothing reads it."""
     path = getattr(df, "_panelyard_path", None)

@@ -55,7 +55,8 @@ def assign_shards(docs: DataFrame, n_shards: int = 16, *, key: str = "doc_id", t
 
     Slots are dealt in two levels, so that no shard's rows ever meet in one task: rows are ranked within
     (shard, input partition), and the partitions' counts give each its first slot. Only the narrow
-    columns are shuffled; the text is read once and stays where it is.
+    columns are shuffled; the text is read once and stays where it is. Slots follow the input's partitions, so
+    the same rows dealt over other files get the same shards but other slots.
 
     Null text counts as empty (size 1, CRC of no bytes). A null key is a key like any other: all such
     rows share a shard, and are still ranked partition by partition. Repeated rows keep one slot each.
@@ -90,7 +91,9 @@ def assign_shards(docs: DataFrame, n_shards: int = 16, *, key: str = "doc_id", t
 def write_shards(docs: DataFrame, path: str, n_shards: int = 16, *, key: str = "doc_id") -> None:
     """Write ``docs`` under ``path``, one folder ``shard=i`` for each shard; all columns are kept but one named shard.
 
-    Rows go straight from their input partition to the shard's folder, without a shuffle.
+    Rows go straight from their input partition to the shard's folder, without a shuffle. Null and empty texts are
+    written as they are, a null key goes where the hash of null leads, and repeated rows are all written. An empty
+    table writes no rows. What stands under ``path`` is replaced.
     """
     placed = docs.withColumn("shard", jump_shard(F.xxhash64(F.col(key)), n_shards))
     placed.write.mode("overwrite").partitionBy("shard").parquet(path)
