@@ -17,27 +17,39 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, trained on the labelled ones here, doesn't reject."""
+    """Documents that the toxicity model, trained on the labelled ones here, doesn't reject.
+
+    A null text is judged as an empty one; without labels nothing is rejected; an empty table stays empty.
+    """
     return toxicity.keep_civil(docs, toxicity.train(docs, _labels(spark, sf_dir)))
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier, trained on the labelled ones here, doesn't reject."""
+    """Documents that the compression classifier, trained on the labelled ones here, doesn't reject.
+
+    A null text is judged as an empty one; without labels nothing is rejected; an empty table stays empty.
+    """
     return quality_model.keep_good(docs, quality_model.train(docs, _labels(spark, sf_dir)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates, the one with the smallest doc_id.
+
+    Null and empty texts, and rows without doc_id, stay; of rows that repeat doc_id and text one stays.
+    """
     return near_duplicates.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's repetition rate says."""
+    """Documents as often as their source's repetition rate says.
+
+    A null source is one of its own; a source without words has no copies; rows that repeat a doc_id share its draw.
+    """
     return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every copy."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every copy; a null text counts as empty."""
     return bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -54,10 +66,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. Each stage's result is written to the shared folder and read again by the next."""
+    """The last stage's rows. Each stage's result is written to the shared folder and read again by the next.
+
+    A stage's files are deleted once the next stage's are complete; those that the last stage reads stay.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = scratch.written(docs, "stage-" + name.replace(" ", "-"))
+            scratch.drop(before)
     return docs
