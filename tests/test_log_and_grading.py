@@ -69,7 +69,7 @@ def test_intake_names_offenders(spark):
 
 def test_alike_titles_against_all_pairs(spark):
     r = random.Random(4)
-    base = ["".join(r.choice("abcdefgh ") for _ in range(r.choice([5, 12, 30, 60]))).strip() for _ in range(40)]
+    base = ["".join(r.choice("abcdefgh ") for _ in range(r.choice([5, 12, 30, 60, 190, 205, 400]))).strip() for _ in range(50)]
     titles = base + [t[: len(t) // 2] + r.choice("xyz") + t[len(t) // 2 :] for t in base] + [t[1:] for t in base if len(t) > 25]
     rows = [(i, t) for i, t in enumerate(titles) if t]
     got = {(x["a"], x["b"]) for x in papers.alike(spark.createDataFrame(rows, "key int, title_norm string")).collect()}

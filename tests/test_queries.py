@@ -8,7 +8,7 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["flagship", "backtest_net", "correct_evidence_profile", "market_quoted_spread", "split_purged_folds", "log_titles"])
+@pytest.mark.parametrize("name", ["flagship", "backtest_net", "correct_evidence_profile", "market_quoted_spread", "split_purged_folds", "log_titles", "factor_ema", "log_select", "log_classified", "log_saved", "log_existing", "log_identifiers", "intake_problems", "intake_shortfalls", "grading_search_fdr", "grading_stage4", "calibration_summary", "calibration_crossing", "orders_whole_shares", "panel_shares_cap", "authority_covering", "sharpe_search_errors"])
 def test_against_duckdb(spark, name):
     import duckdb
 
