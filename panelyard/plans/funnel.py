@@ -80,6 +80,29 @@ def family_statistics(returns: DataFrame, *, search_end: str, holdout_start: str
     return stats, n_variants
 
 
+def split_statistics(returns: DataFrame, *, search_end: str, stage2_start: str, holdout_start: str | None = None, n_boot: int = 0, seed: int = 0, q: float = 0.05, periods: int = 252) -> tuple[DataFrame, int]:
+    """As :func:`family_statistics` in the split design: stage 1 sees the search period before ``stage2_start``, p2 the rest of it.
+
+    The naive stack's columns come from the whole search period in either design. A best variant without returns in
+    the second part has a null p2 and so can't pass stage 2.
+    """
+    cut, end = F.lit(stage2_start).cast("date"), F.lit(search_end).cast("date")
+    early = returns.where(F.col("date") < cut)
+    second = returns.where((F.col("date") >= cut) & (F.col("date") <= end) & F.col("ret").isNotNull())
+    if stage2_start > search_end or early.isEmpty() or second.isEmpty():
+        raise ValueError("stage2_start must leave search dates for both stages")
+    first, n_variants = family_statistics(early, search_end=search_end, n_boot=n_boot, seed=seed, q=q, periods=periods)
+    whole, _ = family_statistics(returns, search_end=search_end, holdout_start=holdout_start, periods=periods)
+    naive = whole.select("family", *[c for c in whole.columns if c.startswith(("naive_", "nv_"))])
+    confirmed = sharpe.sharpe_test(second.join(first.select(F.col("best").alias("candidate")).distinct(), "candidate", "left_semi"), periods=periods)
+    stats = first.drop("p2", "naive_best", "naive_pass").join(confirmed.select(F.col("candidate").alias("best"), F.col("pvalue_greater").alias("p2")), "best", "left").join(naive, "family", "left")
+    if holdout_start is not None:
+        held = returns.where((F.col("date") >= F.lit(holdout_start).cast("date")) & F.col("ret").isNotNull())
+        chosen = first.select(F.col("best").alias("candidate")).where("candidate is not null").distinct()
+        stats = stats.join(holdout_statistics(held, chosen, "ho_", periods).withColumnRenamed("candidate", "best"), "best", "left")
+    return stats, n_variants
+
+
 def holdout_statistics(held: DataFrame, chosen: DataFrame, prefix: str = "ho_", periods: int = 252) -> DataFrame:
     """Held-out tests of the chosen variants only: a semi-join before anything is computed."""
     tests = sharpe.sharpe_test(held.join(chosen, "candidate", "left_semi"), periods=periods).withColumnRenamed("pvalue_greater", "p")

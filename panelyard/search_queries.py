@@ -52,6 +52,12 @@ def register(add: Callable, grid: str) -> None:
         out = funnel.run_funnel(stats, funnel.Thresholds(), n, periods=12)
         return out.select("family", "k", "best", *[rounded(c).alias(c) for c in ("rho", "p1_independent", "p1_rho", "p2")], "naive_pass", "stage1", "stage2", "stage3", "stage4")
 
+    @add()
+    def funnel_split_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+        stats, n = funnel.split_statistics(families(spark, sf_dir), search_end="1999-12-31", stage2_start="1998-01-01", holdout_start="2000-01-01", periods=12)
+        out = funnel.run_funnel(stats, funnel.Thresholds(alpha2=0.5), n, periods=12)
+        return out.select("family", "k", "best", *[rounded(c).alias(c) for c in ("p1_independent", "p1_rho", "p2")], "naive_pass", "stage1", "stage2", "stage4")
+
     @add()
     def funnel_gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         returns, truth = synth.make_family_set(spark, 10, 4, 0.3, 2.0, n_obs=1500, seed=3)

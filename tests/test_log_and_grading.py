@@ -202,3 +202,22 @@ def test_harmonic_sum(spark):
     rows = spark.createDataFrame([(m,) for m in (0, 1, 2, 99, 100, 101, 5000)], "m bigint").select("m", multiple_testing.harmonic(F.col("m")).alias("h")).collect()
     for r in rows:
         assert r["h"] == pytest.approx(sum(1 / i for i in range(1, max(1, r["m"]) + 1)), rel=1e-13)
+
+
+def test_split_design_confirms_on_the_rest(spark):
+    from panelyard.operators import sharpe
+    from panelyard.plans import funnel
+
+    returns, _ = synth.make_family_set(spark, 4, 2, 0.5, 3.0, n_obs=300, seed=5)
+    stats, n = funnel.split_statistics(returns, search_end="1990-10-31", stage2_start="1990-06-01", holdout_start="1990-11-01")
+    early, _ = funnel.family_statistics(returns.where("date < '1990-06-01'"), search_end="1990-10-31")
+    later = sharpe.sharpe_test(returns.where("date >= '1990-06-01' and date <= '1990-10-31'"))
+    p2 = {r["candidate"]: r["pvalue_greater"] for r in later.collect()}
+    first = {r["family"]: r for r in early.collect()}
+    rows = stats.collect()
+    assert n == 8 and len(rows) == 4
+    for r in rows:
+        assert r["best"] == first[r["family"]]["best"] and r["p1_rho"] == pytest.approx(first[r["family"]]["p1_rho"])
+        assert r["p2"] == pytest.approx(p2[r["best"]]) and r["ho_n_obs"] > 0
+    with pytest.raises(ValueError):
+        funnel.split_statistics(returns, search_end="1990-10-31", stage2_start="1989-01-01")
