@@ -263,6 +263,7 @@ def register(add: Callable) -> None:
         e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vec"), F.when(F.col("label") % 2 == 0, "en").otherwise("zh").alias("language"))
         return papers.cosine_links(e.where("key % 20 = 0"), e, threshold=0.2).select("key", "duplicate_of", rounded("sim", 5).alias("sim"))
 
-    @add("SELECT role, count(*) AS turns, sum(CASE WHEN regexp_matches(text, 'AKIA[0-9A-Z]{16}') THEN 1 ELSE 0 END) AS with_keys FROM conversations GROUP BY 1")
+    @add(f"SELECT role, count(*) AS turns, CAST(sum(CASE WHEN {' + '.join(sql_total)} > 0 THEN 1 ELSE 0 END) AS BIGINT) AS with_keys, CAST(sum(length({counted})) AS BIGINT) AS clean_chars FROM conversations GROUP BY 1")
     def log_session_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count("*").alias("turns"), F.sum(F.col("text").rlike("AKIA[0-9A-Z]{16}").cast("int")).alias("with_keys"))
+        said = table(spark, sf_dir, "conversations").select("role", text.redactions(F.col("text")).alias("hidden"), F.length(text.redact(F.col("text"))).alias("n"))
+        return said.groupBy("role").agg(F.count("*").alias("turns"), F.sum((F.col("hidden") > 0).cast("bigint")).alias("with_keys"), F.sum("n").cast("bigint").alias("clean_chars"))
