@@ -17,7 +17,7 @@ SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 #: How often the cascade's sample is read by each rule when its cost is taken.
-REPEATS = 20
+REPEATS = 4
 
 
 @dataclass(frozen=True)
