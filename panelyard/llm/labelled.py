@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,9 +20,11 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column
     """((label, text) pairs, labelled rows by class), of training rows only.
 
     A class gives labelled documents in the order of a hash of their key, whole texts each: at most ``rows_a_class``,
-    and those that bring their sum to at most ``bytes_a_class`` bytes. These two parameters bound what reaches the
-    driver. Labels are joined on narrow columns, and only the chosen keys go back to the texts, as a broadcast of
-    bounded size. Null text counts as empty. Rows that repeat a key all count towards the bounds.
+    which together have at most ``bytes_a_class`` bytes; a text that would pass that sum is passed over and the next
+    ones are still taken. Where no text fits, the class gives its shortest one, so that a class with rows is never empty.
+    These two parameters bound what reaches the driver. Labels are joined on narrow columns, and only the chosen keys
+    go back to the texts, as a broadcast of bounded size. Null text counts as empty. Rows that repeat a key all count
+    towards the bounds.
     """
     known = labels.where(F.col(label).isin(0, 1) & train).select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y"))
     present = known.join(docs.select(F.col(key).alias("_k")).where(F.col("_k").isNotNull()), "_k", "left_semi")
@@ -35,15 +39,19 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column
     for y in (0, 1):
         mine = drawn.where(F.col("_y") == y)
         reach = mine.select("_h", "_g", "_n").orderBy("_h", "_g").limit(rows_a_class).collect()
-        total, last = 0, None
+        taken: Counter[tuple[int, int]] = Counter()
+        total = 0
         for r in reach:
-            total += r["_n"]
-            if total > bytes_a_class:
-                break
-            last = (r["_h"], r["_g"])
-        if last is not None:
-            upto = (F.col("_h") < last[0]) | ((F.col("_h") == last[0]) & (F.col("_g") <= last[1]))
-            out += [(r["_h"], r["_g"], y, r["_t"]) for r in mine.where(upto).orderBy("_h", "_g").limit(rows_a_class).collect()]
+            if total + r["_n"] <= bytes_a_class:
+                total += r["_n"]
+                taken[r["_h"], r["_g"]] += 1
+        if reach and not taken:
+            shortest = min(reach, key=lambda r: r["_n"])
+            taken[shortest["_h"], shortest["_g"]] = 1
+        if taken:
+            names = mine.sparkSession.createDataFrame(list(taken), "_h bigint, _g bigint")
+            texts = mine.join(F.broadcast(names), ["_h", "_g"]).groupBy("_h", "_g").agg(F.first("_t").alias("_t")).collect()
+            out += [(r["_h"], r["_g"], y, r["_t"]) for r in texts for _ in range(taken[r["_h"], r["_g"]])]
     scratch.drop(drawn)
     return [(y, t) for _, _, y, t in sorted(out)], sizes
 

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from panelyard.llm import scratch
 from panelyard.llm.buffers import utf8
 from panelyard.llm.components import connected
+from panelyard.llm.mixing import WORD
 from panelyard.llm.shingles import set_hash, shingle_sets, signatures
 
 COORDINATES, MATCHES, WIDTH, PERCENT = 48, 20, 5, 75
@@ -309,18 +310,21 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Dat
     """``docs`` with one document of each component, the one with the smallest key; all columns are kept.
 
     Rows are told apart by key and text together, so rows that repeat a key with another text are judged on
-    their own; of rows that repeat both, one stays. What goes is a small part of the table and is sent to all
-    executors while it has at most ``BROADCAST_ROWS`` rows; beyond, the texts are joined by shuffle. Null and empty
-    texts and rows without key stay. An empty table gives an empty result. Columns of any name are kept as they are.
+    their own; of rows that repeat both, one stays. Rows without key and texts without words take no part: they are
+    linked with nothing and all stay, repeated or not. What goes is a small part of the table and is sent to all
+    executors while it has at most ``BROADCAST_ROWS`` rows; beyond, the texts are joined by shuffle. An empty
+    table gives an empty result. Columns of any name are kept as they are.
     """
-    tagged = docs.select(F.struct(F.col(key).alias("k"), F.xxhash64(text).alias("t")).alias("_key"), F.col(text).alias("_text"))
-    judged = scratch.written(near_duplicates(tagged, key="_key", text="_text").select("_key", "kept"), "judged")
+    named = F.when(F.col(key).isNotNull(), F.struct(F.col(key).alias("k"), F.xxhash64(text).alias("t")))
+    tagged = docs.select(named.alias("_key"), F.col(text).alias("_text"))
+    judged = scratch.written(near_duplicates(tagged, key="_key", text="_text").where("_key is not null and n_shingles > 0").select("_key", "kept"), "judged")
     gone_key, gone_text = scratch.free(docs, "_gone_key", "_gone_text")
-    gone = judged.where("not kept").select(F.col("_key.k").alias(gone_key), F.col("_key.t").alias(gone_text))
+    gone = judged.where("not kept").select(F.col("_key.k").alias(gone_key), F.col("_key.t").alias(gone_text)).distinct()
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    left = docs.join(gone, F.col(key).eqNullSafe(F.col(gone_key)) & (F.xxhash64(text) == F.col(gone_text)), "left_anti")
+    left = docs.join(gone, (F.col(key) == F.col(gone_key)) & (F.xxhash64(text) == F.col(gone_text)), "left_anti")
     stays = judged.where("kept")
     if stays.select("_key").distinct().count() < stays.count():
-        left = left.dropDuplicates([key, text])
+        takes_part = F.col(key).isNotNull() & F.coalesce(F.col(text).rlike(WORD), F.lit(False))
+        left = left.where(takes_part).dropDuplicates([key, text]).unionAll(left.where(~takes_part))
     return left

@@ -11,7 +11,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from tests.llm.fixtures import frame, odd, ordinary
+from tests.llm.fixtures import frame, odd, ordinary, prose
 from tokenizers import Tokenizer
 
 from panelyard.llm import bpe, mixing, near_duplicates, quality_rules, sharding, shingles, sketches, token_files, url_filter
@@ -382,6 +382,19 @@ def test_families_of_near_copies_in_blocks(spark):
     assert len({r["component_id"] for r in got}) > 3
 
 
+def test_keep_one_keeps_what_near_duplicates_keeps(spark):
+    """Rows without key take no part, though they are near copies of keyed ones; of a row that repeats key and text one stays."""
+    r = random.Random(4)
+    base = prose(r, 60)
+    texts = odd() + [(None, base, "s"), (None, base + " more", "s"), (50, base + " other", "s"), (51, base, "s"), (51, None, "s"), (51, None, "s"), (52, " ", "s"), (52, " ", "s"), (53, prose(r, 30), "s"), (53, prose(r, 31), "s")]
+    expected: Counter = Counter()
+    for (d, t, _), (_, n, _, kept) in zip(texts, components(texts), strict=True):
+        if kept:
+            expected[d, t] = expected[d, t] + 1 if d is None or not n else 1
+    assert Counter((x["doc_id"], x["text"]) for x in near_duplicates.keep_one(frame(spark, texts)).collect()) == expected
+    assert expected[50, base + " other"] == 1 and expected[51, None] == 2 and expected[None, base] == 1
+
+
 def test_block_links_equal_plain_sets():
     r = np.random.default_rng(7)
     sets = [np.unique(r.choice(np.arange(60), r.integers(30, 60))).astype(np.int64) for _ in range(80)]

@@ -112,6 +112,20 @@ def test_training_reads_whole_texts_within_its_bounds(spark):
     assert all(sum(len(t) for y, t in some if y == c) <= 550 for c in (0, 1)) and len(some) >= 8
 
 
+def test_a_long_labelled_text_empties_no_class(spark):
+    """Texts that pass the bound are passed over, whatever their place in the order; a class of such texts gives its shortest."""
+    from panelyard.llm.labelled import bounded_sample
+
+    for long in range(8):
+        docs = frame(spark, [(i, "y" * (1200 if i // 2 == long else 90) + str(i), "s") for i in range(16)])
+        labels = spark.createDataFrame([(i, i % 2, 0) for i in range(16)], "doc_id bigint, quality int, toxic int")
+        got = bounded_sample(docs, labels, "quality", F.lit(True), rows_a_class=50, bytes_a_class=1000)[0]
+        assert sorted((y, len(t) > 1000) for y, t in got) == [(0, False)] * 7 + [(1, False)] * 7
+    docs = frame(spark, [(i, "z" * (2000 + i), "s") for i in range(6)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(6)], "doc_id bigint, quality int, toxic int")
+    assert sorted((y, len(t)) for y, t in bounded_sample(docs, labels, "quality", F.lit(True), rows_a_class=50, bytes_a_class=1000)[0]) == [(0, 2000), (1, 2001)]
+
+
 @pytest.mark.parametrize("model", [quality_model, toxicity])
 def test_odd_and_empty_tables(spark, model):
     labels = spark.createDataFrame([(4, 1, 0), (7, 0, 1), (7, 1, 1), (8, None, None), (99, 1, 1)], "doc_id bigint, quality int, toxic int")
