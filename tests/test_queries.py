@@ -1,27 +1,45 @@
 from __future__ import annotations
 
+import datetime
 import os
+from decimal import Decimal
 
 import pytest
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["flagship", "backtest_net", "correct_evidence_profile", "market_quoted_spread", "split_purged_folds", "log_titles", "factor_ema", "log_select", "log_classified", "log_saved", "log_existing", "log_identifiers", "intake_problems", "intake_shortfalls", "grading_search_fdr", "grading_stage4", "calibration_summary", "calibration_crossing", "orders_whole_shares", "panel_shares_cap", "authority_covering", "sharpe_search_errors"])
-def test_against_duckdb(spark, name):
-    import duckdb
+def plain(rows):
+    """Rows as sorted texts: a number by its value, whatever its type, and a date or time by its day."""
+    text = lambda v: "~" if v is None else str(v) if isinstance(v, bool) else f"{float(v) + 0.0:.7g}" if isinstance(v, (int, float, Decimal)) else str(v)[:10] if isinstance(v, datetime.date) else str(v)
+    return sorted(tuple(text(v) for v in r) for r in rows)
+
+
+def names():
+    from panelyard import queries
+
+    return sorted(queries.oracle_sql())
 
-    import __spark_entry__ as entry
+
+@pytest.fixture(scope="module")
+def duck():
+    import duckdb
 
     con = duckdb.connect()
     for table in os.listdir(SF):
         con.sql(f"create view {table.removesuffix('.parquet')} as select * from '{SF}/{table}'")
-    got = entry.queries()[name](spark, SF)
-    expected = con.sql(entry.oracle_sql()[name])
+    return con
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", names())
+def test_against_duckdb(spark, duck, name):
+    from panelyard import queries
+
+    got = queries.queries()[name](spark, SF)
+    expected = duck.sql(queries.oracle_sql()[name])
     assert sorted(got.columns) == sorted(expected.columns)
     columns = sorted(got.columns)
-    plain = lambda rows: sorted(tuple("~" if v is None else f"{v:.8g}" if isinstance(v, float) else str(v)[:10] for v in r) for r in rows)
     assert plain(tuple(r[c] for c in columns) for r in got.collect()) == plain(expected.select(*[f'"{c}"' for c in columns]).fetchall())
 
 
