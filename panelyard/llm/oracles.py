@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from panelyard.llm.mixing import SEEDS
 from panelyard.llm.quality_rules import BASE_FAILED
+from panelyard.llm.resampling import BUCKETS, LEAST_WORDS, PERCENT, SEED
 from panelyard.llm.url_filter import BLOCKED, LOWER, RULES, UPPER
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
@@ -77,5 +78,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged"""
 
 
+def resampling() -> str:
+    """The CRC-32 of a word is a fold over its bytes, eight steps each, made once for each distinct word."""
+    words = lambda table: f"SELECT *, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM {table}"
+    return f"""
+WITH d AS ({words("documents")}), b AS ({words("benchmark")}),
+dw AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word FROM d) GROUP BY 1, 2),
+bw AS (SELECT unnest(w) AS word FROM b),
+bytes AS (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM dw UNION SELECT word FROM bw)),
+hashed AS (SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(len(h) // 2), lambda i: ('0x' || h[2 * i + 1 : 2 * i + 2])::BIGINT)),
+  lambda c, x: list_reduce(list_prepend(xor(c, x), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: xor(y >> 1, (y & 1) * 3988292384))), 4294967295) % {BUCKETS} AS bucket FROM bytes),
+s AS (SELECT bucket, sum(n) AS s FROM dw JOIN hashed USING (word) GROUP BY 1), t AS (SELECT bucket, count(*) AS t FROM bw JOIN hashed USING (word) GROUP BY 1),
+sums AS (SELECT (SELECT coalesce(sum(s), 0) FROM s)::DOUBLE AS ss, (SELECT coalesce(sum(t), 0) FROM t)::DOUBLE AS tt),
+gains AS (SELECT word, floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * (ss + {BUCKETS}) / ((coalesce(s, 0) + 1.0::DOUBLE) * (tt + {BUCKETS}))))::BIGINT AS gain FROM hashed LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket), sums),
+sized AS (SELECT doc_id, sum(n * gain) AS weight FROM dw JOIN gains USING (word) GROUP BY 1),
+scored AS (SELECT d.doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+  (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{SEED}:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score FROM d LEFT JOIN sized USING (doc_id)),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_features >= {LEAST_WORDS})
+SELECT s.doc_id, n_features, weight, score, CASE WHEN r <= n * {PERCENT} // 100 THEN r END AS rank FROM scored s LEFT JOIN ranked USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": mix_sources(), "op3_url_filter": url_filter(), "op4_near_duplicates": near_duplicates(), "op8_quality_rules": quality_rules()}
+    return {"op2_mix_sources": mix_sources(), "op3_url_filter": url_filter(), "op4_near_duplicates": near_duplicates(), "op8_quality_rules": quality_rules(), "op12_importance_resampling": resampling()}
