@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelyard.llm import bpe, conversations, mixing, near_duplicates, oracles, quality_model, quality_rules, resampling, sharding, sketches, token_files, toxicity, url_filter
+from panelyard.llm import bpe, conversations, html_model, mixing, near_duplicates, oracles, quality_model, quality_rules, resampling, sharding, sketches, token_files, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,8 +70,13 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return html_model.extract(pages, html_model.train(pages))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_model, op2_mix_sources, op3_url_filter, op4_near_duplicates, op5_fingerprints, op6_bpe_transducer, op7_toxicity, op8_quality_rules, op9_jump_shards, op10_token_files, op11_conversation_repair, op12_importance_resampling)}
+    return {f.__name__: f for f in (op1_quality_model, op2_mix_sources, op3_url_filter, op4_near_duplicates, op5_fingerprints, op6_bpe_transducer, op7_toxicity, op8_quality_rules, op9_jump_shards, op10_token_files, op11_conversation_repair, op12_importance_resampling, op13_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
