@@ -87,7 +87,7 @@ class Vectors:
         offsets = np.concatenate([[0], np.cumsum(size)])
         lots = word_lots(data, offsets)
         counts = lots.sum(1)
-        out[:, PATH + LEAF : PATH + LEAF + WORDS] = lots / np.maximum(1, np.sqrt(counts))[:, None]
+        out[:, PATH + LEAF : PATH + LEAF + WORDS] = lots / np.maximum(1, np.sqrt((lots * lots).sum(1)))[:, None]
         chars = np.array([len(b.text) for b in flat])
         ends = np.array([t[-1] in b".!?:" for t in texts])
         sums = lambda mask: np.add.reduceat(mask.astype(np.int32), offsets[:-1])
@@ -253,7 +253,9 @@ class Layouts:
 
     def said(self, low: int, high: int) -> str:
         words = self.r.choices(self.words, k=self.r.randint(low, high))
-        return " ".join(words).capitalize() + self.r.choice([".", ".", "", "!", "?"])
+        kind = self.r.random()
+        words = words[:1] * len(words) if kind < 0.03 else words
+        return (" | " if 0.03 < kind < 0.06 else " ").join(words).capitalize() + self.r.choice([".", ".", "", "!", "?"])
 
     def other_text(self, kind: str, low: int = 1, high: int = 9) -> str:
         return MARK + (self.r.choice(PHRASES[kind]) if self.r.random() < 0.4 else self.said(low, high))
@@ -290,8 +292,11 @@ class Layouts:
     def paragraph(self) -> str:
         """A block of main text, in one of its many forms."""
         r = self.r
-        text = self.said(1, r.choice([4, 12, 40, 90, 150]))
+        text = self.said(1, r.choice([4, 12, 40, 90, 150, 150, 900]))
         kind = r.random()
+        if kind < 0.08:
+            line = self.said(1, 3)
+            return "".join(f"<p>{r.choice([line, line, self.said(1, 3)])}</p>" for _ in range(r.randint(2, 14))) + f"<p>{self.said(1, 1)}</p>"
         if kind < 0.62:
             return f"<p>{text}</p>" if r.random() < 0.8 else f"<p>{text}"
         if kind < 0.72:
@@ -324,7 +329,7 @@ class Layouts:
             begin = end = ""
         title = f"<h1>{self.said(1, 14)}</h1>"
         body = [r.choice([title, title, f"<header>{title}</header>" if style < 0.6 else title, ""])]
-        for _ in range(r.choice([1, 2, 4, 8, 14])):
+        for _ in range(r.choice([1, 2, 4, 8, 14, 25])):
             body.append(self.paragraph())
             if begin and r.random() < 0.06:
                 body.append(self.other(r.choice(["ad", "share", "notice", "aside", "form"])))
