@@ -118,13 +118,13 @@ def estimate_pi0(pvalues: DataFrame, lam: float | None = 0.5, *, p: str = "p", n
 
 
 def pfdr_grid(pvalues: DataFrame, *, gamma: float = 0.05, p: str = "p") -> DataFrame:
-    """(lambda, pi0, pfdr) for each lambda of the grid: the estimated positive false discovery rate of rejecting p up to gamma, at most 1.
+    """(lam, pi0, pfdr) for each lambda of the grid: the estimated positive false discovery rate of rejecting p up to gamma, at most 1.
 
     One aggregate over the table; a family without p-values has nulls.
     """
     counts = pvalues.agg(F.count(p).alias("m"), F.count_if(F.col(p) <= gamma).alias("r"), *[_share_above(p, lam).alias(f"s{i}") for i, lam in enumerate(GRID)])
     rate = lambda i: F.least(F.lit(1.0), F.col(f"s{i}") * gamma / (F.greatest("r", F.lit(1)) / F.col("m") * (1 - F.pow(F.lit(1 - gamma), F.col("m")))))
-    rows = F.array(*[F.struct(F.lit(lam).alias("lambda"), F.least(F.lit(1.0), F.col(f"s{i}")).alias("pi0"), F.when(F.col("m") > 0, rate(i)).alias("pfdr")) for i, lam in enumerate(GRID)])
+    rows = F.array(*[F.struct(F.lit(lam).alias("lam"), F.least(F.lit(1.0), F.col(f"s{i}")).alias("pi0"), F.when(F.col("m") > 0, rate(i)).alias("pfdr")) for i, lam in enumerate(GRID)])
     return counts.select(F.explode(rows).alias("g")).select("g.*")
 
 

@@ -70,7 +70,7 @@ def register(add: Callable, grid: str) -> None:
         stats.replace("f AS (", "f0 AS (")
         + f""", f AS (SELECT * FROM f0), h AS (SELECT sharpe, avg(CASE WHEN p2 <= {THRESHOLDS.alpha2} THEN 1.0 ELSE 0.0 END) AS share FROM f GROUP BY 1),
   m AS (SELECT sharpe, max(share) OVER (ORDER BY sharpe) AS y FROM h), l AS (SELECT *, lag(sharpe) OVER (ORDER BY sharpe) AS x0, lag(y) OVER (ORDER BY sharpe) AS y0 FROM m)
-  SELECT round(min(CASE WHEN x0 IS NULL THEN sharpe ELSE x0 + (0.5 - y0) * (sharpe - x0) / (y - y0) END), 6) + 0.0 AS at FROM l WHERE y >= 0.5"""
+  SELECT round(arg_min(CASE WHEN x0 IS NULL THEN sharpe ELSE x0 + (0.5 - y0) * (sharpe - x0) / (y - y0) END, sharpe), 6) + 0.0 AS at FROM l WHERE y >= 0.5"""
     )
     def planting_detectable(spark: SparkSession, sf_dir: str) -> DataFrame:
         """The least ratio at which half the families pass stage 2 when planted."""

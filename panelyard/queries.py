@@ -262,11 +262,11 @@ def correct_pi0(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register(
     "WITH "
     + PVALUES
-    + """, g AS (SELECT i / 20.0::DOUBLE AS lambda FROM range(20) t(i)), c AS (SELECT lambda, count(p) AS m, count(*) FILTER (p <= 0.05) AS r, CASE WHEN lambda = 0 THEN 1 ELSE count(*) FILTER (p > round(lambda, 2)) / ((1 - lambda) * count(p)) END AS s FROM g, pv GROUP BY 1)
-  SELECT round(lambda, 2) AS lambda, round(least(1.0, s), 6) + 0.0 AS pi0, round(least(1.0, s * 0.05 / (greatest(r, 1) / m * (1 - pow(0.95, m)))), 6) + 0.0 AS pfdr FROM c"""
+    + """, g AS (SELECT i / 20.0::DOUBLE AS lam FROM range(20) t(i)), c AS (SELECT lam, count(p) AS m, count(*) FILTER (p <= 0.05) AS r, CASE WHEN lam = 0 THEN 1 ELSE count(*) FILTER (p > round(lam, 2)) / ((1 - lam) * count(p)) END AS s FROM g, pv GROUP BY 1)
+  SELECT round(lam, 2) AS lam, round(least(1.0, s), 6) + 0.0 AS pi0, round(least(1.0, s * 0.05 / (greatest(r, 1) / m * (1 - pow(0.95, m)))), 6) + 0.0 AS pfdr FROM c"""
 )
 def correct_pfdr_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mt.pfdr_grid(_pvalues(spark, sf_dir)).select("lambda", *_r("pi0", "pfdr"))
+    return mt.pfdr_grid(_pvalues(spark, sf_dir)).select("lam", *_r("pi0", "pfdr"))
 
 
 @_register()
@@ -274,7 +274,7 @@ def correct_bootstrap_pi0(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of true nulls at the bootstrap's lambda, and Storey's values with it."""
     rows = _pvalues(spark, sf_dir)
     lam = mt.bootstrap_lambda(rows)
-    return mt.storey_qvalues(rows, lam).crossJoin(F.broadcast(mt.estimate_pi0(rows, lam))).select("candidate", F.lit(lam).alias("lambda"), "m", *_r("pi0", "p", "q"))
+    return mt.storey_qvalues(rows, lam).crossJoin(F.broadcast(mt.estimate_pi0(rows, lam))).select("candidate", F.lit(lam).alias("lam"), "m", *_r("pi0", "p", "q"))
 
 
 _DECIDED = "WITH " + PVALUES + ", d AS (SELECT coalesce(p <= 0.05, false) AS rejected, candidate % 10 = 0 AS truth FROM pv)"

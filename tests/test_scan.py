@@ -117,7 +117,7 @@ def test_bootstrap_lambda(spark):
         pi0 = 1.0 if lam == 0 else (x > lam).sum() / ((1 - lam) * len(x))
         return min(1.0, pi0 * 0.05 / (max((x <= 0.05).sum(), 1) / len(x) * (1 - 0.95 ** len(x))))
 
-    grid = {row["lambda"]: row["pfdr"] for row in mt.pfdr_grid(df).collect()}
+    grid = {row["lam"]: row["pfdr"] for row in mt.pfdr_grid(df).collect()}
     assert grid == {lam: pytest.approx(rate(ps, lam)) for lam in mt.GRID}
     target = min(rate(ps, lam) for lam in mt.GRID)
     draws = [ps[r.integers(0, len(ps), len(ps))] for _ in range(400)]
