@@ -8,12 +8,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelyard.functions import grammar
+from panelyard.operators import originality, scan
 
 TABLES = {
     "papers": "key string, title string, url string, citation string, source string",
@@ -57,7 +60,7 @@ class Store:
         """(id, whether it was new); the proposal is kept in either case."""
         e = grammar.parse(expression)
         ident = grammar.factor_id(e)
-        order = self.table("factors").count()
+        order = time.time_ns()
         fresh = self.append("factors", [{"id": ident, "expression": str(e), "structural_key": grammar.structural_key(e), "nodes": e.nodes, "parameters": e.parameters, "fields": sorted(e.fields), "created_at": order}], once="id")
         self._propose(ident, hypothesis_id, expression, "accepted" if fresh else "duplicate", "", parent, edge, rationale, zoo)
         return ident, bool(fresh)
@@ -66,8 +69,8 @@ class Store:
         self._propose(None, hypothesis_id, expression, "rejected", reason, parent, edge, rationale, zoo)
 
     def _propose(self, factor_id, hypothesis_id, expression, status, reason, parent, edge, rationale, zoo) -> None:
-        n = self.table("proposals").count()
-        self.append("proposals", [{"id": f"{n:012d}", "factor_id": factor_id, "hypothesis_id": hypothesis_id, "parent_factor_id": parent, "edge_type": edge, "expression": expression, "status": status, "reason": reason, "rationale": rationale, "zoo_similarity": zoo[0], "nearest": zoo[1]}])
+        ident = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+        self.append("proposals", [{"id": ident, "factor_id": factor_id, "hypothesis_id": hypothesis_id, "parent_factor_id": parent, "edge_type": edge, "expression": expression, "status": status, "reason": reason, "rationale": rationale, "zoo_similarity": zoo[0], "nearest": zoo[1]}])
 
     def lineage(self, factor_id: str) -> DataFrame:
         """Where a factor came from: its proposals with their hypotheses and papers, in order."""
@@ -75,12 +78,28 @@ class Store:
         h = self.table("hypotheses").select(F.col("id").alias("hypothesis_id"), "paper_key", "kind", "statement")
         return p.join(h, "hypothesis_id").join(self.table("papers").withColumnRenamed("key", "paper_key"), "paper_key").orderBy("proposal_id")
 
+    def formulas(self) -> DataFrame:
+        """The stored factors as parsed formulas with their ids as owners, in the order in which they came."""
+        rows = self.table("factors").select(F.col("created_at").alias("pos"), "expression", F.col("id").alias("owner"))
+        return originality.parsed(rows).join(rows.select("pos", "owner"), "pos")
+
     def nearest(self, expression: str) -> DataFrame:
         """(id, nodes): the stored factors by the largest subtree shape they share with an expression, most first."""
         mine = self.spark.createDataFrame(list(grammar.shapes(grammar.parse(expression)).items()), "shape string, nodes int")
-        stored = self.table("factors").select("id", "expression")
-        shapes = F.udf(lambda t: list(grammar.shapes(grammar.parse(t))), "array<string>")
-        return stored.select("id", F.explode(shapes("expression")).alias("shape")).join(F.broadcast(mine), "shape").groupBy("id").agg(F.max("nodes").alias("nodes")).orderBy(F.desc("nodes"), "id")
+        met = originality.subtree_index(self.formulas()).join(F.broadcast(mine), "shape")
+        return met.groupBy(F.col("owner").alias("id")).agg(F.max("nodes").alias("nodes")).orderBy(F.desc("nodes"), "id")
+
+    def propose(self, expressions: Sequence[str], hypothesis_id: str, *, limits: originality.Limits | None = None, zoo: list[tuple[str, str]] | None = None) -> DataFrame:
+        """Judge formulas against the zoo and the store and keep every outcome: new factors, and a proposal for each."""
+        rows = self.spark.createDataFrame(list(enumerate(expressions)), "pos bigint, expression string")
+        judged = scan.kept(originality.judge(rows, originality.zoo_index(self.spark, zoo), self.formulas(), limits))
+        for r in judged.orderBy("pos").collect():
+            near = (r["zoo_nodes"] or 0, r["nearest_zoo"])
+            if r["status"] in ("stored", "duplicate"):
+                self.add_factor(r["expression"], hypothesis_id, zoo=near)
+            else:
+                self.reject(hypothesis_id, r["expression"], r["reason"], zoo=near)
+        return judged
 
     def stats(self) -> DataFrame:
         """(what, group, n): proposals by status and hypotheses by kind."""
