@@ -78,7 +78,7 @@ def test_long_pieces_are_decoded_to_their_end(corpus):
     assert plain("m0r0n" + "." * 70 + "m0r0n").count("moron") == 2
 
 
-DISGUISES = ["id1o7", "idi0+", "1d10t!", "$cum", "i  d  i  o  t", "i\td\ti\to\tt", "i d i o t.", "(i d i o t)", "y o u i d i o t", "y o u  i d i o t", "1 d 1 0 t", "clo wn", "clo wn.", "m.o-r_o*n", "https://example.org/" + "ba/bu/" * 40 + "1d10t"]
+DISGUISES = ["iidiot", "iiddiioott", "mmoron", "i/d/i/o/t", "i,d,i,o,t", "i:d|i~o/t", "i\u200bd\u200bi\u200bo\u200bt", "id i ot", "i di ot", "mor on", "m or on", "sc. um", "id1o7", "idi0+", "1d10t!", "$cum", "i  d  i  o  t", "i\td\ti\to\tt", "i d i o t.", "(i d i o t)", "y o u i d i o t", "y o u  i d i o t", "1 d 1 0 t", "clo wn", "clo wn.", "m.o-r_o*n", "https://example.org/" + "ba/bu/" * 40 + "1d10t"]
 
 
 def test_disguises_are_scored_like_what_they_hide(corpus):
@@ -98,6 +98,47 @@ def test_disguises_are_scored_like_what_they_hide(corpus):
     assert model.measure("") == (0.0, 0.0, 0.0, 0.0)
 
 
+def test_the_lattice_finds_the_cheapest_of_all_paths(corpus):
+    """Every combination of arcs, written out and costed by itself, against the back-pointers."""
+    from itertools import product
+
+    model = toxicity.ToxicityModel([(t, text) for (_, text, _), (_, _, t) in zip(*corpus, strict=True)], {0: 400, 1: 200})
+    lattice, edge = model.restorer, toxicity.EDGE
+
+    def cost(letters):
+        """Words between other signs, each from edge to edge."""
+        total, history = 0.0, edge + edge
+        for c in letters + " ":
+            if c.isalpha():
+                total += lattice.model.cost(history, c)
+                history = history[1] + (c if c in lattice.model.one else toxicity.OTHER)
+            elif history != edge + edge:
+                total, history = total + lattice.model.cost(history, edge), edge + edge
+        return total
+
+    r = random.Random(8)
+    for word in ["id1ot", "m00ron", "i.d.i-o.t", "t r as h", "cl  own", "$cuum", "aabb", "x1y2", "a|b", *("".join(r.choices("adimoprst01.$ ", k=6)).strip() for _ in range(150))]:
+        if not word:
+            continue
+        narrow = min(map(len, toxicity.SPACE.findall(word)), default=0)
+        runs = []
+        for run in lattice.RUN.finditer(word):
+            keep, drop = toxicity.WIDE if len(run[0]) > narrow else toxicity.NARROW
+            runs.append([(" ", keep), ("", drop)] if run[0].isspace() else lattice.arcs(run[1], len(run[0])))
+        every = [(sum(c for _, c in path) + cost("".join(o for o, _ in path)), "".join(o for o, _ in path)) for path in product(*runs)]
+        best = min(c for c, _ in every)
+        assert lattice.restore(word) in {o for c, o in every if c <= best + 1e-9}, word
+
+
+def test_words_that_may_gain_nothing_skip_the_lattice_alone(corpus):
+    """The weight of a word is that of all it says, whether the lattice is asked or not."""
+    model = toxicity.ToxicityModel([(t, text) for (_, text, _), (_, _, t) in zip(*corpus, strict=True)], {0: 400, 1: 200})
+    r = random.Random(9)
+    made = ["".join(c * r.choice([1, 1, 1, 2, 3]) for c in w) for w in [*INSULTS] * 20 + [word(r) for _ in range(300)]]
+    for w in made + ["ab" * 3000 + "cc", "aabbccddeeffgghh" * 50]:
+        assert model.weight(w) == max(map(model.word_weight, model.words(w)), default=0.0), w
+
+
 def test_training_reads_whole_texts_within_its_bounds(spark):
     docs = frame(spark, [(i, "x" * 100 + f" end{i}", "s") for i in range(40)] + [(3, None, "s")])
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id bigint, quality int, toxic int")
