@@ -67,35 +67,53 @@ def test_intake_names_offenders(spark):
         intake.check_holdout(good, ["a", "b", "q"], start="2020-01-01")
 
 
+def numberings(spark, titles):
+    df = spark.createDataFrame([(t,) for t in set(titles)], "t string")
+    return {r["t"]: tuple(r["n"]) for r in df.select("t", text.numbering(F.col("t")).alias("n")).collect()}
+
+
 def test_alike_titles_against_all_pairs(spark):
+    """Equal titles stand as one, and their copies are told apart from titles alike."""
     r = random.Random(4)
     base = ["".join(r.choice("abcdefgh ") for _ in range(r.choice([5, 12, 30, 60, 190, 205, 400]))).strip() for _ in range(50)]
-    titles = base + [t[: len(t) // 2] + r.choice("xyz") + t[len(t) // 2 :] for t in base] + [t[1:] for t in base if len(t) > 25]
+    titles = base + [t[: len(t) // 2] + r.choice("xyz") + t[len(t) // 2 :] for t in base] + [t[1:] for t in base if len(t) > 25] + base[:7]
     rows = [(i, t) for i, t in enumerate(titles) if t]
-    got = {(x["a"], x["b"]) for x in papers.alike(spark.createDataFrame(rows, "key int, title_norm string")).collect()}
-    assert got == {(i, j) for i, t in rows for j, u in rows if i < j and text.numbers(t) == text.numbers(u) and text.indel_ratio(t, u) >= 95}
-
-
-def plain_dedupe(rows):
-    records, alias, out = [], {}, {}
-    for key, title, a, d in rows:
-        ids = [f"t:{title}"] + ([f"a:{a}"] if a else []) + ([f"d:{d}"] if d else [])
-        clash = lambda x, a=a, d=d: bool(a and x["a"] and a != x["a"]) or bool(d and x["d"] and d != x["d"])
-        hit = next((alias[i] for i in ids if i in alias and not clash(records[alias[i]])), None)
-        if hit is None:
-            pool = [(text.indel_ratio(title, x["t"]), -n) for n, x in enumerate(records) if not clash(x) and text.numbers(title) == text.numbers(x["t"])]
-            best = max(pool, default=(0, 0))
-            hit = -best[1] if pool and best[0] >= 95 else None
-        if hit is None:
-            records.append({"k": key, "t": title, "a": a, "d": d})
-            hit = len(records) - 1
-        else:
-            x = records[hit]
-            x["a"], x["d"] = x["a"] or a, x["d"] or d
-            ids = [f"t:{x['t']}"] + ([f"a:{x['a']}"] if x["a"] else []) + ([f"d:{x['d']}"] if x["d"] else [])
-        for i in ids:
-            alias.setdefault(i, hit)
-        out[key] = records[hit]["k"]
+    df = spark.createDataFrame(rows, "key int, title_norm string")
+    got, n = {(x["a"], x["b"]) for x in papers.alike(df).collect()}, numberings(spark, titles)
+    first = {t: i for i, t in reversed(rows)}
+    heads = sorted(first.values())
+    assert got == {(i, j) for i in heads for j in heads if i < j and n[titles[i]] == n[titles[j]] and text.indel_ratio(titles[i], titles[j]) >= 95}
+    assert {(x["a"], x["b"]) for x in papers.copies(df).collect()} == {(first[t], i) for i, t in rows if first[t] != i}
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(200, 201), (201, 200), (300, 300)]
+    r = random.Random(2)
+    r.shuffle(edges)
+    got = {x["key"]: x["component"] for x in papers.components(spark.createDataFrame([(b, a) if r.random() < 0.5 else (a, b) for a, b in edges], "a int, b int")).collect()}
+    assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 130)} | {200: 200, 201: 200}
+    assert papers.components(spark.createDataFrame([], "a int, b int")).count() == 0
+
+
+def plain_dedupe(rows, n):
+    """Every paper against all that was ever registered, in order."""
+    records, seen, out = [], [], {}
+    for key, *mine in rows:
+        open_to = [i for i, r in enumerate(records) if not any(x and y and x != y for x, y in zip(mine[1:], r[2:], strict=True))]
+        chosen = None
+        for kind, value in enumerate(mine):
+            holders = [i for k, v, i in seen if value and (k, v) == (kind, value)]
+            if chosen is None and holders and holders[0] in open_to:
+                chosen = holders[0]
+        if chosen is None:
+            like = [(-text.indel_ratio(mine[0], records[i][1]), i) for i in open_to if n[mine[0]] == n[records[i][1]]]
+            chosen = next((i for ratio, i in sorted(like) if ratio <= -95), None)
+        if chosen is None:
+            chosen = len(records)
+            records.append([key, *mine])
+        records[chosen][2:] = [has or new for has, new in zip(records[chosen][2:], mine[1:], strict=True)]
+        seen += [(kind, value, chosen) for kind, value in enumerate(records[chosen][1:]) if value]
+        out[key] = records[chosen][0]
     return out
 
 
@@ -105,7 +123,7 @@ def test_batch_duplicates_against_plain_code(spark):
     rows = [(i, r.choice(names) + r.choice(["", "", " again and again"]), r.choice([None, None, "1", "2", "3"]), r.choice([None, None, "10.1/x", "10.1/y"])) for i in range(60)]
     df = spark.createDataFrame([(*x, x[0]) for x in rows] + [(99, "", None, None, 99)], "key int, title_norm string, arxiv_id string, doi string, ord int")
     got = {x["key"]: x["canonical"] for x in paper_log.dedupe_batch(df.repartition(3)).collect()}
-    assert got == plain_dedupe(rows)
+    assert got == plain_dedupe(rows, numberings(spark, [x[1] for x in rows]))
 
 
 def test_stored_batches_merge_into_what_is_known(spark):
