@@ -90,12 +90,22 @@ def footers_before(paths: Sequence[str], column: str, before: date) -> None:
                 raise PermissionError(f"{path}: {column} reaches {last}")
 
 
-def factor_table(text: DataFrame, names: Sequence[str], *, value: str = "value") -> DataFrame:
-    """A published factor table from (value) whole texts: its first block of dated rows, percent to decimals.
+def factor_names(text: DataFrame, *, value: str = "value") -> list[str]:
+    """The column names of a published factor table: the first line that begins with a comma, which is all the driver gets."""
+    lines = text.select(F.posexplode(F.split(value, r"\r?\n")).alias("at", "line")).where(F.col("line").startswith(","))
+    first = lines.orderBy("at").select("line").first()
+    if first is None:
+        raise ValueError("no header line: the file's layout may have changed")
+    return [c.strip() for c in first["line"].split(",")[1:]]
+
+
+def factor_table(text: DataFrame, names: Sequence[str] | None = None, *, value: str = "value") -> DataFrame:
+    """A published factor table from (value) whole texts: its first block of dated rows, percent to decimals, under its own names or those given.
 
     The block starts after the first line that begins with a comma and ends at the first line that isn't a date and
     numbers. Six-digit dates stand for the month's end; -99.99 and -999 are missing.
     """
+    names = factor_names(text, value=value) if names is None else names
     lines = text.select(F.posexplode(F.split(value, r"\r?\n")).alias("at", "line"))
     head = lines.where(F.col("line").startswith(",")).agg(F.min("at").alias("head"))
     after = lines.crossJoin(F.broadcast(head)).where("at > head").withColumn("row", F.col("line").rlike(r"^\s*\d{6}(\d{2})?\s*,"))

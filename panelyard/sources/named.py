@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 from panelyard.sources import files
 
-#: File and columns of each named table.
+# The published file of each named table. Its header names the columns.
 DATASETS = {
-    "factors_daily": ("F-F_Research_Data_5_Factors_2x3_daily.csv", ("Mkt-RF", "SMB", "HML", "RMW", "CMA", "RF")),
-    "factors3_daily": ("F-F_Research_Data_Factors_daily.csv", ("Mkt-RF", "SMB", "HML", "RF")),
-    "momentum_daily": ("F-F_Momentum_Factor_daily.csv", ("Mom",)),
+    "factors_daily": "F-F_Research_Data_Factors_daily.csv",
+    "factors_monthly": "F-F_Research_Data_Factors.csv",
+    "factors5_daily": "F-F_Research_Data_5_Factors_2x3_daily.csv",
+    "momentum_daily": "F-F_Momentum_Factor_daily.csv",
+    "industry49_daily": "49_Industry_Portfolios_daily.csv",
+    "industry12_daily": "12_Industry_Portfolios_daily.csv",
 }
 INDUSTRIES = (12, 49)
 
@@ -24,8 +27,7 @@ def load(spark: SparkSession, dataset: str, landing: str, cache: str | None = No
     """(date, one column a factor) of a named table from the text files in ``landing``, kept as Parquet under ``cache``."""
     if dataset not in DATASETS:
         raise ValueError(f"unknown dataset {dataset!r}; there are {sorted(DATASETS)}")
-    name, columns = DATASETS[dataset]
-    make = lambda: files.factor_table(spark.read.option("encoding", "ISO-8859-1").text(f"{landing}/{name}", wholetext=True), columns)
+    make = lambda: files.factor_table(spark.read.option("encoding", "ISO-8859-1").text(f"{landing}/{DATASETS[dataset]}", wholetext=True))
     return files.cached(spark, f"{cache}/{dataset}.parquet", make) if cache else make()
 
 
@@ -35,11 +37,16 @@ def with_momentum(factors: DataFrame, momentum: DataFrame) -> DataFrame:
     return factors.join(momentum.select("date", "Mom"), "date").select("date", *[F.col(f"`{c}`") for c in order])
 
 
-def industry_returns(spark: SparkSession, n: int, landing: str, names: tuple[str, ...]) -> DataFrame:
-    """Daily returns of 12 or 49 industry portfolios."""
-    if n not in INDUSTRIES or len(names) != n:
-        raise ValueError(f"industries come in {INDUSTRIES}, each with its names")
-    return files.factor_table(spark.read.option("encoding", "ISO-8859-1").text(f"{landing}/{n}_Industry_Portfolios_daily.csv", wholetext=True), names)
+def five_with_momentum(spark: SparkSession, landing: str, cache: str | None = None) -> DataFrame:
+    """The named tables of the five factors and of momentum, joined."""
+    return with_momentum(load(spark, "factors5_daily", landing, cache), load(spark, "momentum_daily", landing, cache))
+
+
+def industry_returns(spark: SparkSession, n: int, landing: str, cache: str | None = None) -> DataFrame:
+    """Daily returns of 12 or 49 industry portfolios, a column each as the file names them."""
+    if n not in INDUSTRIES:
+        raise ValueError(f"industries come in {INDUSTRIES}")
+    return load(spark, f"industry{n}_daily", landing, cache)
 
 
 def sample_prices(spark: SparkSession, *, start: str = "2025-01-02", days: int = 126, assets: int = 40, seed: int = 20260825) -> DataFrame:

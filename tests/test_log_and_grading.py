@@ -197,9 +197,17 @@ def test_samples_are_deterministic(spark):
 
 
 def test_named_tables_from_a_landing_folder(spark, tmp_path):
-    (tmp_path / named.DATASETS["factors_daily"][0]).write_text("words\n\n,Mkt-RF,SMB,HML,RMW,CMA,RF\n20200102, 1.00, 0.10,-0.20, 0.00, 0.30, 0.01\n20200103,-99.99, 0.10,-0.20, 0.00, 0.30, 0.01\n\n 2020, 5\n", encoding="latin-1")
-    (tmp_path / named.DATASETS["momentum_daily"][0]).write_text("words\n\n,Mom\n20200102, 0.50\n\nend\n", encoding="latin-1")
-    five = named.load(spark, "factors_daily", str(tmp_path), str(tmp_path / "cache"))
+    (tmp_path / named.DATASETS["factors5_daily"]).write_text("words\n\n,Mkt-RF,SMB,HML,RMW,CMA,RF\n20200102, 1.00, 0.10,-0.20, 0.00, 0.30, 0.01\n20200103,-99.99, 0.10,-0.20, 0.00, 0.30, 0.01\n\n 2020, 5\n", encoding="latin-1")
+    (tmp_path / named.DATASETS["momentum_daily"]).write_text("words\n\n,Mom\n20200102, 0.50\n\nend\n", encoding="latin-1")
+    five = named.load(spark, "factors5_daily", str(tmp_path), str(tmp_path / "cache"))
+    assert named.five_with_momentum(spark, str(tmp_path)).columns == ["date", "Mkt-RF", "SMB", "HML", "RMW", "CMA", "RF", "Mom"]
+    (tmp_path / named.DATASETS["factors_daily"]).write_text("words\n\n,Mkt-RF,SMB,HML,RF\n20200102, 1.00, 0.10,-0.20, 0.01\n", encoding="latin-1")
+    assert named.load(spark, "factors_daily", str(tmp_path)).columns == ["date", "Mkt-RF", "SMB", "HML", "RF"]
+    (tmp_path / named.DATASETS["factors_monthly"]).write_text("words\n,Mkt-RF,SMB,HML,RF\n202001, 1.00, 0.10,-0.20, 0.01\n\n ,Mkt-RF\n2020, 5\n", encoding="latin-1")
+    assert [str(r["date"]) for r in named.load(spark, "factors_monthly", str(tmp_path)).collect()] == ["2020-01-31"]
+    (tmp_path / named.DATASETS["industry12_daily"]).write_text("words\n\n,NoDur,Durbl ,Other\n20200102, 1.0, 2.0,-99.99\n", encoding="latin-1")
+    industries = named.industry_returns(spark, 12, str(tmp_path)).first()
+    assert (industries["NoDur"], industries["Durbl"], industries["Other"]) == (0.01, 0.02, None)
     rows = named.with_momentum(five, named.load(spark, "momentum_daily", str(tmp_path))).collect()
     assert len(rows) == 1 and rows[0]["Mkt-RF"] == pytest.approx(0.01) and rows[0]["Mom"] == pytest.approx(0.005)
     assert named.clear_cache(spark, str(tmp_path / "cache")) == 1
