@@ -2,36 +2,44 @@
 
 from __future__ import annotations
 
-import time
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm import scratch
-
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-#: How often the cascade's sample is read by each rule when its cost is taken.
-REPEATS = 4
+#: What a rule costs apart from the characters it reads, in characters.
+STEP = 10.0
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A named reason to reject: SQL over text and the base columns, true for a rejected document."""
+    """A named reason to reject: SQL over text and the base columns, true for a rejected document; read only where ``guard`` holds."""
 
     name: str
     rejects: str
+    guard: str = "true"
+
+    @property
+    def condition(self) -> str:
+        return self.rejects if self.guard == "true" else f"({self.guard}) and ({self.rejects})"
+
+    @property
+    def passes(self) -> int:
+        """How often the condition goes over the text."""
+        return len(re.findall(r"\btext\b", self.rejects))
 
 
 #: Thresholds are far from ordinary prose, so that a clean document is never near one.
 RULES = (
     Rule("symbols_to_words", "2 * n_symbols > n_words"),
-    Rule("repeated_lines", "n_dup_lines >= 3 and 3 * n_dup_lines > size(split(text, '\n'))"),
+    Rule("repeated_lines", "3 * n_dup_lines > size(split(text, '\n'))", "n_dup_lines >= 3"),
     Rule("word_length", "word_chars > 20 * n_words or word_chars < 2 * n_words"),
     Rule("shouting", "2 * length(regexp_replace(text, '[^A-Z]+', '')) > word_chars"),
     Rule("exclamations", "4 * regexp_count(text, '!!') > n_words"),
@@ -78,42 +86,29 @@ BASE_FAILED = "n_words < 20 or 100 * n_repeat_words > 30 * n_words"
 
 
 def rejection_order(docs: DataFrame, rules: Sequence[Rule], *, key: str = "doc_id", text: str = "text", sample_rows: int = 1000) -> list[tuple[Rule, float, float]]:
-    """The rules with (share rejected, seconds), best rejection per cost first, as estimated on a sample.
+    """The rules with (share rejected, cost), best rejection per cost first, as estimated on a sample.
 
-    The sample holds about ``sample_rows`` rows: those whose key's hash falls below that share of all hashes,
-    so each task picks its own and only these are measured. Each rule runs alone over the written sample, ``REPEATS``
-    times over within one job, so that what is timed is the rule and not the job; its cost is its time beyond that of
-    as many rows without a rule. The order decides only how much is computed: a document is kept if no rule rejects
-    it, in any order.
+    The sample holds about ``sample_rows`` rows, each drawn by a hash of its key and its place in the input, so that rows that
+    repeat a key are drawn one by one. One job measures it and takes all shares and the texts' mean length together. A
+    rule's cost is the characters that it reads of a row in the mean, where its guard holds, and ``STEP`` besides: a count and no clock, so
+    the same rows give the same order. The order decides only how much is computed: a document is kept if no rule
+    rejects it, in any order.
     """
     span = 1 << 40
     below = span * sample_rows // max(sample_rows, docs.count())
-    picked = docs.where(F.pmod(F.xxhash64(F.col(key)), F.lit(span)) < F.lit(below))
-    sample = scratch.written(base_measures(picked, key=key, text=text), "cascade-sample")
-    at_once = sample.coalesce(1).withColumn("_time", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))))
-
-    def timed(condition: str) -> tuple[float, float]:
-        best, share = float("inf"), 0.0
-        for _ in range(2):
-            began = time.perf_counter()
-            share = at_once.agg(F.avg(F.expr(f"case when {condition} then 1.0d else 0.0d end"))).first()[0] or 0.0
-            best = min(best, time.perf_counter() - began)
-        return best, share
-
-    floor, _ = timed("length(text) < 0")
-    found = []
-    for rule in rules:
-        seconds, share = timed(rule.rejects)
-        found.append((rule, share, max(seconds - floor, 1e-4)))
-    scratch.drop(sample)
-    return sorted(found, key=lambda r: (-r[1] / r[2], r[2], r[0].name))
+    placed = docs.select(F.col(key), F.col(text), F.monotonically_increasing_id().alias("_place"))
+    sample = base_measures(placed.where(F.pmod(F.xxhash64(key, "_place"), F.lit(span)) < F.lit(below)), key=key, text=text)
+    share = lambda sql: F.coalesce(F.avg(F.expr(f"case when {sql} then 1.0d else 0.0d end")), F.lit(0.0))
+    taken = sample.agg(F.coalesce(F.avg(F.length("text")), F.lit(0.0)).alias("chars"), *[f(sql).alias(f"{name}{i}") for i, r in enumerate(rules) for name, f, sql in (("s", share, r.condition), ("g", share, r.guard))]).first()
+    found = [(r, taken[f"s{i}"], STEP + taken[f"g{i}"] * r.passes * taken["chars"]) for i, r in enumerate(rules)]
+    return sorted(found, key=lambda r: (-r[1] / r[2], r[2]))
 
 
 def cascade(rules: Sequence[Rule]) -> Column:
     """The name of the first rule that rejects, or null; CASE stops at the first that holds, so later rules aren't computed."""
     verdict = None
     for rule in rules:
-        held = F.expr(rule.rejects)
+        held = F.expr(rule.condition)
         verdict = F.when(held, rule.name) if verdict is None else verdict.when(held, rule.name)
     return F.lit(None).cast("string") if verdict is None else verdict
 
@@ -123,7 +118,7 @@ def judge_quality(docs: DataFrame, rules: Sequence[Rule] = RULES, *, key: str =
 
     The base test stands first in the cascade, since its measures are returned in any case. Null text counts
     as empty; with under 20 words it fails the base. Repeated rows each get a row. An empty table gives an
-    empty result, with the rules in their given order. Other columns are ignored, whatever their names.
+    empty result, with the cheapest rules first. Other columns are ignored, whatever their names.
     """
     order = [r for r, _, _ in rejection_order(docs, rules, key=key, text=text, sample_rows=sample_rows)]
     measured = base_measures(docs, key=key, text=text).withColumn("base_failed", F.expr(BASE_FAILED))

@@ -441,3 +441,27 @@ def test_clashing_column_names(spark):
         assert {r["_mix_copies"] for r in made.collect()} == {"size"} and {r["_gone_k"] for r in made.collect()} == {"score"}
     for made in (near_duplicates.near_duplicates(clashing), sketches.fingerprints(clashing), sharding.assign_shards(clashing), quality_rules.judge_quality(clashing), mixing.mix_sizes(clashing)):
         assert made.count() == 30
+
+
+def test_the_cascade_orders_rules_by_rejection_per_character_read(spark):
+    """Shares and costs against plain code over the whole table as sample, the same order every time, and one hot key."""
+    texts = ordinary(80) + [(500, "A shouted line HERE!! " * 9, "s")] * 60 + [(None, None, None)]
+    docs = frame(spark, texts)
+    runs = [quality_rules.rejection_order(docs.repartition(1 + i % 3), quality_rules.RULES, sample_rows=10_000) for i in range(5)]
+    names = [[r.name for r, _, _ in run] for run in runs]
+    assert all(n == names[0] for n in names) and sorted(names[0]) == sorted(r.name for r in quality_rules.RULES)
+    chars = sum(len(t or "") for _, t, _ in texts) / len(texts)
+    rows = quality_rules.judge_quality(docs).collect()
+    for rule, share, cost in runs[0]:
+        if rule.name == "symbols_to_words":
+            assert (share, cost) == (sum(2 * r["n_symbols"] > r["n_words"] for r in rows) / len(rows), quality_rules.STEP)
+        if rule.name == "repeated_lines":
+            assert cost == pytest.approx(quality_rules.STEP + chars * sum(r["n_dup_lines"] >= 3 for r in rows) / len(rows))
+        if rule.name == "shouting":
+            assert cost == pytest.approx(quality_rules.STEP + chars)
+    worth = [share / cost for _, share, cost in runs[0]]
+    assert worth == sorted(worth, reverse=True)
+    few = quality_rules.rejection_order(docs, quality_rules.RULES, sample_rows=20)
+    assert {r.name for r, _, _ in few} == set(names[0])
+    kept = {(r["doc_id"], r["kept"]) for r in rows}
+    assert kept == {(r["doc_id"], r["kept"]) for r in quality_rules.judge_quality(docs, tuple(reversed(quality_rules.RULES))).collect()}
