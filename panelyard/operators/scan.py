@@ -10,25 +10,33 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the folder that ``spark.checkpoint.dir`` names, so that a lost executor costs a read.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, or that the context has.
 
     A local master without that setting gets a temporary folder; a cluster without it is an error.
     """
+    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if configured:
+        return configured
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if sc.applicationId not in _LOCAL:
+        _LOCAL[sc.applicationId] = tempfile.mkdtemp(prefix="panelyard-")
+    return _LOCAL[sc.applicationId]
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder, so that a lost executor costs a read."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not configured and not (sc.master == "local" or sc.master.startswith("local[")):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        if not configured:
-            configured = _LOCAL.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="panelyard-"))
-        sc.setCheckpointDir(configured)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -487,7 +487,7 @@ def overfit_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- everything else is registered by the modules below
 
-from panelyard import factor_queries, feed_queries, log_queries, more_queries, plant_queries, search_queries  # noqa: E402
+from panelyard import factor_queries, feed_queries, log_queries, more_queries, plant_queries, release_queries, search_queries  # noqa: E402
 
 
 def _asset_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -499,6 +499,7 @@ search_queries.register(_register, GRID)
 plant_queries.register(_register, GRID)
 factor_queries.register(_register)
 feed_queries.register(_register)
+release_queries.register(_register)
 log_queries.register(_register, GRID, PVALUES, _pvalues, _RET, _asset_returns)
 
 

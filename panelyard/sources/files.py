@@ -27,9 +27,13 @@ def manifest_diff(want: DataFrame, have: DataFrame) -> DataFrame:
 
 def load(spark: SparkSession, path: str, columns: Sequence[str] | None = None, start: str | None = None, end: str | None = None, *, date_column: str = "date") -> DataFrame:
     """Chosen columns between two dates; both reach the scan. The date column must be one of the known ones and a plain date."""
+    return between(spark.read.parquet(path), columns, start, end, date_column=date_column)
+
+
+def between(df: DataFrame, columns: Sequence[str] | None = None, start: str | None = None, end: str | None = None, *, date_column: str = "date") -> DataFrame:
+    """As :func:`load`, of a table that has been opened."""
     if date_column not in DATE_COLUMNS:
         raise ValueError(f"{date_column!r} is not a known date column")
-    df = spark.read.parquet(path)
     if start is not None or end is not None:
         kind = df.schema[date_column].dataType
         if not isinstance(kind, T.DateType | T.TimestampNTZType):
