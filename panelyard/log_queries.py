@@ -227,10 +227,12 @@ def register(add: Callable, grid: str, pvalues: str, spark_pvalues: Callable[[Sp
         curve = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("key"), F.col("l_linenumber").cast("double").alias("sharpe")).agg(F.avg("l_quantity").alias("power"))
         return calibration.crossing(curve, 26.0, keys=("key",)).select("key", rounded("at").alias("at"))
 
-    @add("SELECT a.v AS q1, b.v AS q4 FROM (VALUES (0.05), (0.1), (0.2)) a(v), (VALUES (0.1), (0.5)) b(v)")
+    @add("SELECT q1, q4 FROM (SELECT DISTINCT CAST(l_discount AS DOUBLE) AS q1 FROM lineitem WHERE l_discount > 0), (SELECT DISTINCT CAST(l_tax AS DOUBLE) AS q4 FROM lineitem WHERE l_tax > 0)")
     def calibration_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return calibration.threshold_grid(spark, q1=[0.05, 0.1, 0.2], q4=[0.1, 0.5])
-
+        """Every discount as q1 with every tax as q4."""
+        rows = table(spark, sf_dir, "lineitem")
+        values = lambda c: [r[0] for r in rows.where(f"{c} > 0").select(F.col(c).cast("double")).distinct().collect()]
+        return calibration.threshold_grid(spark, q1=values("l_discount"), q4=values("l_tax"))
 
     @add(returns_sql + ", w AS (SELECT candidate, date, 100 + sum(ret) OVER (PARTITION BY candidate ORDER BY date ROWS UNBOUNDED PRECEDING) AS wealth FROM r0) SELECT candidate, date, round(wealth / greatest(100.0, max(wealth) OVER (PARTITION BY candidate ORDER BY date ROWS UNBOUNDED PRECEDING)) - 1, 6) + 0.0 AS drawdown FROM w")
     def backtest_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,20 +250,18 @@ def register(add: Callable, grid: str, pvalues: str, spark_pvalues: Callable[[Sp
         return spark.createDataFrame([(c.expected_mean, c.scale)], "mean double, scale double").select(rounded("mean").alias("mean"), rounded("scale").alias("scale"))
 
     a, b = 0.05, 0.3
-    mix = f"({a} * p0 + {1 - b} * (1 - p0))"
+    mix = f"({a} * pi0 + {1 - b} * (1 - pi0))"
 
     @add(
-        f"""WITH g AS (SELECT p.p0, k.k FROM (VALUES (0.5), (0.8), (0.95)) p(p0), (VALUES (1), (5), (20)) k(k)), e AS (SELECT *, 1 - pow(1 - {a}, k) AS alpha_k, pow(p0, k) AS pi0_k, 1 - pow(1 - {mix}, k) AS hit FROM g),
-      f AS (SELECT *, 1 - (hit - alpha_k * pi0_k) / (1 - pi0_k) AS beta_k FROM e) SELECT p0, k, round({a} * p0 / {mix}, 8) + 0.0 AS fdr, round(alpha_k, 8) + 0.0 AS alpha_k, round(beta_k, 8) + 0.0 AS beta_k, round(alpha_k * pi0_k / (alpha_k * pi0_k + (1 - beta_k) * (1 - pi0_k)), 8) + 0.0 AS fdr_k, round(0.3 + 0.7 * k, 8) + 0.0 AS trials FROM f"""
+        f"""WITH g AS (SELECT p_brand AS brand, count(*) AS k, 0.5::DOUBLE + 0.45 * avg(CASE WHEN p_size > 25 THEN 1.0 ELSE 0.0 END) AS pi0 FROM part GROUP BY 1), e AS (SELECT *, 1 - pow(1 - {a}, k) AS alpha_k, pow(pi0, k) AS pi0_k, 1 - pow(1 - {mix}, k) AS hit FROM g),
+      f AS (SELECT *, 1 - (hit - alpha_k * pi0_k) / (1 - pi0_k) AS beta_k FROM e) SELECT brand, k, round({a} * pi0 / {mix}, 8) + 0.0 AS fdr, round(alpha_k, 8) + 0.0 AS alpha_k, round(beta_k, 8) + 0.0 AS beta_k,
+      round(alpha_k * pi0_k / (alpha_k * pi0_k + (1 - beta_k) * (1 - pi0_k)), 8) + 0.0 AS fdr_k FROM f"""
     )
     def sharpe_search_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = []
-        for p0 in (0.5, 0.8, 0.95):
-            for k in (1, 5, 20):
-                e = sharpe.familywise_errors(a, b, p0, k)
-                rows.append((p0, k, sharpe.fdr(a, b, p0), e["alpha_k"], e["beta_k"], sharpe.search_adjusted_fdr(a, b, p0, k), sharpe.implied_trials(k, 0.3)))
-        made = spark.createDataFrame(rows, "p0 double, k int, fdr double, alpha_k double, beta_k double, fdr_k double, trials double")
-        return made.select("p0", "k", *[rounded(c, 8).alias(c) for c in ("fdr", "alpha_k", "beta_k", "fdr_k", "trials")])
+        """Each brand's parts as so many variants tried, its share of large ones as a share of true nulls."""
+        share = 0.5 + 0.45 * F.avg(F.when(F.col("p_size") > 25, 1.0).otherwise(0.0))
+        brands = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.count("*").alias("k"), share.alias("pi0"))
+        return sharpe.with_search_errors(brands, a, b).select("brand", "k", *[rounded(c, 8).alias(c) for c in ("fdr", "alpha_k", "beta_k", "fdr_k")])
 
     # ---- orders, the dictionary, authorities
 

@@ -33,7 +33,7 @@ def graded_scores(returns: DataFrame, best: DataFrame, n_trials: int, avg_correl
     ``returns`` are (candidate, date, ret) of the search period.
     """
     tests = sharpe.min_track_record(sharpe.sharpe_test(returns.join(best.select("candidate"), "candidate", "left_semi"), periods=periods), periods=periods)
-    scored = family_lfdr(multiple_testing.holm_adjusted(multiple_testing.by_adjusted(best, p="p1"), p="p1"))
+    scored = family_lfdr(multiple_testing.all_adjusted(best, p="p1"))
     joined = scored.join(tests.select("candidate", "sharpe", "psr", "n_obs", (F.col("min_trl") / periods).alias("min_trl_years")), "candidate", "left")
     return joined.join(haircuts(joined, n_trials, avg_correlation, seed=seed, n_simulations=n_simulations), "family", "left").drop("n_obs")
 

@@ -188,15 +188,23 @@ def storey_qvalues(pvalues: DataFrame, lam: float | None = 0.5, *, pfdr: bool =
     return _storey(_least_share(_ranked(pvalues, p, by), p, by), lam, pfdr, p, by, name).drop("_s", *_PLACED)
 
 
+def _all_adjusted(pvalues: DataFrame, p: str) -> DataFrame:
+    shared = _least_share(_holm(_ranked(pvalues, p, ()), p, (), "holm"), p, ())
+    return shared.withColumn("by", _capped(p, F.col("_m") * harmonic(F.col("_m")) * F.col("_s"))).withColumn("bh", _capped(p, F.col("_n") * F.col("_s")))
+
+
+def all_adjusted(pvalues: DataFrame, *, p: str = "p") -> DataFrame:
+    """With holm, by and bh: every adjusted p-value from one sort."""
+    return _all_adjusted(pvalues, p).drop("_s", *_PLACED)
+
+
 def evidence_profile(pvalues: DataFrame, *, lam: float | None = 0.5, p: str = "p", with_lfdr: bool = False) -> DataFrame:
     """p with its Holm, Benjamini-Yekutieli, Benjamini-Hochberg and Storey values side by side, and ``with_lfdr`` its local one.
 
     One sort serves all four. The local false discovery rate is a fit over all p-values, and null below 200 of them.
     """
     lam = bootstrap_lambda(pvalues, p=p) if lam is None else lam
-    shared = _least_share(_holm(_ranked(pvalues, p, ()), p, (), "holm"), p, ())
-    scaled = shared.withColumn("by", _capped(p, F.col("_m") * harmonic(F.col("_m")) * F.col("_s"))).withColumn("bh", _capped(p, F.col("_n") * F.col("_s")))
-    out = _storey(scaled, lam, False, p, (), "q").drop("_s", *_PLACED)
+    out = _storey(_all_adjusted(pvalues, p), lam, False, p, (), "q").drop("_s", *_PLACED)
     if not with_lfdr:
         return out
     from panelyard.operators.grading import family_lfdr

@@ -138,6 +138,21 @@ def familywise_errors(alpha: float, beta: float, pi0: float, k: int) -> dict[str
     return {"alpha_k": alpha_k, "beta_k": 1 - real_hit, "pi0_k": pi0_k}
 
 
+def with_search_errors(rows: DataFrame, alpha: float, beta: float, *, pi0: str = "pi0", k: str = "k") -> DataFrame:
+    """``rows`` (share of true nulls, number tried) with fdr, alpha_k, beta_k and fdr_k: errors of a single test and of the best of k, as columns.
+
+    Where all are null, beta_k is that of a single test.
+    """
+    p, n = F.col(pi0), F.col(k).cast("double")
+    mix = alpha * p + (1 - beta) * (1 - p)
+    none_found = lambda share: F.pow(1 - share, n)
+    all_null = F.pow(p, n)
+    alpha_k = 1 - none_found(F.lit(alpha))
+    hit = F.when(all_null < 1, (1 - none_found(mix) - alpha_k * all_null) / (1 - all_null)).otherwise(1 - beta)
+    out = rows.withColumn("fdr", alpha * p / mix).withColumn("alpha_k", alpha_k).withColumn("beta_k", 1 - hit)
+    return out.withColumn("fdr_k", F.col("alpha_k") * all_null / (F.col("alpha_k") * all_null + (1 - F.col("beta_k")) * (1 - all_null)))
+
+
 def search_adjusted_fdr(alpha: float, beta: float, pi0: float, k: int) -> float:
     e = familywise_errors(alpha, beta, pi0, k)
     return fdr(e["alpha_k"], e["beta_k"], e["pi0_k"])

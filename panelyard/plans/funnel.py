@@ -10,9 +10,8 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelyard.operators import ledger
+from panelyard.operators import ledger, scan, search, sharpe
 from panelyard.operators import multiple_testing as mt
-from panelyard.operators import search, sharpe
 
 STAGE1, FINAL, TRIALS = ("rho", "independent", "bootstrap"), ("bh", "dsr"), ("survivors", "searched")
 HOLDOUT = ("n_obs", "sharpe", "skew", "kurtosis", "variance", "p")
@@ -57,9 +56,9 @@ def family_statistics(returns: DataFrame, *, search_end: str, holdout_start: str
     """
     variants = returns.select("candidate", "family", "pos").distinct()
     window = returns.where((F.col("date") <= F.lit(search_end).cast("date")) & F.col("ret").isNotNull())
-    tests = sharpe.sharpe_test(window, periods=periods).join(variants, "candidate")
+    tests = scan.kept(sharpe.sharpe_test(window, periods=periods).join(variants, "candidate"))
     n_variants = variants.count()
-    naive = _naive(tests, n_variants, periods)
+    naive = scan.kept(_naive(tests, n_variants, periods))
     ratios = window.groupBy("candidate").agg(F.try_divide(F.avg("ret"), F.stddev_samp("ret")).alias("value")).join(variants, "candidate", "right")
     best = best_by_family(ratios)
     naive_best = best_by_family(naive.where("stacked").join(ratios.select("candidate", "value"), "candidate")).withColumnRenamed("best", "naive_best")
@@ -111,7 +110,7 @@ def holdout_statistics(held: DataFrame, chosen: DataFrame, prefix: str = "ho_",
 
 def _naive(tests: DataFrame, n_variants: int, periods: int) -> DataFrame:
     """Every screening method as a gate at once, on every variant."""
-    p = mt.bh_adjusted(mt.by_adjusted(mt.holm_adjusted(sharpe.deflated(tests, n_variants, periods=periods), p="pvalue_greater"), p="pvalue_greater"), p="pvalue_greater")
+    p = mt.all_adjusted(sharpe.deflated(tests, n_variants, periods=periods), p="pvalue_greater")
     return p.withColumn("stacked", F.coalesce((F.col("holm") <= 0.05) & (F.col("by") <= 0.05) & (F.col("bh") <= 0.05) & (F.col("psr") >= 0.95) & (F.col("dsr") >= 0.95), F.lit(False)))
 
 
@@ -128,7 +127,7 @@ def screen(stats: DataFrame, th: Thresholds, *, stage1: str | None = None) -> Da
     """Adds stage1 (Benjamini-Hochberg over families), stage2 (the best variant's p) and stage3 (passed through until spanning is measured)."""
     p = f"p1_{stage1 or th.stage1}"
     checked = stats.withColumn(p, F.when(F.col(p).isNull(), F.raise_error(F.lit(f"{p} is missing for a family"))).otherwise(F.col(p)))
-    out = mt.benjamini_hochberg(checked, th.q1, p=p, name="stage1")
+    out = mt.benjamini_hochberg(checked, th.q1, p=p, name="stage1")  # cuts lineage: what follows reads one row a family
     return out.withColumn("stage2", F.col("stage1") & F.coalesce(F.col("p2") <= th.alpha2, F.lit(False))).withColumn("stage3", F.col("stage2"))
 
 

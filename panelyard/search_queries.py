@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelyard.functions import normal
 from panelyard.operators import panel as pn
-from panelyard.operators import search, sharpe, spanning, synth
+from panelyard.operators import calibration, scan, search, sharpe, spanning, synth
 from panelyard.plans import funnel
 from panelyard.session import rounded, table
 
@@ -60,9 +60,13 @@ def register(add: Callable, grid: str) -> None:
 
     @add()
     def funnel_gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-        returns, truth = synth.make_family_set(spark, 10, 4, 0.3, 2.0, n_obs=1500, seed=3)
-        stats, n = funnel.family_statistics(returns, search_end="1994-06-30", holdout_start="1994-07-01")
-        return funnel.gate_report(funnel.run_funnel(stats, funnel.Thresholds(), n), truth)
+        """The flow of the nations' families through the stages, every fifth of them planted with a Sharpe ratio of 2."""
+        rows = families(spark, sf_dir)
+        real = rows.where("family % 5 = 0").select("candidate").distinct()
+        returns = scan.kept(calibration.plant(rows, real, 2.0, periods=12).select(*rows.columns))
+        stats, n = funnel.family_statistics(returns, search_end="1999-12-31", holdout_start="2000-01-01", periods=12)
+        truth = rows.select("family", (F.col("family") % 5 == 0).alias("truth")).distinct()
+        return funnel.gate_report(funnel.run_funnel(stats, funnel.Thresholds(), n, periods=12), truth)
 
     @add()
     def spanning_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,8 +79,19 @@ def register(add: Callable, grid: str) -> None:
 
     @add()
     def synthetic_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return synth.make_panel(spark, n_dates=60, n_assets=10, n_candidates=6, n_real=2, effect=0.3)[0]
+        """A panel of known truth as long and wide as the suppliers' own: their months, their number, a candidate for each nation."""
+        months, assets, nations = _shape(spark, sf_dir)
+        return synth.make_panel(spark, n_dates=months, n_assets=assets, n_candidates=nations, n_real=max(1, nations // 5), effect=0.3)[0]
 
     @add()
     def synthetic_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return synth.make_return_matrix(spark, n_obs=300, n_candidates=8, rho=0.3, ar1=0.1, t_df=5, garch=(0.05, 0.9))[0]
+        """Returns of known truth for as many candidates and months as there are suppliers and months."""
+        months, assets, _ = _shape(spark, sf_dir)
+        return synth.make_return_matrix(spark, n_obs=months, n_candidates=assets, rho=0.3, ar1=0.1, t_df=5, garch=(0.05, 0.9))[0]
+
+
+def _shape(spark: SparkSession, sf_dir: str) -> tuple[int, int, int]:
+    """Months of the lines, suppliers, and nations that have any."""
+    months = table(spark, sf_dir, "lineitem").agg(F.countDistinct(F.date_trunc("month", "l_shipdate"))).first()[0]
+    supplier = table(spark, sf_dir, "supplier").agg(F.count("*").alias("n"), F.countDistinct("s_nationkey").alias("m")).first()
+    return max(3, months), max(1, supplier["n"]), max(1, supplier["m"])
