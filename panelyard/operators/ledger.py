@@ -6,9 +6,13 @@ import json
 import os
 from collections.abc import Iterable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelyard.functions import typed_json as tj
+from panelyard.operators import scan
+
 CORRECTION = "ledger-correction"
 SCHEMA = "ts_utc string, user string, git_sha string, name string, seed bigint, params string, metrics string, tags array<string>, notes string"
 
@@ -96,19 +100,75 @@ def corrected(numbered: Iterable[tuple[int, dict]]) -> tuple[list[dict], list[di
     return trials, excluded, sum(not w[2] for group in wanted.values() for w in group)
 
 
-def trial_count(ledger: DataFrame, *, name: str | None = None, include_tags: Sequence[str] | None = None, exclude_tags: Sequence[str] | None = None) -> DataFrame:
-    """One row (trials): entries in scope that active exclusions don't take away, seen ones always counted.
+def entries_for(ledger: DataFrame, name: str, config_hash: str) -> DataFrame:
+    """The entries of a name that were logged for one configuration, oldest first."""
+    return ledger.where((F.col("name") == name) & (tj.text_at(F.col("params"), "$.config_hash") == config_hash)).orderBy("line")
+
+
+def as_json(rows: DataFrame) -> DataFrame:
+    """(json): each row as one JSON object; a text that is a JSON object or list is put in as such, other texts as strings."""
+
+    def cell(name: str, kind: str) -> Column:
+        c = F.col(f"`{name}`")
+        if kind != "string":
+            return F.coalesce(F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", ""), F.lit("null"))
+        nested = F.when(F.substring(F.ltrim(c), 1, 1).isin("{", "["), F.to_json(F.try_parse_json(c)))
+        quoted = F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+        return F.when(c.isNull(), "null").otherwise(F.coalesce(nested, quoted))
+
+    parts = [F.concat(F.lit(json.dumps(f.name) + ":"), cell(f.name, f.dataType.simpleString())) for f in rows.schema.fields]
+    return rows.select(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("json"))
+
 
-    Relational form for ledgers whose corrections name runs by (name, time): exclusions and entries are numbered
-    within that key and joined on the number, so each exclusion takes one entry, the earliest first.
+def active_corrections(ledger: DataFrame) -> DataFrame:
+    """(line, ts_utc, params) of exclusions that no retraction undoes.
+
+    A correction line that is repeated as it stands counts once. A retraction undoes earlier corrections by their time and may
+    itself be retracted; as it only points backwards, the set that is undone settles after as many rounds as the longest
+    chain of retractions is long.
+    """
+    fixes = ledger.where(F.col("name") == CORRECTION).groupBy("ts_utc", tj.canonical(F.col("params")).alias("_p")).agg(F.min("line").alias("line"), F.min_by("params", "line").alias("params"))
+    fixes = scan.kept(fixes.select("line", "ts_utc", "params"))
+    undoing = fixes.select("line", F.explode(F.from_json(F.get_json_object("params", "$.retracts"), "array<string>")).alias("ts_utc"))
+    aims = scan.kept(undoing.join(fixes.select(F.col("line").alias("target"), "ts_utc"), "ts_utc").where("target < line").select("line", "target"))
+    undone = scan.kept(aims.select("target").distinct())
+    while True:
+        after = scan.kept(aims.join(undone.withColumnRenamed("target", "line"), "line", "left_anti").select("target").distinct())
+        if after.exceptAll(undone).isEmpty() and undone.exceptAll(after).isEmpty():
+            break
+        undone = after
+    excluding = fixes.where(F.get_json_object("params", "$.excludes").isNotNull())
+    return excluding.join(after.withColumnRenamed("target", "line"), "line", "left_anti")
+
+
+def excluded_runs(ledger: DataFrame) -> DataFrame:
+    """(line): entries that active exclusions take away, seen or not.
+
+    An item names its runs by ledger name and time and by any parameters it lists, each of which must be there as the same
+    JSON value, before the correction. Items take the earliest entry that they fit and that no item before has taken, one each: among
+    entries of one name and moment that is done in order, beside one another for all names and moments.
     """
-    fixes = ledger.where((F.col("name") == CORRECTION) & F.get_json_object("params", "$.excludes").isNotNull())
-    gone = ledger.where((F.col("name") == CORRECTION) & F.get_json_object("params", "$.retracts").isNotNull()).select(F.explode(F.from_json(F.get_json_object("params", "$.retracts"), "array<string>")).alias("ts_utc")).distinct()
-    active = fixes.join(gone, "ts_utc", "left_anti")
-    items = active.select(F.get_json_object("params", "$.ledger_name").alias("name"), "line", F.explode(F.from_json(F.get_json_object("params", "$.excludes"), "array<struct<ts_utc:string>>")).alias("i"))
-    numbered = items.select("name", F.col("i.ts_utc").alias("ts_utc"), F.row_number().over(Window.partitionBy("name", "i.ts_utc").orderBy("line")).alias("k"))
-    runs = ledger.where(F.col("name") != CORRECTION).withColumn("k", F.row_number().over(Window.partitionBy("name", "ts_utc").orderBy("line")))
-    out = runs.join(numbered.withColumn("hit", F.lit(True)), ["name", "ts_utc", "k"], "left")
+    items = active_corrections(ledger).select(F.get_json_object("params", "$.ledger_name").alias("name"), F.col("line").alias("fix"), F.posexplode(F.try_variant_get(tj.typed(F.col("params")), "$.excludes", "array<variant>")).alias("i", "item"))
+    asked = scan.kept(items.select("name", "fix", "i", F.try_variant_get("item", "$.ts_utc", "string").alias("ts_utc"), F.map_filter(tj.fields_of("item"), lambda k, _: k != "ts_utc").alias("asked")))
+    runs = ledger.where(F.col("name") != CORRECTION).join(asked.select("name", "ts_utc").distinct(), ["name", "ts_utc"], "left_semi").select("name", "ts_utc", "line", tj.fields(F.col("params")).alias("has"))
+
+    def taken(wanted: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+        free = [(line, dict(has or {})) for line, has in there.sort_values("line")[["line", "has"]].itertuples(index=False)]
+        gone: list[int] = []
+        for fix, fields in wanted.sort_values(["fix", "i"])[["fix", "asked"]].itertuples(index=False):
+            fields = dict(fields or {})
+            fit = next((at for at, (line, has) in enumerate(free) if line < fix and all(has.get(k) == v for k, v in fields.items())), None)
+            if fit is not None:
+                gone.append(free.pop(fit)[0])
+        return pd.DataFrame({"line": gone}, dtype="int64")
+
+    return asked.select("name", "ts_utc", "fix", "i", "asked").groupBy("name", "ts_utc").cogroup(runs.groupBy("name", "ts_utc")).applyInPandas(taken, "line bigint")
+
+
+def trial_count(ledger: DataFrame, *, name: str | None = None, include_tags: Sequence[str] | None = None, exclude_tags: Sequence[str] | None = None) -> DataFrame:
+    """One row (trials): entries in scope that active exclusions don't take away; one with metrics was seen and always counts."""
+    gone = excluded_runs(ledger).withColumn("hit", F.lit(True))
+    out = ledger.where(F.coalesce(F.col("name") != CORRECTION, F.lit(True))).join(gone, "line", "left")
     seen = F.coalesce(F.col("metrics"), F.lit("{}")) != "{}"
     kept = out.where((F.col("hit").isNull() | seen) & in_scope(name=name, include_tags=include_tags, exclude_tags=exclude_tags))
     return kept.agg(F.count("*").alias("trials"))
