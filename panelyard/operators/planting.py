@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from panelyard.functions import normal
 from panelyard.operators import multiple_testing as mt
-from panelyard.operators import scan, search, sharpe
+from panelyard.operators import correlation, scan, search, sharpe
 from panelyard.plans import funnel
 
 
@@ -230,8 +230,8 @@ def correlations(returns: DataFrame) -> DataFrame:
     """One row (within, across): the mean over families of two variants and more of their mean pairwise correlation, and the mean over pairs of different families.
 
     Where every variant has every date, correlations add up: the mean over dates of the squared sum of a group's
-    standardised returns is its size plus twice its correlations, so no pair is made. A batch with gaps is correlated pair
-    by pair on common dates. A flat variant has no correlation; null without any pair.
+    standardised returns is its size plus twice its correlations, so no pair is made. A batch with gaps is correlated on
+    common dates by :mod:`correlation`. A flat variant has no correlation; null without any pair.
     """
     there = returns.where("ret is not null")
     each = there.groupBy("candidate").agg(F.first("family").alias("family"), F.count("*").alias("n"), F.avg("ret").alias("mean"), F.stddev_pop("ret").alias("sd"))
@@ -246,10 +246,10 @@ def correlations(returns: DataFrame) -> DataFrame:
         k = F.sum("k")
         sums = inner.agg(F.avg(F.when(F.col("k") > 1, F.col("c") / (F.col("k") * (F.col("k") - 1)))).alias("within"), F.sum("v").alias("v"), k.alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
         return sums.crossJoin(F.broadcast(whole)).select("within", F.try_divide(F.col("w") - F.col("v"), F.col("k") * F.col("k") - F.col("kk")).alias("across"))
-    family = each.select("candidate", "family")
-    pairs = sharpe.pair_correlations(returns.select("date", "candidate", "ret")).join(family.select(F.col("candidate").alias("a"), F.col("family").alias("fa")), "a").join(family.select(F.col("candidate").alias("b"), F.col("family").alias("fb")), "b")
-    inside = pairs.where("fa = fb").groupBy("fa").agg(F.avg("r").alias("r")).agg(F.avg("r").alias("within"))
-    return inside.crossJoin(pairs.where("fa <> fb").agg(F.avg("r").alias("across")))
+    sums = scan.kept(correlation.correlation_sums(there))
+    inside, every = sums.where("family is not null"), sums.where("family is null")
+    within = inside.agg(F.avg(F.try_divide("s", "n")).alias("within"), F.coalesce(F.sum("s"), F.lit(0.0)).alias("_s"), F.coalesce(F.sum("n"), F.lit(0)).alias("_n"))
+    return within.crossJoin(F.broadcast(every.agg(F.sum("s").alias("s"), F.sum("n").alias("n")))).select("within", F.try_divide(F.col("s") - F.col("_s"), F.col("n") - F.col("_n")).alias("across"))
 
 
 def structure(returns: DataFrame, *, search_end: str, holdout_periods: int, n_trials: int) -> Structure:
