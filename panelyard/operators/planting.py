@@ -233,7 +233,7 @@ def correlations(returns: DataFrame) -> DataFrame:
     standardised returns is its size plus twice its correlations, so no pair is made. A batch with gaps is correlated on
     common dates by :mod:`correlation`. A flat variant has no correlation; null without any pair.
     """
-    there = returns.where("ret is not null")
+    there = scan.kept(returns.where("ret is not null").select("date", "candidate", "family", "ret"))
     each = there.groupBy("candidate").agg(F.first("family").alias("family"), F.count("*").alias("n"), F.avg("ret").alias("mean"), F.stddev_pop("ret").alias("sd"))
     dates = there.select("date").distinct().count()
     if each.where(F.col("n") != dates).isEmpty():
