@@ -10,7 +10,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelyard.operators import ledger, scan, search, sharpe
+from panelyard.operators import correlation, ledger, scan, search, sharpe
 from panelyard.operators import multiple_testing as mt
 
 STAGE1, FINAL, TRIALS = ("rho", "independent", "bootstrap"), ("bh", "dsr"), ("survivors", "searched")
@@ -47,12 +47,12 @@ def best_by_family(values: DataFrame, *, value: str = "value") -> DataFrame:
     return ranked.where("_r = 1").select("family", F.when(F.col(value).isNotNull(), F.col("candidate")).alias("best"))
 
 
-def family_statistics(returns: DataFrame, *, search_end: str, holdout_start: str | None = None, n_boot: int = 0, seed: int = 0, q: float = 0.05, periods: int = 252) -> tuple[DataFrame, int]:
+def family_statistics(returns: DataFrame, *, search_end: str, holdout_start: str | None = None, n_boot: int = 0, seed: int = 0, q: float = 0.05, periods: int = 252, correlated: bool = True) -> tuple[DataFrame, int]:
     """(statistics, variants) of (date, candidate, family, pos, ret).
 
     A family has its best variant over the search period, its size k, three family p-values (independent, with its own
     mean correlation, bootstrapped), the best variant's p-value, and held-out statistics of that variant alone. Rows of
-    ``holdout_start`` and later are read only for variants that are carried.
+    ``holdout_start`` and later are read only for variants that are carried. Unless ``correlated``, rho is 0 unread.
     """
     variants = returns.select("candidate", "family", "pos").distinct()
     window = returns.where((F.col("date") <= F.lit(search_end).cast("date")) & F.col("ret").isNotNull())
@@ -62,7 +62,7 @@ def family_statistics(returns: DataFrame, *, search_end: str, holdout_start: str
     ratios = window.groupBy("candidate").agg(F.try_divide(F.avg("ret"), F.stddev_samp("ret")).alias("value")).join(variants, "candidate", "right")
     best = best_by_family(ratios)
     naive_best = best_by_family(naive.where("stacked").join(ratios.select("candidate", "value"), "candidate")).withColumnRenamed("best", "naive_best")
-    inside = _within_family_correlation(window, variants)
+    inside = scan.kept(_within_family_correlation(window, variants)) if correlated else variants.select("family", F.lit(0.0).alias("rho")).distinct()
     sized = tests.groupBy("family").agg(F.min("pvalue_greater").alias("p")).join(variants.groupBy("family").agg(F.count("*").alias("k")), "family").join(inside, "family", "left").withColumn("rho", F.greatest(F.lit(0.0), F.coalesce("rho", F.lit(0.0))))
     stats = sized.select("family", "k", "rho", search.search_adjusted("p", "k").alias("p1_independent"), search.search_adjusted("p", F.col("k").cast("double"), "rho").alias("p1_rho"))
     if n_boot:
@@ -91,7 +91,7 @@ def split_statistics(returns: DataFrame, *, search_end: str, stage2_start: str,
     if stage2_start > search_end or early.isEmpty() or second.isEmpty():
         raise ValueError("stage2_start must leave search dates for both stages")
     first, n_variants = family_statistics(early, search_end=search_end, n_boot=n_boot, seed=seed, q=q, periods=periods)
-    whole, _ = family_statistics(returns, search_end=search_end, holdout_start=holdout_start, periods=periods)
+    whole, _ = family_statistics(returns, search_end=search_end, holdout_start=holdout_start, periods=periods, correlated=False)
     naive = whole.select("family", *[c for c in whole.columns if c.startswith(("naive_", "nv_"))])
     confirmed = sharpe.sharpe_test(second.join(first.select(F.col("best").alias("candidate")).distinct(), "candidate", "left_semi"), periods=periods)
     stats = first.drop("p2", "naive_best", "naive_pass").join(confirmed.select(F.col("candidate").alias("best"), F.col("pvalue_greater").alias("p2")), "best", "left").join(naive, "family", "left")
@@ -115,12 +115,9 @@ def _naive(tests: DataFrame, n_variants: int, periods: int) -> DataFrame:
 
 
 def _within_family_correlation(window: DataFrame, variants: DataFrame) -> DataFrame:
-    """(family, rho): mean pairwise correlation inside each family; variants meet on family and date, never across families."""
-    rows = window.select("date", "candidate", "ret").join(variants, "candidate")
-    one = rows.select("family", "date", F.col("candidate").alias("a"), F.col("ret").alias("x"))
-    two = rows.select("family", "date", F.col("candidate").alias("b"), F.col("ret").alias("y"))
-    sums = one.join(two, ["family", "date"]).where("a < b").groupBy("family", "a", "b").agg(F.covar_pop("x", "y").alias("c"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"))
-    return sums.groupBy("family").agg(F.avg(F.try_divide("c", F.sqrt(F.col("vx") * F.col("vy")))).alias("rho"))
+    """(family, rho): mean pairwise correlation inside each family; variants meet within a family, never across families."""
+    rows = window.select("date", "candidate", "ret").join(variants.select("candidate", "family"), "candidate")
+    return correlation.correlation_sums(rows, across=False).select("family", F.try_divide("s", "n").alias("rho"))
 
 
 def screen(stats: DataFrame, th: Thresholds, *, stage1: str | None = None) -> DataFrame:

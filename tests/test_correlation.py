@@ -84,3 +84,15 @@ def test_many_series_make_no_row_a_pair(spark):
     s, n = expected[None][0] - sum(expected[f][0] for f in range(5)), expected[None][1] - sum(expected[f][1] for f in range(5))
     assert tuple(found.first()) == (pytest.approx(np.mean(means)), pytest.approx(s / n))
     assert "Join [date" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_family_correlation_makes_no_row_a_pair(spark):
+    """A family's rho comes from sums of its variants, and no join on dates pairs them."""
+    from panelyard.plans import funnel
+
+    x, family = gappy(60, 12, 3)
+    given = rows(spark, x, family)
+    found = funnel._within_family_correlation(given.select("date", "candidate", "ret"), given.select("candidate", "family").distinct())
+    assert "covar_pop" not in found._jdf.queryExecution().optimizedPlan().toString()
+    expected = plain(x, family)
+    assert {r["family"]: r["rho"] for r in found.collect()} == {f: pytest.approx(s / n) for f, (s, n) in expected.items() if f is not None}
