@@ -48,20 +48,20 @@ def register(add: Callable, grid: str) -> None:
 
     @add()
     def funnel_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-        stats, n = funnel.family_statistics(families(spark, sf_dir), search_end="1999-12-31", holdout_start="2000-01-01", periods=12)
+        stats, n = funnel.family_statistics(scan.kept(families(spark, sf_dir)), search_end="1999-12-31", holdout_start="2000-01-01", periods=12)
         out = funnel.run_funnel(stats, funnel.Thresholds(), n, periods=12)
         return out.select("family", "k", "best", *[rounded(c).alias(c) for c in ("rho", "p1_independent", "p1_rho", "p2")], "naive_pass", "stage1", "stage2", "stage3", "stage4")
 
     @add()
     def funnel_split_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-        stats, n = funnel.split_statistics(families(spark, sf_dir), search_end="1999-12-31", stage2_start="1998-01-01", holdout_start="2000-01-01", periods=12)
+        stats, n = funnel.split_statistics(scan.kept(families(spark, sf_dir)), search_end="1999-12-31", stage2_start="1998-01-01", holdout_start="2000-01-01", periods=12)
         out = funnel.run_funnel(stats, funnel.Thresholds(alpha2=0.5), n, periods=12)
         return out.select("family", "k", "best", *[rounded(c).alias(c) for c in ("p1_independent", "p1_rho", "p2")], "naive_pass", "stage1", "stage2", "stage4")
 
     @add()
     def funnel_gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         """The flow of the nations' families through the stages, every fifth of them planted with a Sharpe ratio of 2."""
-        rows = families(spark, sf_dir)
+        rows = scan.kept(families(spark, sf_dir))
         real = rows.where("family % 5 = 0").select("candidate").distinct()
         returns = scan.kept(calibration.plant(rows, real, 2.0, periods=12).select(*rows.columns))
         stats, n = funnel.family_statistics(returns, search_end="1999-12-31", holdout_start="2000-01-01", periods=12)
