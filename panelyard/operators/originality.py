@@ -75,14 +75,15 @@ def earliest(index: DataFrame) -> DataFrame:
     return first.join(rest, "shape", "left")
 
 
-def nearest(candidates: DataFrame, owners: DataFrame, prefix: str) -> DataFrame:
+def nearest(candidates: DataFrame, owners: DataFrame, prefix: str, *, few: bool = False) -> DataFrame:
     """``candidates`` (parsed) with prefix_nodes, prefix_share and nearest_prefix: their largest subtree shared with the owners of :func:`earliest`.
 
     The nearest is the earliest owner of any shared subtree of that size. A candidate's own id is no owner. Without a
-    shared subtree the size is 0 and the name empty.
+    shared subtree the size is 0 and the name empty. ``few`` owners are sent to all executors; the shapes that are asked
+    never are, although the planner, which can't see how many a formula has, takes them for few.
     """
     asked = candidates.select("pos", "id", F.explode("shapes").alias("s")).select("pos", "id", "s.shape", "s.nodes")
-    met = asked.join(owners, "shape").withColumn("by", F.when(F.col("first.owner").eqNullSafe(F.col("id")), F.col("second")).otherwise(F.col("first"))).where("by is not null")
+    met = (asked.join(F.broadcast(owners), "shape") if few else asked.hint("merge").join(owners, "shape")).withColumn("by", F.when(F.col("first.owner").eqNullSafe(F.col("id")), F.col("second")).otherwise(F.col("first"))).where("by is not null")
     best = met.groupBy("pos").agg(F.min(F.struct((-F.col("nodes")).alias("n"), F.col("by.pos").alias("p"), F.col("by.owner").alias("o"))).alias("b"))
     found = best.select("pos", (-F.col("b.n")).alias(f"{prefix}_nodes"), F.col("b.o").alias(f"nearest_{prefix}"))
     out = candidates.join(found, "pos", "left").withColumn(f"{prefix}_nodes", F.coalesce(f"{prefix}_nodes", F.when(F.col("problem").isNull(), 0)))
@@ -108,7 +109,7 @@ def judge(candidates: DataFrame, zoo: DataFrame, stored: DataFrame | None = None
     """
     limits = limits or Limits()
     read = parsed(candidates)
-    near = nearest(read, zoo, "zoo")
+    near = nearest(read, zoo, "zoo", few=True)
     if stored is not None:
         near = nearest(near, earliest(subtree_index(stored)), "store")
         known = stored.groupBy(F.col("structure").alias("_s")).agg(F.min(F.struct("pos", "owner")).alias("_held"))
