@@ -131,11 +131,9 @@ def panel_dense_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("WITH " + GRID + " SELECT date, CAST(asset AS VARCHAR) AS asset, round(abs(close), 8) + 0.0 AS price FROM grid LEFT JOIN bars USING (date, asset)")
 def panel_price_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The wide price panel of every asset, unpivoted again so that its columns don't depend on the data."""
+    """The price panel of every asset in long form: a column for each asset would bound how many there can be."""
     bars = pn.monthly_bars(table(spark, sf_dir, "lineitem")).withColumn("seq", F.lit(0))
-    wide = pn.price_panel(bars, "close", None)
-    assets = [c for c in wide.columns if c != "date"]
-    return wide.unpivot("date", assets, "asset", "price").select("date", "asset", rounded("price", 8).alias("price"))
+    return pn.price_cells(bars).select("date", F.col("asset").cast("string").alias("asset"), rounded("price", 8).alias("price"))
 
 
 @_register("WITH " + _weights_sql() + " SELECT candidate, date, asset, round(weight, 8) + 0.0 AS weight FROM book")
