@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,6 +83,61 @@ class Logistic:
             self.w = self.w + size * step
             loss = self._loss(a, y, weight, penalty, self.w)
 
+    @classmethod
+    def over(cls, rows: DataFrame, columns: Callable[[np.ndarray], np.ndarray], width: int, ridge: float = 1.0) -> Logistic:
+        """The same fit on all of ``rows`` (y, x), whose ``columns`` are made of x: each step adds up sums of tasks."""
+
+        def summed(f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+            def part(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                total: np.ndarray | None = None
+                for batch in batches:
+                    if batch.num_rows:
+                        x = np.array(batch.column(1).to_pylist(), float)
+                        mine = f(columns(x), batch.column(0).to_numpy(zero_copy_only=False).astype(float))
+                        total = mine if total is None else total + mine
+                if total is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["s"])
+
+            return np.array([r["s"] for r in rows.select("y", "x").mapInArrow(part, "s array<double>").collect()]).sum(0)
+
+        out = cls(np.zeros((0, width)), np.zeros(0), np.zeros(0), ridge)
+        moments = summed(lambda x, y: np.r_[len(y), y.sum(), x.sum(0), (x * x).sum(0)])
+        if not moments.shape:
+            return out
+        n, ones, out.mean = moments[0], moments[1], moments[2 : 2 + width] / moments[0]
+        if ones in (0, n):
+            out.w[0] = 3.0 if ones else -3.0
+            return out
+        out.scale = np.sqrt(np.maximum(0, moments[2 + width :] / n - out.mean**2)) + 1e-9
+        penalty = np.full(width + 1, ridge)
+        penalty[0] = 0.0
+
+        def at(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+            def part(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+                a = out._columns(x)
+                p = 1 / (1 + np.exp(-np.clip(a @ w, -35, 35)))
+                one = np.ones(len(y))
+                return np.r_[cls._loss(a, y, one, 0 * penalty, w), a.T @ (y - p), ((a * (p * (1 - p))[:, None]).T @ a).ravel()]
+
+            s = summed(part)
+            k = width + 1
+            return s[0] + 0.5 * float((penalty * w * w).sum()), s[1 : 1 + k] - penalty * w, s[1 + k :].reshape(k, k) + np.diag(penalty + 1e-6)
+
+        loss, slope, curve = at(out.w)
+        for _ in range(60):
+            step, size = np.linalg.solve(curve, slope), 1.0
+            if np.abs(step).max() < 1e-6:
+                break
+            after = at(out.w + step)
+            while size > 1e-4 and after[0] > loss:
+                size /= 2
+                after = at(out.w + size * step)
+            if size <= 1e-4:
+                break
+            out.w = out.w + size * step
+            loss, slope, curve = after
+        return out
+
     def _columns(self, x: np.ndarray) -> np.ndarray:
         return np.c_[np.ones(len(x)), (x - self.mean) / self.scale]
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from array import array
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterable, Iterator
 from itertools import compress, product
 
@@ -14,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm.labelled import Logistic, bounded_sample, class_weights, fold
+from panelyard.llm import scratch
+from panelyard.llm.labelled import Logistic, class_weights, fold
 
 FOLDS, HELD = 3, 1
-ROWS_A_CLASS, BYTES_A_CLASS = 2000, 8 << 20
 #: What a character may stand for besides itself.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
 #: Costs of the channel, in nats, besides those of the character model.
@@ -28,20 +28,38 @@ NARROW, WIDE = (1.5, 0.2), (0.2, 2.0)
 EDGE, OTHER = "^", "\0"
 
 
+def trigrams(words: Counter[str]) -> Counter[str]:
+    """Trigrams of words that stand as often as their counts say."""
+    out: Counter[str] = Counter()
+    for word, n in words.items():
+        padded = EDGE + EDGE + word + EDGE
+        for i in range(2, len(padded)):
+            out[padded[i - 2 : i + 1]] += n
+    return out
+
+
 class CharacterModel:
     """Interpolated character trigrams over words."""
 
     def __init__(self, lots: Iterable[Counter[str]]) -> None:
         three: Counter[str] = Counter()
+        for words in lots:
+            three.update(trigrams(words))
+        self.counted(three)
+
+    @classmethod
+    def of(cls, three: Counter[str]) -> CharacterModel:
+        """The model of trigrams counted elsewhere."""
+        out = cls(())
+        out.counted(three)
+        return out
+
+    def counted(self, three: Counter[str]) -> None:
         two: Counter[str] = Counter()
         one: Counter[str] = Counter()
-        for words in lots:
-            for word, n in words.items():
-                padded = EDGE + EDGE + word + EDGE
-                for i in range(2, len(padded)):
-                    three[padded[i - 2 : i + 1]] += n
-                    two[padded[i - 1 : i + 1]] += n
-                    one[padded[i]] += n
+        for gram, n in three.items():
+            two[gram[1:]] += n
+            one[gram[2]] += n
         over2: Counter[str] = Counter()
         over1: Counter[str] = Counter()
         for gram, n in three.items():
@@ -221,6 +239,14 @@ class ToxicityModel:
         self.weigh(whole, total)
         self.memo = {}
 
+    @classmethod
+    def of(cls, restorer: Restorer, weights: dict[str, float], calibration: Logistic | None = None) -> ToxicityModel:
+        """A model of what was counted elsewhere."""
+        out = cls.__new__(cls)
+        out.restorer, out.memo, out.calibration = restorer, {}, calibration
+        out.weighted(weights)
+        return out
+
     def row_features(self, texts: Iterable[str], among: set[str] | None = None) -> Iterator[set[str]]:
         """The distinct features of each text, all or those ``among``; what pieces say is remembered for a bounded number of them."""
         said: dict[str, tuple[str, ...]] = {}
@@ -239,7 +265,10 @@ class ToxicityModel:
             yield found
 
     def weigh(self, counts: list[Counter[str]], totals: list[int]) -> None:
-        self.weights = log_odds(counts, totals, self.LEAST)
+        self.weighted(log_odds(counts, totals, self.LEAST))
+
+    def weighted(self, weights: dict[str, float]) -> None:
+        self.weights = weights
         self.heads = {f.removeprefix("=")[:4] for f in self.weights}
         self.lexicon = {f[1:].encode() for f in self.weights if f[0] == "=" and len(f) > 4}
         self.prefixes = {w[:k] for w in self.lexicon for k in range(1, len(w))}
@@ -376,10 +405,104 @@ def spaced(text: str, pieces: list[str], distinct: set[str]) -> list[str]:
     return [m[0].strip() for m in SPACED.finditer(text)]
 
 
+#: Counts that a task holds before it passes them on.
+HELD_COUNTS = 300_000
+
+
+def _passed_on(counts: Counter, columns: int, names: list[str]) -> pa.RecordBatch:
+    keys = list(counts) if columns > 1 else [(k,) for k in counts]
+    return pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys]) for i in range(columns)] + [pa.array(counts.values(), pa.int64())], names=names)
+
+
+def _character_model(rows: DataFrame) -> CharacterModel:
+    """Trigrams of all rows' words, counted by tasks and summed; as many rows reach the driver as there are trigrams."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: Counter[str] = Counter()
+        for batch in batches:
+            pieces: Counter[str] = Counter()
+            for t in batch.column(0):
+                pieces.update(t.as_py().split())
+            for piece, n in pieces.items():
+                word = core(piece)
+                if word.isalpha() and not THRICE.search(word):
+                    words[word] += n
+            if len(words) > HELD_COUNTS:
+                yield _passed_on(trigrams(words), 1, ["gram", "n"])
+                words.clear()
+        if words:
+            yield _passed_on(trigrams(words), 1, ["gram", "n"])
+
+    grams = rows.select("_t").mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return CharacterModel.of(Counter({r["gram"]: r["n"] for r in grams.toLocalIterator()}))
+
+
+def _fits(rows: DataFrame, restorer: Restorer, totals: list[list[int]]) -> list[dict[str, float]]:
+    """Weights without each quarter, and of all rows: features are counted by tasks and summed, and only what gets a weight is collected."""
+    bare = ToxicityModel.of(restorer, {})
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds: deque[tuple[int, int]] = deque()
+        counts: Counter[tuple[str, int, int]] = Counter()
+
+        def texts() -> Iterator[str]:
+            for batch in batches:
+                for y, q, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                    kinds.append((y, q))
+                    yield t.as_py()
+
+        for found in bare.row_features(texts()):
+            y, q = kinds.popleft()
+            counts.update((f, y, q) for f in found)
+            if len(counts) > HELD_COUNTS:
+                yield _passed_on(counts, 3, ["f", "y", "q", "n"])
+                counts.clear()
+        if counts:
+            yield _passed_on(counts, 3, ["f", "y", "q", "n"])
+
+    quarters = range(ToxicityModel.QUARTERS)
+    cells = [F.sum(F.when((F.col("y") == y) & (F.col("q") == q), F.col("n")).otherwise(0)).alias(f"n{y}{q}") for y in (0, 1) for q in quarters]
+    found = rows.select("_y", "_q", "_t").mapInArrow(count, "f string, y long, q long, n long").groupBy("f").agg(*cells)
+    sums = lambda y, left: sum((F.col(f"n{y}{q}") for q in quarters if q != left), F.lit(0))
+    heavy = F.lit(False)
+    for left in (*quarters, None):
+        have = [sum(t for q, t in enumerate(totals[y]) if q != left) for y in (0, 1)]
+        odds = F.log((sums(1, left) + 0.1) / F.lit(have[1] + 1.0)) - F.log((sums(0, left) + 0.5) / F.lit(have[0] + 1.0))
+        # A hair below the line, which log_odds draws.
+        heavy |= (sums(1, left) >= LEAST_ROWS) & (odds >= ToxicityModel.LEAST - 1e-9) & (sums(1, left) * odds >= 6 - 1e-9)
+    counted = found.where(heavy).collect()
+    out = []
+    for left in (*quarters, None):
+        mine = [Counter({r["f"]: sum(r[f"n{y}{q}"] for q in quarters if q != left) for r in counted}) for y in (0, 1)]
+        out.append(log_odds(mine, [sum(t for q, t in enumerate(totals[y]) if q != left) for y in (0, 1)], ToxicityModel.LEAST))
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text") -> ToxicityModel:
-    """A model from the labelled training rows that are in ``docs``: those whose fold isn't 1."""
-    rows, sizes = bounded_sample(docs, labels, "toxic", fold(key, FOLDS) != HELD, rows_a_class=ROWS_A_CLASS, bytes_a_class=BYTES_A_CLASS, key=key, text=text)
-    return ToxicityModel(rows, sizes)
+    """A model from all labelled training rows that are in ``docs``: those whose fold isn't 1.
+
+    Tasks count trigrams and features, measure each row with the weights of the other quarters, and add up what a step
+    of the calibration needs; sums, the trigrams and the features that carry weight are all that reaches the driver.
+    """
+    known = labels.where(F.col("toxic").isin(0, 1) & (fold(key, FOLDS) != HELD)).select(F.col(key).alias("_k"), F.col("toxic").cast("long").alias("_y"))
+    texts = docs.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    drawn = texts.join(known, "_k").select("_y", F.pmod(F.xxhash64("_k"), F.lit(ToxicityModel.QUARTERS)).alias("_q"), "_t")
+    with scratch.workspace() as keep:
+        rows = keep(drawn, "toxic-rows")
+        totals = [[0] * ToxicityModel.QUARTERS for _ in (0, 1)]
+        for r in rows.groupBy("_y", "_q").count().collect():
+            totals[r["_y"]][r["_q"]] = r["count"]
+        restorer = Restorer(_character_model(rows))
+        *parts, whole = _fits(rows, restorer, totals)
+
+        def measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            models = [ToxicityModel.of(restorer, weights) for weights in parts]
+            for batch in batches:
+                x = [models[q].measure(t.as_py()) for q, t in zip(batch.column(1).to_pylist(), batch.column(2), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
+
+        measures = keep(rows.select("_y", "_q", "_t").mapInArrow(measured, "y long, x array<double>"), "toxic-measures")
+        return ToxicityModel.of(restorer, whole, Logistic.over(measures, bent, 7))
 
 
 def score(docs: DataFrame, model: ToxicityModel, *, threshold: float = 0.7, key: str = "doc_id", text: str = "text") -> DataFrame:

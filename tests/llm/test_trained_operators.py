@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tests.llm.fixtures import frame, odd, prose, word
@@ -189,3 +190,26 @@ def test_logistic_is_calibrated():
     y = (r.random(4000) < 1 / (1 + np.exp(-(1.5 * x[:, 0] - 1)))).astype(float)
     p = Logistic(x, y, np.ones(4000))(x)
     assert abs(p.mean() - y.mean()) < 0.01 and abs(p[p > 0.5].mean() - y[p > 0.5].mean()) < 0.05
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    """A word that only the last rows by hash have, behind 2000 a class, carries weight; the sums' fit is the local one."""
+    docs = spark.range(6600).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("h"), F.when(F.col("id") % 2 == 1, F.concat(F.lit("vile brag "), F.col("id") % 97)).otherwise("plain kind words").alias("text"))
+    late = [r["doc_id"] for r in docs.where("doc_id % 2 = 1 and pmod(crc32(cast(cast(doc_id as string) as binary)), 3) <> 1").orderBy(F.desc("h")).limit(12).collect()]
+    docs = docs.withColumn("text", F.when(F.col("doc_id").isin(late), "qwyxle brag").otherwise(F.col("text"))).select("doc_id", "text")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    model = toxicity.train(docs, labels)
+    assert model.weights["=qwyxle"] > 2 and model.measure("qwyxle")[0] > 2
+
+
+def test_logistic_by_sums_is_the_local_fit(spark):
+    from panelyard.llm.labelled import Logistic
+
+    r = np.random.default_rng(3)
+    x = r.normal(size=(500, 3)) * [1, 5, 0.1] + [0, 2, 1]
+    y = (x @ [1, 0.3, -4] + r.normal(size=500) > -3).astype(float)
+    local = Logistic(x, y, np.ones(500))
+    rows = spark.createDataFrame([(int(b), [float(v) for v in a]) for a, b in zip(x, y, strict=True)], "y long, x array<double>").repartition(3)
+    assert np.allclose(Logistic.over(rows, lambda v: v, 3)(x), local(x), atol=1e-5)
+    assert Logistic.over(rows.where("y = 1"), lambda v: v, 3)(x[:2]) == pytest.approx([0.9525741] * 2)
+    assert Logistic.over(rows.limit(0), lambda v: v, 3)(x[:2]) == pytest.approx([0.5, 0.5])
