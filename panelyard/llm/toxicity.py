@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from array import array
 from collections import Counter, deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Container, Iterable, Iterator
 from itertools import compress, product
 
 import numpy as np
@@ -247,7 +248,7 @@ class ToxicityModel:
         out.weighted(weights)
         return out
 
-    def row_features(self, texts: Iterable[str], among: set[str] | None = None) -> Iterator[set[str]]:
+    def row_features(self, texts: Iterable[str], among: Container[str] | None = None) -> Iterator[set[str]]:
         """The distinct features of each text, all or those ``among``; what pieces say is remembered for a bounded number of them."""
         said: dict[str, tuple[str, ...]] = {}
         for text in texts:
@@ -257,7 +258,8 @@ class ToxicityModel:
             for piece in distinct.union(spaced(text, pieces, distinct)):
                 has = said.get(piece)
                 if has is None:
-                    has = tuple(f for w in self.words(piece) for f in features(w) if among is None or f in among)
+                    said_words = self.words(piece) if among is None else self.words_among(piece, among)
+                    has = tuple(f for w in said_words for f in features(w) if among is None or f in among)
                     if len(said) >= self.MEMO_PIECES:
                         said.clear()
                     said[piece] = has
@@ -296,6 +298,20 @@ class ToxicityModel:
             said = WORD_BREAK.split(restored) + [w for w in said if len(w) > 3]
         return [w for w in dict.fromkeys(said) if w]
 
+    def words_among(self, piece: str, among: Container[str]) -> list[str]:
+        """:meth:`words`, or the word as written where that has the same features ``among``.
+
+        Restoring letters alone only shortens runs. Where no word with shorter runs has a feature ``among`` that the
+        word as written hasn't, the lattice needn't be asked.
+        """
+        letters = piece.lower().strip(OUTSIDE)
+        if len(letters) > 3 and letters.isalpha() and TWICE.search(letters):
+            runs = [(m[1], m[1] * 2) if m[0] != m[1] else (m[1],) for m in RUN.finditer(letters)]
+            own = set(features(letters))
+            if sum(len(r) > 1 for r in runs) <= 5 and not any(f not in own and f in among for f in {f for w in map("".join, product(*runs)) for f in features(w)}):
+                return [letters]
+        return self.words(piece)
+
     def gathered(self, text: str) -> dict[str, float]:
         """Words of weight that stand in several neighbouring pieces, as ``clo wn`` or ``tr as h``, in any grouping, with their weights.
 
@@ -414,6 +430,24 @@ def _passed_on(counts: Counter, columns: int, names: list[str]) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys]) for i in range(columns)] + [pa.array(counts.values(), pa.int64())], names=names)
 
 
+#: Bits of a table of marks.
+MARKS = 1 << 24
+
+
+class Marks:
+    """Features by the bits of their hashes: none that was marked is missing, few others are in it, and its size is fixed."""
+
+    def __init__(self, words: Iterable[tuple[int, int]]) -> None:
+        bits = np.zeros(MARKS // 32, np.uint32)
+        for at, held in words:
+            bits[at] = held
+        self.bits = bits.tobytes()
+
+    def __contains__(self, feature: str) -> bool:
+        h = zlib.crc32(feature.encode("utf-8", "replace")) % MARKS
+        return self.bits[h >> 3] >> (h & 7) & 1 == 1
+
+
 def _character_model(rows: DataFrame) -> CharacterModel:
     """Trigrams of all rows' words, counted by tasks and summed; as many rows reach the driver as there are trigrams."""
 
@@ -437,8 +471,8 @@ def _character_model(rows: DataFrame) -> CharacterModel:
     return CharacterModel.of(Counter({r["gram"]: r["n"] for r in grams.toLocalIterator()}))
 
 
-def _fits(rows: DataFrame, restorer: Restorer, totals: list[list[int]]) -> list[dict[str, float]]:
-    """Weights without each quarter, and of all rows: features are counted by tasks and summed, and only what gets a weight is collected."""
+def _features(rows: DataFrame, restorer: Restorer, among: Marks | None) -> DataFrame:
+    """(f, y, q, n): rows that hold a feature, by class and quarter, counted by tasks and not summed yet."""
     bare = ToxicityModel.of(restorer, {})
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -451,7 +485,7 @@ def _fits(rows: DataFrame, restorer: Restorer, totals: list[list[int]]) -> list[
                     kinds.append((y, q))
                     yield t.as_py()
 
-        for found in bare.row_features(texts()):
+        for found in bare.row_features(texts(), among):
             y, q = kinds.popleft()
             counts.update((f, y, q) for f in found)
             if len(counts) > HELD_COUNTS:
@@ -460,9 +494,21 @@ def _fits(rows: DataFrame, restorer: Restorer, totals: list[list[int]]) -> list[
         if counts:
             yield _passed_on(counts, 3, ["f", "y", "q", "n"])
 
+    return rows.select("_y", "_q", "_t").mapInArrow(count, "f string, y long, q long, n long")
+
+
+def _fits(rows: DataFrame, restorer: Restorer, totals: list[list[int]]) -> list[dict[str, float]]:
+    """Weights without each quarter, and of all rows: features are counted by tasks and summed, and only what gets a weight is collected.
+
+    A feature needs two toxic rows to carry weight, so those of toxic rows are marked first, and only they are counted in all rows.
+    """
+    often = _features(rows.where("_y = 1"), restorer, None).groupBy("f").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_ROWS)
+    hashed = often.select(F.pmod(F.crc32(F.col("f").cast("binary")), F.lit(MARKS)).alias("h"))
+    words = hashed.groupBy((F.col("h") / 32).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 32 as int))")).alias("held"))
+    among = Marks((r["at"], r["held"]) for r in words.toLocalIterator())
     quarters = range(ToxicityModel.QUARTERS)
     cells = [F.sum(F.when((F.col("y") == y) & (F.col("q") == q), F.col("n")).otherwise(0)).alias(f"n{y}{q}") for y in (0, 1) for q in quarters]
-    found = rows.select("_y", "_q", "_t").mapInArrow(count, "f string, y long, q long, n long").groupBy("f").agg(*cells)
+    found = _features(rows, restorer, among).groupBy("f").agg(*cells)
     sums = lambda y, left: sum((F.col(f"n{y}{q}") for q in quarters if q != left), F.lit(0))
     heavy = F.lit(False)
     for left in (*quarters, None):

@@ -213,3 +213,32 @@ def test_logistic_by_sums_is_the_local_fit(spark):
     assert np.allclose(Logistic.over(rows, lambda v: v, 3)(x), local(x), atol=1e-5)
     assert Logistic.over(rows.where("y = 1"), lambda v: v, 3)(x[:2]) == pytest.approx([0.9525741] * 2)
     assert Logistic.over(rows.limit(0), lambda v: v, 3)(x[:2]) == pytest.approx([0.5, 0.5])
+
+
+def test_features_among_marks_are_those_of_all_words(corpus):
+    model = toxicity.ToxicityModel([(t, text) for (_, text, _), (_, _, t) in zip(*corpus, strict=True)], {0: 400, 1: 200})
+    texts = [text for _, text, _ in corpus[0]][:80] + ["loooser lloosseerr bookkeeper aabbccddeeffgg xx eee"]
+    every = list(model.row_features(texts))
+    among = {f for found in every[::3] for f in found}
+    assert list(model.row_features(texts, among)) == [found & among for found in every]
+    bits: dict[int, int] = {}
+    for f in among:
+        h = toxicity.zlib.crc32(f.encode()) % toxicity.MARKS
+        bits[h // 32] = bits.get(h // 32, 0) | 1 << h % 32
+    marks = toxicity.Marks(bits.items())
+    assert all(f in marks for f in among) and sum(f"{i}" in marks for i in range(1000)) < 20
+
+
+def test_quality_learns_from_all_labelled_rows(spark, monkeypatch):
+    """Behind 2000 a class, by hash, comes the only text of its kind; groups' dictionaries are trained on again until one is left."""
+    monkeypatch.setattr(quality_model, "GROUP_BYTES", 60_000)
+    r = random.Random(4)
+    lines = [" ".join("".join(r.choice("bcdfgaeiou") for _ in range(6)) for _ in range(12)) for _ in range(40)]
+    docs = spark.range(7000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 1, F.element_at(F.array(*map(F.lit, lines)), (F.col("id") % 40 + 1).cast("int"))).otherwise(F.repeat(F.lit("buy now "), 12)).alias("text"))
+    ranked = docs.where("doc_id % 2 = 1 and pmod(crc32(cast(cast(doc_id as string) as binary)), 5) <> 0 and pmod(xxhash64(doc_id), 10) < 6").orderBy(F.desc(F.xxhash64("doc_id"))).limit(600)
+    late = " ".join("zwqxjvk" + c for c in "abcdefghij")
+    docs = docs.join(ranked.select("doc_id", F.lit(1).alias("late")), "doc_id", "left").select("doc_id", F.when(F.col("late") == 1, late).otherwise(F.col("text")).alias("text"))
+    model = quality_model.train(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic")))
+    bad, good = model.dictionaries
+    assert b"zwqxjvk" in good and b"zwqxjvk" not in bad and b"buy now" in bad
+    assert len(good) <= quality_model.DICTIONARY
