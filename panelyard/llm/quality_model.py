@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,11 +10,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelyard.llm import scratch
 from panelyard.llm.buffers import utf8
-from panelyard.llm.labelled import Logistic, bounded_sample, class_weights, fold
+from panelyard.llm.labelled import Logistic, class_weights, fold
 
 FOLDS = 5
-ROWS_A_CLASS, BYTES_A_CLASS = 2000, 8 << 20
+#: Bytes that train one dictionary together.
+GROUP_BYTES = 8 << 20
 BLOCK, LEVEL, DICTIONARY = 512, 3, 192 << 10
 
 
@@ -40,6 +42,13 @@ class CompressionModel:
         y = np.array([label for label, _ in held], float)
         self.calibration = Logistic(x, y, class_weights(y, sizes))
 
+    @classmethod
+    def of(cls, dictionaries: list[bytes], calibration: Logistic | None = None) -> CompressionModel:
+        """A model of what was trained elsewhere."""
+        out = cls.__new__(cls)
+        out.dictionaries, out.calibration = dictionaries, calibration
+        return out
+
     def packers(self) -> list[zstandard.ZstdCompressor]:
         made = []
         for raw in self.dictionaries:
@@ -67,20 +76,63 @@ class CompressionModel:
         return np.array(out, float).reshape(-1, 4)
 
 
-def dictionary(texts: list[bytes]) -> bytes:
+def dictionary(texts: list[bytes], share: int = 6) -> bytes:
     """A dictionary trained on the blocks of all texts; where there is too little for that, the texts themselves."""
     blocks = [t[i : i + BLOCK] for t in texts for i in range(0, len(t), BLOCK)]
     try:
-        return zstandard.train_dictionary(min(DICTIONARY, max(2048, sum(map(len, blocks)) // 6)), blocks, level=LEVEL).as_bytes()
+        return zstandard.train_dictionary(min(DICTIONARY, max(2048, sum(map(len, blocks)) // share)), blocks, level=LEVEL).as_bytes()
     except (zstandard.ZstdError, ValueError):
         raw = b"".join(blocks)
         return raw if len(raw) >= 8 else b""
 
 
+def _dictionaries(rows: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> list[bytes]:
+    """A dictionary a class (_y) of all texts (_t): groups of bounded size train one each, and these are trained on again until one is left."""
+
+    def trained(share: int) -> Callable[[pa.Table], pa.Table]:
+        def fit(group: pa.Table) -> pa.Table:
+            group = group.sort_by("_h")
+            texts = [t if isinstance(t, bytes) else t.encode() for t in group.column("_t").to_pylist()]
+            made = texts[0] if share == 1 and len(texts) == 1 else dictionary(texts, share)
+            return pa.table({"_y": group.column("_y").slice(0, 1), "_t": pa.array([made], pa.binary()), "_h": group.column("_h").slice(0, 1)})
+
+        return fit
+
+    share = 6
+    while True:
+        sums = {r["_y"]: r for r in rows.groupBy("_y").agg(F.count("*").alias("n"), F.sum(F.octet_length("_t")).alias("b")).collect()}
+        if share == 1 and all(r["n"] == 1 for r in sums.values()):
+            break
+        groups = F.greatest(*[F.when(F.col("_y") == y, F.lit(int(sums[y]["b"]) // GROUP_BYTES + 1) if y in sums else F.lit(1)).otherwise(1) for y in (0, 1)])
+        dealt = rows.withColumn("_g", F.pmod(F.xxhash64("_h", F.lit(share)), groups))
+        rows = keep(dealt.groupBy("_y", "_g").applyInArrow(trained(share), "_y long, _t binary, _h long"), "dictionaries")
+        share = 1
+    found = {r["_y"]: bytes(r["_t"]) for r in rows.collect()}
+    return [found.get(y, b"") for y in (0, 1)]
+
+
 def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text") -> CompressionModel:
-    """A model from the labelled training rows that are in ``docs``: those whose fold isn't 0."""
-    rows, sizes = bounded_sample(docs, labels, "quality", fold(key, FOLDS) != 0, rows_a_class=ROWS_A_CLASS, bytes_a_class=BYTES_A_CLASS, key=key, text=text)
-    return CompressionModel(rows, sizes)
+    """A model from all labelled training rows that are in ``docs``: those whose fold isn't 0.
+
+    Six tenths of them, by a hash of the key, make the dictionaries, the others the calibration, whose steps add up sums
+    of tasks. A dictionary has a fixed size, and a task sees a group of bounded size; the driver gets the two last ones.
+    """
+    known = labels.where(F.col("quality").isin(0, 1) & (fold(key, FOLDS) != 0)).select(F.col(key).alias("_k"), F.col("quality").cast("long").alias("_y"))
+    texts = docs.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    drawn = texts.join(known, "_k").select("_y", F.xxhash64("_k").alias("_h"), "_t")
+    with scratch.workspace() as keep:
+        rows = keep(drawn, "quality-rows")
+        tenth = F.pmod("_h", F.lit(10))
+        model = CompressionModel.of(_dictionaries(rows.where(tenth < 6), keep))
+
+        def measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            packers = model.packers()
+            for batch in batches:
+                x = model.features_of((t.as_py().encode() for t in batch.column(1)), packers)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["y", "x"])
+
+        measures = keep(rows.where(tenth >= 6).select("_y", "_t").mapInArrow(measured, "y long, x array<double>"), "quality-measures")
+        return CompressionModel.of(model.dictionaries, Logistic.over(measures, lambda x: x, 4))
 
 
 def score(docs: DataFrame, model: CompressionModel, *, threshold: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:
