@@ -1,4 +1,4 @@
-"""Bounded labelled samples, folds and logistic calibration for the trained operators."""
+"""Labelled rows, bounded samples of them, folds and logistic calibration for the trained operators."""
 
 from __future__ import annotations
 
@@ -18,6 +18,33 @@ def fold(key: str | Column, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce((F.col(key) if isinstance(key, str) else key).cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
+#: Words of 64 bits that a sieve has at most; with more labels, it lets more rows through.
+SIEVE_WORDS = 1 << 20
+
+
+def sieved(rows: DataFrame, known: DataFrame, n: int, *, key: str = "_k") -> DataFrame:
+    """The ``rows`` whose key may be one of the ``n`` that are ``known``: none of these is missing, about one in nine of the others stays.
+
+    Eight bits a known key, of which its hash sets one, go to all executors, so that rows without a label are left out before any shuffle.
+    """
+    words = max(1, min(SIEVE_WORDS, -(-n // 8)))
+    bit = fold(key, 64 * words)
+    word = lambda b: F.floor(b / 64).alias("_at")
+    bits = known.select(bit.alias("_b")).groupBy(word(F.col("_b"))).agg(F.bit_or(F.expr("shiftleft(1L, cast(_b % 64 as int))")).alias("_held"))
+    met = rows.withColumn("_b", bit).withColumn("_at", word(F.col("_b"))).join(F.broadcast(bits), "_at")
+    return met.where("shiftrightunsigned(_held, cast(_b % 64 as int)) & 1L = 1").drop("_at", "_b", "_held")
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, train: Column, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(_k, _t, _y): the texts, null as empty, of all rows of ``docs`` with a ``label`` of 0 or 1 that ``train`` admits.
+
+    Labels are joined by a merge on tables of any size, as they outgrow a broadcast; texts without a label are sieved out before.
+    """
+    known = labels.where(F.col(label).isin(0, 1) & train).select(F.col(key).alias("_k"), F.col(label).cast("long").alias("_y"))
+    texts = docs.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_t")).where("_k is not null")
+    return sieved(texts, known, known.count()).join(known.hint("merge"), "_k")
+
+
 def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, *, rows_a_class: int, bytes_a_class: int, key: str = "doc_id", text: str = "text") -> tuple[list[tuple[int, str]], dict[int, int]]:
     """((label, text) pairs, labelled rows by class), of training rows only.
 

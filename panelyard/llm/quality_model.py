@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from panelyard.llm import scratch
 from panelyard.llm.buffers import utf8
-from panelyard.llm.labelled import Logistic, class_weights, fold
+from panelyard.llm.labelled import Logistic, class_weights, fold, labelled_texts
 
 FOLDS = 5
 #: Bytes that train one dictionary together.
@@ -117,9 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     Six tenths of them, by a hash of the key, make the dictionaries, the others the calibration, whose steps add up sums
     of tasks. A dictionary has a fixed size, and a task sees a group of bounded size; the driver gets the two last ones.
     """
-    known = labels.where(F.col("quality").isin(0, 1) & (fold(key, FOLDS) != 0)).select(F.col(key).alias("_k"), F.col("quality").cast("long").alias("_y"))
-    texts = docs.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    drawn = texts.join(known, "_k").select("_y", F.xxhash64("_k").alias("_h"), "_t")
+    drawn = labelled_texts(docs, labels, "quality", fold(key, FOLDS) != 0, key=key, text=text).select("_y", F.xxhash64("_k").alias("_h"), "_t")
     with scratch.workspace() as keep:
         rows = keep(drawn, "quality-rows")
         tenth = F.pmod("_h", F.lit(10))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelyard.llm import scratch
-from panelyard.llm.labelled import Logistic, class_weights, fold
+from panelyard.llm.labelled import Logistic, class_weights, fold, labelled_texts
 
 FOLDS, HELD = 3, 1
 #: What a character may stand for besides itself.
@@ -530,9 +530,8 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     Tasks count trigrams and features, measure each row with the weights of the other quarters, and add up what a step
     of the calibration needs; sums, the trigrams and the features that carry weight are all that reaches the driver.
     """
-    known = labels.where(F.col("toxic").isin(0, 1) & (fold(key, FOLDS) != HELD)).select(F.col(key).alias("_k"), F.col("toxic").cast("long").alias("_y"))
-    texts = docs.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    drawn = texts.join(known, "_k").select("_y", F.pmod(F.xxhash64("_k"), F.lit(ToxicityModel.QUARTERS)).alias("_q"), "_t")
+    known = labelled_texts(docs, labels, "toxic", fold(key, FOLDS) != HELD, key=key, text=text)
+    drawn = known.select("_y", F.pmod(F.xxhash64("_k"), F.lit(ToxicityModel.QUARTERS)).alias("_q"), "_t")
     with scratch.workspace() as keep:
         rows = keep(drawn, "toxic-rows")
         totals = [[0] * ToxicityModel.QUARTERS for _ in (0, 1)]

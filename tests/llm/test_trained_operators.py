@@ -242,3 +242,21 @@ def test_quality_learns_from_all_labelled_rows(spark, monkeypatch):
     bad, good = model.dictionaries
     assert b"zwqxjvk" in good and b"zwqxjvk" not in bad and b"buy now" in bad
     assert len(good) <= quality_model.DICTIONARY
+
+
+def test_labels_reach_texts_by_one_plan_and_sieve_the_others_out(spark):
+    """All labelled training rows, repeated keys and null texts among them, by a merge on tables of any size; few other texts are shuffled."""
+    from panelyard.llm.labelled import fold, labelled_texts, sieved
+
+    texts = [(i, None if i == 30 else f"text {i}", "s") for i in range(3000)] + [(60, "again", "s"), (None, "no key", "s")]
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(i, i // 10 % 2, None) for i in range(0, 3000, 10)] + [(60, 1, None), (None, 1, None), (9999, 1, None)], "doc_id int, quality int, toxic int")
+    got = labelled_texts(docs, labels, "quality", fold("doc_id", 5) != 0)
+    marks = [(r["doc_id"], r["quality"]) for r in labels.where(fold("doc_id", 5) != 0).collect()]
+    assert sorted((r["_k"], r["_t"], r["_y"]) for r in got.collect()) == sorted((d, t or "", y) for d, t, _ in texts for k, y in marks if d is not None and d == k)
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") == 1
+    known = labels.select(F.col("doc_id").alias("_k"))
+    left = sieved(docs.select(F.col("doc_id").alias("_k")), known, known.count())
+    keys = {r["_k"] for r in left.collect()}
+    assert keys >= set(range(0, 3000, 10)) and len(keys) < 300 + 0.2 * 2700
