@@ -6,12 +6,14 @@ import math
 import re
 import zlib
 from array import array
-from collections import Counter, deque
-from collections.abc import Container, Iterable, Iterator
-from itertools import compress, product
+from collections import Counter, defaultdict, deque
+from collections.abc import Callable, Container, Iterable, Iterator
+from itertools import compress, islice, product
+from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 SWAP, STAY, STAY_LEET, DROP, DROP_LEET, SINGLE, DOUBLE, UNKNOWN = 0.4, 0.3, 4.0, 0.7, 6.0, 0.8, 0.4, 9.0
 #: White space within a run of single characters: kept as a word's end or dropped, where it is as narrow as the narrowest of the run, and where it is wider.
 NARROW, WIDE = (1.5, 0.2), (0.2, 2.0)
+#: Costs that a character model remembers.
+COSTS = 200_000
 #: The word's edge, and all characters that no training word has, in a state.
 EDGE, OTHER = "^", "\0"
 
@@ -71,10 +75,18 @@ class CharacterModel:
         self.one = {c: n / total for c, n in one.items()}
         self.two = {g: n / over1[g[0]] for g, n in two.items()}
         self.three = {g: n / over2[g[:2]] for g, n in three.items()}
+        self.costs: dict[str, float] = {}
 
     def cost(self, history: str, char: str) -> float:
-        p = 0.6 * self.three.get(history + char, 0.0) + 0.3 * self.two.get(history[-1] + char, 0.0) + 0.1 * self.one.get(char, 0.0)
-        return -math.log(p) if p > 0 else UNKNOWN
+        gram = history + char
+        out = self.costs.get(gram)
+        if out is None:
+            p = 0.6 * self.three.get(gram, 0.0) + 0.3 * self.two.get(gram[1:], 0.0) + 0.1 * self.one.get(char, 0.0)
+            out = -math.log(p) if p > 0 else UNKNOWN
+            if len(self.costs) >= COSTS:
+                self.costs.clear()
+            self.costs[gram] = out
+        return out
 
     def text_cost(self, word: str) -> float:
         history, total = EDGE + EDGE, 0.0
@@ -114,9 +126,19 @@ class Restorer:
         out.append(("", (DROP_LEET if char in LEET else DROP) * min(length, 2)))
         return out
 
+    def readings(self, word: str) -> set[str] | None:
+        """All words that the lattice of a piece without white space may write; None where it has more than ``READINGS`` paths."""
+        arcs, paths = [], 1
+        for run in self.RUN.finditer(word):
+            arcs.append([out for out, _ in self.arcs(run[1], len(run[0]))])
+            paths *= len(arcs[-1])
+            if paths > READINGS:
+                return None
+        return {w for path in product(*arcs) for w in WORD_BREAK.split("".join(path))}
+
     def restore(self, word: str, space: tuple[float, float] | None = None) -> str:
         """What a word, or a run of pieces with white space between, most likely says; ``space`` costs keeping and dropping any white space."""
-        cost, known = self.model.cost, self.model.one
+        cost, known, costs = self.model.cost, self.model.one, self.model.costs
         begin = EDGE + EDGE
         states: dict[str, float] = {begin: 0.0}
         back: list[tuple[list[tuple[str, float]], array]] = []
@@ -134,7 +156,8 @@ class Restorer:
                     total, last = so_far + channel, history
                     for char in out:
                         if char.isalpha():
-                            total += cost(last, char)
+                            step = costs.get(last + char)
+                            total += cost(last, char) if step is None else step
                             last = last[1] + (char if char in known else OTHER)
                         elif last != begin:
                             total, last = total + cost(last, EDGE), begin
@@ -165,6 +188,7 @@ WORD_BREAK = re.compile(r"[\W\d_]+")
 SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 SINGLE_PIECE = re.compile(r"[^\w\s]{0,2}\w[^\w\s]{0,2}|[@$!|+€£]")
 TWICE = re.compile(r"(.)\1", re.DOTALL)
+DOUBLED = "|".join(c * 2 for c in "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xDF, 0x100))))
 THRICE = re.compile(r"(.)\1\1", re.DOTALL)
 RUN = re.compile(r"(.)\1*", re.DOTALL)
 
@@ -196,6 +220,8 @@ def plain_words(text: str) -> Counter[str]:
     return Counter(w for w in map(core, text.split()) if w.isalpha() and not THRICE.search(w))
 
 
+#: Paths of a lattice that are written out to tell whether it is worth a search.
+READINGS = 32
 #: Toxic rows that a feature must be in.
 LEAST_ROWS = 2
 
@@ -209,7 +235,9 @@ class ToxicityModel:
     each quarter of the labelled rows is measured with the weights of the other three; the weights kept are those of all rows.
     """
 
-    MEMO_CHARS, MEMO_PIECES = 48, 150_000
+    MEMO_CHARS, MEMO_PIECES, MEMO_RUNS = 48, 150_000, 20_000
+    #: Bytes of texts that are measured together; a longer text is measured alone.
+    SLAB = 4 << 20
     LEAST, QUARTERS = 1.2, 4
 
     def __init__(self, rows: list[tuple[int, str]], sizes: dict[int, int]) -> None:
@@ -234,8 +262,7 @@ class ToxicityModel:
         for q in range(self.QUARTERS):
             self.weigh([whole[y] - counts[q][y] for y in (0, 1)], [total[y] - totals[q][y] for y in (0, 1)])
             self.memo = {}
-            for i in range(q, len(rows), self.QUARTERS):
-                x[i] = self.measure(rows[i][1])
+            x[q :: self.QUARTERS] = self.measures(pa.array([text for _, text in rows[q :: self.QUARTERS]], pa.string()))
         self.calibration = Logistic(bent(x), y, class_weights(y, sizes))
         self.weigh(whole, total)
         self.memo = {}
@@ -263,7 +290,8 @@ class ToxicityModel:
                     if len(said) >= self.MEMO_PIECES:
                         said.clear()
                     said[piece] = has
-                found.update(has)
+                if has:
+                    found.update(has)
             yield found
 
     def weigh(self, counts: list[Counter[str]], totals: list[int]) -> None:
@@ -274,6 +302,10 @@ class ToxicityModel:
         self.heads = {f.removeprefix("=")[:4] for f in self.weights}
         self.lexicon = {f[1:].encode() for f in self.weights if f[0] == "=" and len(f) > 4}
         self.prefixes = {w[:k] for w in self.lexicon for k in range(1, len(w))}
+        self.reach = self.prefixes | self.lexicon
+        self.runs: dict[str, float] = {}
+        self.whole = pa.array([f[1:] for f in self.weights if f[0] == "="], pa.string())
+        self.stems = pa.array([f for f in self.weights if f[0] != "="], pa.string())
 
     def words(self, piece: str) -> list[str]:
         """The words a piece says: its letters as written, and as restored where they look disguised.
@@ -289,20 +321,32 @@ class ToxicityModel:
         if SPACE.search(low):
             said = WORD_BREAK.split(self.restorer.restore(low)) + self.words(SPACE.sub("", low))
             return [w for w in dict.fromkeys(said) if w]
-        bare = core(piece)
-        said = [bare] if bare.isalpha() else WORD_BREAK.split(bare)
-        if SUSPECT.search(low.strip(CLOSING)):
+        bare, said, suspect = self.plainly(piece)
+        if suspect:
             restored = self.restorer.restore(low)
             if bare not in ("", low):
                 restored += " " + self.restorer.restore(bare)
             said = WORD_BREAK.split(restored) + [w for w in said if len(w) > 3]
         return [w for w in dict.fromkeys(said) if w]
 
+    @staticmethod
+    def plainly(piece: str) -> tuple[str, list[str], bool]:
+        """The core of a piece that isn't letters alone, its words as written, and whether it looks disguised."""
+        bare = core(piece)
+        return bare, [bare] if bare.isalpha() else WORD_BREAK.split(bare), SUSPECT.search(piece.lower().strip(CLOSING)) is not None
+
+    def readings(self, piece: str, bare: str) -> set[str] | None:
+        """All words that :meth:`words` may restore from a disguised piece; None where they are too many."""
+        low = piece.lower()
+        whole = self.restorer.readings(low)
+        part = set() if bare in ("", low) else self.restorer.readings(bare)
+        return None if whole is None or part is None else whole | part
+
     def words_among(self, piece: str, among: Container[str]) -> list[str]:
         """:meth:`words`, or the word as written where that has the same features ``among``.
 
         Restoring letters alone only shortens runs. Where no word with shorter runs has a feature ``among`` that the
-        word as written hasn't, the lattice needn't be asked.
+        word as written hasn't, the lattice needn't be asked; nor where no word that a disguised piece may be read as has one.
         """
         letters = piece.lower().strip(OUTSIDE)
         if len(letters) > 3 and letters.isalpha() and TWICE.search(letters):
@@ -310,6 +354,13 @@ class ToxicityModel:
             own = set(features(letters))
             if sum(len(r) > 1 for r in runs) <= 5 and not any(f not in own and f in among for f in {f for w in map("".join, product(*runs)) for f in features(w)}):
                 return [letters]
+        elif letters and not letters.isalpha() and not SPACE.search(piece):
+            bare, said, suspect = self.plainly(piece)
+            if suspect:
+                said = [w for w in said if len(w) > 3]
+                may, own = self.readings(piece, bare), {f for w in said for f in features(w)}
+                if may is not None and not any(f not in own and f in among for w in may for f in features(w)):
+                    return said
         return self.words(piece)
 
     def gathered(self, text: str) -> dict[str, float]:
@@ -320,17 +371,26 @@ class ToxicityModel:
         """
         pieces = text.lower().encode("utf-8", "replace").translate(None, SIGNS).split()
         out: dict[str, float] = {}
-        for i in compress(range(len(pieces) - 1), map(self.prefixes.__contains__, pieces)):
+        for i in compress(range(len(pieces) - 1), map(self.reach.__contains__, map(add, pieces, islice(pieces, 1, None)))):
             joined, j = pieces[i], i + 1
             while joined in self.prefixes and j < len(pieces):
                 joined, j = joined + pieces[j], j + 1
                 if joined in self.lexicon:
-                    said = WORD_BREAK.split(self.restorer.restore(b" ".join(pieces[i:j]).decode(), WIDE))
-                    weight = max(map(self.word_weight, said), default=0.0)
+                    weight = self.run_weight(b" ".join(pieces[i:j]).decode())
                     if weight:
                         out[joined.decode()] = weight
         return out
 
+    def run_weight(self, run: str) -> float:
+        """The largest weight of what pieces with white space between say, remembered for a bounded number of them."""
+        out = self.runs.get(run)
+        if out is None:
+            out = max(map(self.word_weight, WORD_BREAK.split(self.restorer.restore(run, WIDE))), default=0.0)
+            if len(self.runs) >= self.MEMO_RUNS:
+                self.runs.clear()
+            self.runs[run] = out
+        return out
+
     def word_weight(self, word: str) -> float:
         """The largest weight of a word's :func:`features`; most words begin like none that carries weight."""
         head, n = word[:4], len(word)
@@ -365,35 +425,85 @@ class ToxicityModel:
         if letters.isalpha() and (not twice or (len(letters) > 3 and not self.gains(letters, twice.start()))):
             out = self.word_weight(letters)
         else:
-            out = max(map(self.word_weight, self.words(piece)), default=0.0)
+            out = self.disguised_weight(piece, letters)
         if len(piece) <= self.MEMO_CHARS:
             if len(self.memo) >= self.MEMO_PIECES:
                 self.memo.clear()
             self.memo[piece] = out
         return out
 
+    def disguised_weight(self, piece: str, letters: str) -> float:
+        """The largest weight of the :meth:`words` of a piece; the lattice is asked only where a word it may write carries any."""
+        if letters and not letters.isalpha() and not SPACE.search(piece):
+            bare, said, suspect = self.plainly(piece)
+            may = self.readings(piece, bare) if suspect else set()
+            if may is not None and not any(map(self.word_weight, may)):
+                return max((self.word_weight(w) for w in said if not suspect or len(w) > 3), default=0.0)
+        return max(map(self.word_weight, self.words(piece)), default=0.0)
+
     def measure(self, text: str) -> tuple[float, float, float, float]:
         """The largest weight, the sum of the four largest, the share of pieces that carry any, and the log of the distinct pieces."""
-        get, pieces = self.memo.get, text.split()
-        carried: dict[str, float] = {}
-        hits = 0
-        distinct = set(pieces)
-        for piece in distinct.union(spaced(text, pieces, distinct)):
-            w = get(piece)
-            if w is None:
-                w = self.weight(piece)
-            if w:
-                carried[piece] = w
-        for word, w in self.gathered(text).items():
-            carried[word] = max(w, carried.get(word, 0.0))
-        if carried:
-            hits = sum(map(carried.__contains__, pieces)) or 1
-        top = sorted(carried.values(), reverse=True)[:4]
-        return (top[0] if top else 0.0, sum(top), math.log1p(100 * hits / (len(pieces) + 20)), math.log1p(len(distinct)))
-
-    def scores(self, texts: Iterable[str | None]) -> np.ndarray:
-        x = np.array([self.measure(t or "") for t in texts], float).reshape(-1, 4)
-        return self.calibration(bent(x))
+        top, four, share, distinct = self.measures(pa.array([text])).tolist()[0]
+        return top, four, share, distinct
+
+    def measures(self, texts: pa.Array) -> np.ndarray:
+        """:meth:`measure` of every text, ``SLAB`` bytes of texts at a time: a slab's distinct pieces are weighed once."""
+        texts = texts.fill_null("")
+        slab = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // self.SLAB
+        edges = [0, *(np.flatnonzero(np.diff(slab)) + 1).tolist(), len(texts)]
+        return np.concatenate([self._measured(texts.slice(i, j - i)) for i, j in zip(edges, edges[1:], strict=False)]) if len(texts) else np.zeros((0, 4))
+
+    def _measured(self, texts: pa.Array) -> np.ndarray:
+        split = pc.utf8_split_whitespace(texts)
+        bounds = split.offsets.to_numpy()
+        coded = split.flatten().dictionary_encode()
+        said, code = coded.dictionary, coded.indices.to_numpy()
+        row = np.repeat(np.arange(len(texts)), np.diff(bounds))
+        full = pc.binary_length(said).to_numpy()[code] > 0
+        row, code = row[full], code[full]
+        pairs = np.sort(row * len(said) + code)
+        met, distinct_code = np.divmod(pairs[np.diff(pairs, prepend=-1) > 0], max(1, len(said)))
+        weights = np.zeros(len(said))
+        may = np.flatnonzero(self.may_carry(said).to_numpy(zero_copy_only=False))
+        weights[may] = [self.weight(p) if (w := self.memo.get(p)) is None else w for p in said.take(may).to_pylist()]
+        carried: list[dict[str, float]] = [{} for _ in range(len(texts))]
+        heavy = weights[distinct_code] > 0
+        for i, piece, w in zip(met[heavy].tolist(), said.take(distinct_code[heavy]).to_pylist(), weights[distinct_code[heavy]].tolist(), strict=True):
+            carried[i][piece] = w
+        hits = np.bincount(row[weights[code] > 0], minlength=len(texts)).tolist()
+        sizes, kinds = np.bincount(row, minlength=len(texts)).tolist(), np.bincount(met, minlength=len(texts)).tolist()
+        short = np.flatnonzero(pc.less(pc.utf8_length(said), 6).to_numpy(zero_copy_only=False))
+        single = np.zeros(len(said), bool)
+        single[short] = [is_single(p) for p in said.take(short).to_pylist()]
+        flag = single[code]
+        in_row = flag[2:] & flag[1:-1] & flag[:-2] & (row[2:] == row[:-2])
+        runs = set(row[2:][in_row].tolist())
+        out = np.zeros((len(texts), 4))
+        for i, text in enumerate(texts.to_pylist()):
+            mine = carried[i]
+            for run in [m[0].strip() for m in SPACED.finditer(text)] if i in runs else ():
+                w = self.weight(run) if (w := self.memo.get(run)) is None else w
+                if w:
+                    mine[run] = w
+            for word, w in self.gathered(text).items():
+                if word not in mine:
+                    hits[i] += text.split().count(word)
+                mine[word] = max(w, mine.get(word, 0.0))
+            top = sorted(mine.values(), reverse=True)[:4]
+            n = hits[i] or 1 if mine else 0
+            out[i] = (top[0] if top else 0.0, sum(top), math.log1p(100 * n / (sizes[i] + 20)), math.log1p(kinds[i]))
+        return out
+
+    def may_carry(self, pieces: pa.Array) -> pa.Array:
+        """Pieces whose weight isn't known to be 0: those that aren't Latin letters between signs, have a letter twice, or a word or beginning of weight."""
+        bare = pc.utf8_trim(pieces, characters=OUTSIDE)
+        letters = pc.utf8_lower(bare)
+        odd = pc.or_(pc.invert(pc.match_substring_regex(bare, "^[A-Za-zÀ-ÖØ-öø-ÿ]+$")), pc.match_substring_regex(letters, DOUBLED))
+        begins = [pc.is_in(pc.utf8_slice_codeunits(letters, 0, k), self.stems) for k in (4, 5, 6)]
+        return pc.or_(odd, pc.or_(pc.is_in(letters, self.whole), pc.or_(begins[0], pc.or_(begins[1], begins[2]))))
+
+    def scores(self, texts: pa.Array | Iterable[str | None]) -> np.ndarray:
+        return self.calibration(bent(self.measures(texts if isinstance(texts, pa.Array) else pa.array(list(texts), pa.string()))))
 
 
 def bent(x: np.ndarray) -> np.ndarray:
@@ -413,9 +523,14 @@ def log_odds(counts: list[Counter[str]], totals: list[int], least: float) -> dic
     return out
 
 
+def is_single(piece: str) -> bool:
+    """Whether a piece is a single character, signs beside it or not."""
+    return len(piece) < 6 and (len(piece) < 2 or not piece.isalnum()) and SINGLE_PIECE.fullmatch(piece) is not None
+
+
 def spaced(text: str, pieces: list[str], distinct: set[str]) -> list[str]:
     """Runs of single characters with white space between; the text is searched only where three such pieces follow one another."""
-    single = {p for p in distinct if len(p) < 6 and SINGLE_PIECE.fullmatch(p)}
+    single = set(filter(is_single, distinct))
     if not single or b"\1\1\1" not in bytes(map(single.__contains__, pieces)):
         return []
     return [m[0].strip() for m in SPACED.finditer(text)]
@@ -425,9 +540,8 @@ def spaced(text: str, pieces: list[str], distinct: set[str]) -> list[str]:
 HELD_COUNTS = 300_000
 
 
-def _passed_on(counts: Counter, columns: int, names: list[str]) -> pa.RecordBatch:
-    keys = list(counts) if columns > 1 else [(k,) for k in counts]
-    return pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys]) for i in range(columns)] + [pa.array(counts.values(), pa.int64())], names=names)
+def _passed_on(counts: Counter[str], name: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], names=[name, "n"])
 
 
 #: Bits of a table of marks.
@@ -462,64 +576,86 @@ def _character_model(rows: DataFrame) -> CharacterModel:
                 if word.isalpha() and not THRICE.search(word):
                     words[word] += n
             if len(words) > HELD_COUNTS:
-                yield _passed_on(trigrams(words), 1, ["gram", "n"])
+                yield _passed_on(trigrams(words), "gram")
                 words.clear()
         if words:
-            yield _passed_on(trigrams(words), 1, ["gram", "n"])
+            yield _passed_on(trigrams(words), "gram")
 
     grams = rows.select("_t").mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     return CharacterModel.of(Counter({r["gram"]: r["n"] for r in grams.toLocalIterator()}))
 
 
 def _features(rows: DataFrame, restorer: Restorer, among: Marks | None) -> DataFrame:
-    """(f, y, q, n): rows that hold a feature, by class and quarter, counted by tasks and not summed yet."""
+    """(f, n0, n1, ...): rows of each quarter that hold a feature, counted by tasks and summed."""
     bare = ToxicityModel.of(restorer, {})
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds: deque[tuple[int, int]] = deque()
-        counts: Counter[tuple[str, int, int]] = Counter()
+        quarters: deque[int] = deque()
+        counts: defaultdict[int, Counter[str]] = defaultdict(Counter)
 
         def texts() -> Iterator[str]:
             for batch in batches:
-                for y, q, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                    kinds.append((y, q))
+                for q, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    quarters.append(q)
                     yield t.as_py()
 
+        def passed_on() -> Iterator[pa.RecordBatch]:
+            for q, mine in counts.items():
+                yield pa.RecordBatch.from_arrays([pa.array(list(mine)), pa.array([q] * len(mine), pa.int64()), pa.array(list(mine.values()), pa.int64())], names=["f", "q", "n"])
+            counts.clear()
+
         for found in bare.row_features(texts(), among):
-            y, q = kinds.popleft()
-            counts.update((f, y, q) for f in found)
-            if len(counts) > HELD_COUNTS:
-                yield _passed_on(counts, 3, ["f", "y", "q", "n"])
-                counts.clear()
-        if counts:
-            yield _passed_on(counts, 3, ["f", "y", "q", "n"])
+            counts[quarters.popleft()].update(found)
+            if sum(map(len, counts.values())) > HELD_COUNTS:
+                yield from passed_on()
+        yield from passed_on()
+
+    found = rows.select("_q", "_t").mapInArrow(count, "f string, q long, n long")
+    return found.groupBy("f").agg(*[F.sum(F.when(F.col("q") == q, F.col("n")).otherwise(0)).alias(f"n{q}") for q in range(ToxicityModel.QUARTERS)])
 
-    return rows.select("_y", "_q", "_t").mapInArrow(count, "f string, y long, q long, n long")
 
+def _marks(found: DataFrame) -> Marks:
+    hashed = found.select(F.pmod(F.crc32(F.col("f").cast("binary")), F.lit(MARKS)).alias("h"))
+    words = hashed.groupBy((F.col("h") / 32).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 32 as int))")).alias("held"))
+    return Marks((r["at"], r["held"]) for r in words.toLocalIterator())
+
+
+#: Of ``TURNS`` parts of the rows that aren't toxic, those that are counted before features are left out.
+TURNS, FIRST = 5, 2
 
-def _fits(rows: DataFrame, restorer: Restorer, totals: list[list[int]]) -> list[dict[str, float]]:
+
+def _fits(rows: DataFrame, restorer: Restorer, totals: list[list[int]], keep: Callable[[DataFrame, str], DataFrame]) -> list[dict[str, float]]:
     """Weights without each quarter, and of all rows: features are counted by tasks and summed, and only what gets a weight is collected.
 
-    A feature needs two toxic rows to carry weight, so those of toxic rows are marked first, and only they are counted in all rows.
+    A feature needs two toxic rows to carry weight, so those of toxic rows are marked first, and only they are counted in
+    the other rows. Their odds only fall as more of these are counted; so after a part of them, features that can't
+    carry weight in any fit any more are left out, and the rest is searched for those that still can.
     """
-    often = _features(rows.where("_y = 1"), restorer, None).groupBy("f").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_ROWS)
-    hashed = often.select(F.pmod(F.crc32(F.col("f").cast("binary")), F.lit(MARKS)).alias("h"))
-    words = hashed.groupBy((F.col("h") / 32).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 32 as int))")).alias("held"))
-    among = Marks((r["at"], r["held"]) for r in words.toLocalIterator())
     quarters = range(ToxicityModel.QUARTERS)
-    cells = [F.sum(F.when((F.col("y") == y) & (F.col("q") == q), F.col("n")).otherwise(0)).alias(f"n{y}{q}") for y in (0, 1) for q in quarters]
-    found = _features(rows, restorer, among).groupBy("f").agg(*cells)
-    sums = lambda y, left: sum((F.col(f"n{y}{q}") for q in quarters if q != left), F.lit(0))
-    heavy = F.lit(False)
-    for left in (*quarters, None):
-        have = [sum(t for q, t in enumerate(totals[y]) if q != left) for y in (0, 1)]
-        odds = F.log((sums(1, left) + 0.1) / F.lit(have[1] + 1.0)) - F.log((sums(0, left) + 0.5) / F.lit(have[0] + 1.0))
-        # A hair below the line, which log_odds draws.
-        heavy |= (sums(1, left) >= LEAST_ROWS) & (odds >= ToxicityModel.LEAST - 1e-9) & (sums(1, left) * odds >= 6 - 1e-9)
-    counted = found.where(heavy).collect()
+    names = [f"n{q}" for q in quarters]
+
+    def beside(toxic: DataFrame, others: DataFrame) -> DataFrame:
+        """(f, t0, ..., n0, ...): features that carry weight in a fit if ``others`` are all rows that aren't toxic."""
+        met = toxic.join(others, "f", "left").na.fill(0, names)
+        heavy = F.lit(False)
+        for left in (*quarters, None):
+            have = [sum(t for q, t in enumerate(totals[y]) if q != left) for y in (0, 1)]
+            sums = [sum((F.col(f"{c}{q}") for q in quarters if q != left), F.lit(0)) for c in "nt"]
+            odds = F.log((sums[1] + 0.1) / F.lit(have[1] + 1.0)) - F.log((sums[0] + 0.5) / F.lit(have[0] + 1.0))
+            # A hair below the line, which log_odds draws.
+            heavy |= (sums[1] >= LEAST_ROWS) & (odds >= ToxicityModel.LEAST - 1e-9) & (sums[1] * odds >= 6 - 1e-9)
+        return met.where(heavy)
+
+    toxic = _features(rows.where("_y = 1"), restorer, None).where(sum(map(F.col, names), F.lit(0)) >= LEAST_ROWS)
+    toxic = keep(toxic.select("f", *[F.col(f"n{q}").alias(f"t{q}") for q in quarters]), "toxic-features")
+    civil = rows.where("_y = 0")
+    first = keep(_features(civil.where(F.col("_s") < FIRST), restorer, _marks(toxic)), "civil-features")
+    still = keep(beside(toxic, first).drop(*names), "open-features")
+    rest = _features(civil.where(F.col("_s") >= FIRST), restorer, _marks(still))
+    counted = beside(still, first.unionAll(rest).groupBy("f").agg(*[F.sum(n).alias(n) for n in names])).collect()
     out = []
     for left in (*quarters, None):
-        mine = [Counter({r["f"]: sum(r[f"n{y}{q}"] for q in quarters if q != left) for r in counted}) for y in (0, 1)]
+        mine = [Counter({r["f"]: sum(r[f"{c}{q}"] for q in quarters if q != left) for r in counted}) for c in "nt"]
         out.append(log_odds(mine, [sum(t for q, t in enumerate(totals[y]) if q != left) for y in (0, 1)], ToxicityModel.LEAST))
     return out
 
@@ -531,20 +667,22 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     of the calibration needs; sums, the trigrams and the features that carry weight are all that reaches the driver.
     """
     known = labelled_texts(docs, labels, "toxic", fold(key, FOLDS) != HELD, key=key, text=text)
-    drawn = known.select("_y", F.pmod(F.xxhash64("_k"), F.lit(ToxicityModel.QUARTERS)).alias("_q"), "_t")
+    h = F.pmod(F.xxhash64("_k"), F.lit(ToxicityModel.QUARTERS * TURNS))
+    drawn = known.select("_y", (h % ToxicityModel.QUARTERS).alias("_q"), F.floor(h / ToxicityModel.QUARTERS).alias("_s"), "_t")
     with scratch.workspace() as keep:
         rows = keep(drawn, "toxic-rows")
         totals = [[0] * ToxicityModel.QUARTERS for _ in (0, 1)]
         for r in rows.groupBy("_y", "_q").count().collect():
             totals[r["_y"]][r["_q"]] = r["count"]
         restorer = Restorer(_character_model(rows))
-        *parts, whole = _fits(rows, restorer, totals)
+        *parts, whole = _fits(rows, restorer, totals, keep)
 
         def measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             models = [ToxicityModel.of(restorer, weights) for weights in parts]
             for batch in batches:
-                x = [models[q].measure(t.as_py()) for q, t in zip(batch.column(1).to_pylist(), batch.column(2), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
+                for q, model in enumerate(models):
+                    mine = batch.filter(pc.equal(batch.column(1), q))
+                    yield pa.RecordBatch.from_arrays([mine.column(0), pa.array(model.measures(mine.column(2)).tolist(), pa.list_(pa.float64()))], names=["y", "x"])
 
         measures = keep(rows.select("_y", "_q", "_t").mapInArrow(measured, "y long, x array<double>"), "toxic-measures")
         return ToxicityModel.of(restorer, whole, Logistic.over(measures, bent, 7))
@@ -561,7 +699,7 @@ def score(docs: DataFrame, model: ToxicityModel, *, threshold: float = 0.7, key:
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = model.scores(t.as_py() for t in batch.column(2))
+            scores = model.scores(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=[key, "held_out", "score", "predicted"])
 
     rows = docs.select(F.col(key), (fold(key, FOLDS) == HELD).alias("held_out"), F.col(text).alias("_text"))
@@ -577,7 +715,7 @@ def keep_civil(docs: DataFrame, model: ToxicityModel, *, threshold: float = 0.7,
 
     def sift(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = model.scores(t.as_py() for t in batch.column(batch.schema.names.index(text)))
+            scores = model.scores(batch.column(batch.schema.names.index(text)))
             yield batch.filter(pa.array(scores < threshold))
 
     return docs.mapInArrow(sift, docs.schema)

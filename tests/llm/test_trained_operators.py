@@ -260,3 +260,50 @@ def test_labels_reach_texts_by_one_plan_and_sieve_the_others_out(spark):
     left = sieved(docs.select(F.col("doc_id").alias("_k")), known, known.count())
     keys = {r["_k"] for r in left.collect()}
     assert keys >= set(range(0, 3000, 10)) and len(keys) < 300 + 0.2 * 2700
+
+
+def test_slabs_of_texts_are_measured_like_pieces_one_by_one(corpus, monkeypatch):
+    """Against a plain loop over pieces that asks the lattice for every one, odd white space, signs and letters among them."""
+    model = toxicity.ToxicityModel([(t, text) for (_, text, _), (_, _, t) in zip(*corpus, strict=True)], {0: 400, 1: 200})
+    r = random.Random(6)
+    alphabet = [*"abiot01$. \u00a0é", "the", "clo", "wn", " idiot ", "İΣ\u212a", "tt", "$$$", "\x1f", "\u2003"]
+    texts = [None, "", "  ", *DISGUISES, *[text for _, text, _ in corpus[0]][:60], *("".join(r.choices(alphabet, k=60)) for _ in range(300))]
+
+    def plain(text):
+        pieces = text.split()
+        every = set(pieces).union(spaced := toxicity.spaced(text, pieces, set(pieces)))
+        assert all(" " in s or "\t" in s or len(s.split()) > 1 for s in spaced)
+        carried = {p: w for p in every if (w := max(map(model.word_weight, model.words(p)), default=0.0))}
+        for word, w in model.gathered(text).items():
+            carried[word] = max(w, carried.get(word, 0.0))
+        top = sorted(carried.values(), reverse=True)[:4]
+        n = (sum(p in carried for p in pieces) or 1) if carried else 0
+        return (max(top, default=0.0), sum(top), np.log1p(100 * n / (len(pieces) + 20)), np.log1p(len(set(pieces))))
+
+    expected = [plain(t or "") for t in texts]
+    for slab in (1, 2000, 4 << 20):
+        monkeypatch.setattr(toxicity.ToxicityModel, "SLAB", slab)
+        assert np.allclose(model.measures(toxicity.pa.array(texts)), expected, atol=1e-12)
+    assert model.measures(toxicity.pa.array([], "string")).shape == (0, 4)
+
+
+def test_features_left_out_after_a_part_of_the_rows_change_no_weight(spark, corpus):
+    """Weights of all fits are those that counts of every row at once give; common words are left out of the second part."""
+    docs, labels = corpus
+    kinds = {d: t for d, _, t in labels}
+    rows = [(kinds[d], d % 4, d // 4 % toxicity.TURNS, text) for d, text, _ in docs]
+    totals = [[sum(y == c and q == k for y, q, _, _ in rows) for k in range(4)] for c in (0, 1)]
+    restorer = toxicity.Restorer(toxicity.CharacterModel(toxicity.plain_words(t) for *_, t in rows))
+    table = spark.createDataFrame(rows, "_y long, _q long, _s long, _t string").repartition(3)
+    asked = []
+    marks, toxicity._marks = toxicity._marks, lambda found: asked.append(found.count()) or marks(found)
+    try:
+        with toxicity.scratch.workspace() as keep:
+            got = toxicity._fits(table, restorer, totals, keep)
+    finally:
+        toxicity._marks = marks
+    found = list(toxicity.ToxicityModel.of(restorer, {}).row_features(t for *_, t in rows))
+    for left, weights in zip([0, 1, 2, 3, None], got, strict=True):
+        counts = [toxicity.Counter(f for (y, q, *_), has in zip(rows, found, strict=True) if y == c and q != left for f in has) for c in (0, 1)]
+        assert weights == toxicity.log_odds(counts, [sum(t for q, t in enumerate(totals[c]) if q != left) for c in (0, 1)], toxicity.ToxicityModel.LEAST)
+    assert len(asked) == 2 and asked[1] < asked[0] / 2
