@@ -541,7 +541,7 @@ HELD_COUNTS = 300_000
 
 
 def _passed_on(counts: Counter[str], name: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], names=[name, "n"])
+    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=[name, "n"])
 
 
 #: Bits of a table of marks.
@@ -601,7 +601,7 @@ def _features(rows: DataFrame, restorer: Restorer, among: Marks | None) -> DataF
 
         def passed_on() -> Iterator[pa.RecordBatch]:
             for q, mine in counts.items():
-                yield pa.RecordBatch.from_arrays([pa.array(list(mine)), pa.array([q] * len(mine), pa.int64()), pa.array(list(mine.values()), pa.int64())], names=["f", "q", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(mine), pa.string()), pa.array([q] * len(mine), pa.int64()), pa.array(list(mine.values()), pa.int64())], names=["f", "q", "n"])
             counts.clear()
 
         for found in bare.row_features(texts(), among):
